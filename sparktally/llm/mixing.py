@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table
+from .common import WORD, cut, table
 
 #: Leading hex digits of the permuting hash that name a block: 16 ** 2 blocks in each source.
 BLOCK_DIGITS = 2
@@ -59,56 +59,59 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"mix_size": size, "mix_key": key, "mix_block": F.substring(key, 1, BLOCK_DIGITS)})
 
 
-def plan(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From sized rows to (targets by source, blocks with their first word on the source's line).
+def plan(rows: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """From sized rows to their blocks: source, mix_block, block_size, block_from (its first word on the source's line),
+    source_size, target, epochs (how often the whole source is taken) and rest (the words of the epoch after those).
 
-    A block's row count grows with the data, but there are at most 256 for a source; the sums are partial before the shuffle.
+    At most 256 rows for a source, kept in the shared folder; marked for broadcast if there are at most ``most_rows``.
     """
-    blocks = rows.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("block_size"))
+    blocks = cut(rows.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("block_size")))
     line = Window.partitionBy("source").orderBy("mix_block").rowsBetween(Window.unboundedPreceding, -1)
     placed = blocks.withColumn("block_from", F.coalesce(F.sum("block_size").over(line), F.lit(0)))
-    targets = source_targets(blocks.groupBy("source").agg(F.sum("block_size").alias("source_size")))
-    return targets, placed
+    targets = source_targets(blocks.groupBy("source").agg(F.sum("block_size").alias("source_size"))).withColumnRenamed("source", "of")
+    words = F.round("target").cast("long")
+    found = (
+        placed.join(targets, placed.source.eqNullSafe(targets.of))
+        .drop("of")
+        .withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) div source_size")).otherwise(0))
+        .withColumn("rest", words - F.col("epochs") * F.col("source_size"))
+    )
+    return F.broadcast(found) if blocks.count() <= most_rows else found
 
 
-def taken_words(rows: DataFrame) -> DataFrame:
+def taken_words(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """``rows`` of sized() with source_size, target and taken.
 
     taken: whole epochs of the document, and what the last, partial epoch has of it. The sum over a source is its
-    target, rounded; a document gives at most twice its words. Documents without words give none.
+    target, rounded; a document gives at most twice its words. Documents without words give none. Only the one block
+    of a source in which its partial epoch ends has its documents put in order; all others are taken whole or not.
     """
-    targets, placed = plan(rows)
-    about = placed.join(targets, placed.source.eqNullSafe(targets.source)).select(placed.source.alias("of"), F.col("mix_block").alias("at"), "block_from", "source_size", "target")
+    about = blocks.select(F.col("source").alias("of"), F.col("mix_block").alias("at"), "block_from", "block_size", "source_size", "target", "epochs", "rest")
+    joined = rows.join(about, rows.source.eqNullSafe(about.of) & (rows.mix_block == about.at))
+    inside = (F.col("rest") > F.col("block_from")) & (F.col("rest") < F.col("block_from") + F.col("block_size"))
+    whole = joined.where(~inside).withColumn("taken", (F.col("epochs") + (F.col("rest") > F.col("block_from")).cast("int")) * F.col("mix_size"))
     tied = Window.partitionBy("source", "mix_block").orderBy("mix_key", "mix_size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("block_from") + F.coalesce(F.sum("mix_size").over(tied), F.lit(0))
-    words, size = F.round("target").cast("long"), F.col("mix_size")
-    epochs = F.when(F.col("source_size") > 0, F.expr("CAST(round(target) AS BIGINT) div source_size")).otherwise(0)
-    rest = words - F.col("mix_epochs") * F.col("source_size")
-    return (
-        rows.join(about, rows.source.eqNullSafe(about.of) & (rows.mix_block == about.at))
-        .withColumn("mix_start", start)
-        .withColumn("mix_epochs", epochs)
-        .withColumn("taken", F.col("mix_epochs") * size + F.greatest(F.lit(0), F.least(size, rest - F.col("mix_start"))))
-        .drop("of", "at", "block_from")
-    )
+    part = joined.where(inside).withColumn("start", start)
+    part = part.withColumn("taken", F.col("epochs") * F.col("mix_size") + F.greatest(F.lit(0), F.least(F.col("mix_size"), F.col("rest") - F.col("start")))).drop("start")
+    return whole.unionByName(part).drop("of", "at", "block_from", "block_size", "epochs", "rest")
 
 
-def unit_shards(rows: DataFrame, depth: int = 5, seed: int = 11) -> DataFrame:
+def unit_shards(blocks: DataFrame, depth: int = 5, seed: int = 11) -> DataFrame:
     """(source, mix_block, epoch, mix_shard): each block that the mix takes, dealt to one of 2 ** depth shards.
 
     The splitting tree runs on units, at most 512 for a source. Every level halves each node's units by a hashed order.
     """
-    targets, placed = plan(rows)
     units = (
-        placed.join(targets, placed.source.eqNullSafe(targets.source))
-        .select(placed.source, "mix_block", "block_from", "source_size", "target", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
+        blocks.select("source", "mix_block", "block_from", "source_size", "target", F.explode(F.array(F.lit(0), F.lit(1))).alias("epoch"))
         .where(F.col("block_from") + F.col("epoch") * F.col("source_size") < F.col("target"))
         .withColumn("mix_shard", F.lit(0))
     )
     for level in range(depth):
         node = Window.partitionBy("mix_shard")
-        order = F.xxhash64(F.lit(seed), F.lit(level), F.coalesce("source", F.lit("\x00")), "mix_block", "epoch")
-        units = units.withColumn("place", F.row_number().over(node.orderBy(order, "source", "mix_block", "epoch"))).withColumn("mix_shard", F.col("mix_shard") * 2 + (F.col("place") * 2 > F.count("*").over(node)).cast("int"))
+        order = F.md5(F.concat_ws("/", F.lit(seed), F.lit(level), F.coalesce("source", F.lit("")), "mix_block", "epoch"))
+        left = F.row_number().over(node.orderBy(order, "source", "mix_block", "epoch")) * 2 <= F.count("*").over(node)
+        units = units.withColumn("mix_shard", F.col("mix_shard") * 2 + F.when(left, 0).otherwise(1))
     return units.select("source", "mix_block", "epoch", "mix_shard")
 
 
@@ -118,15 +121,16 @@ def mix(docs: DataFrame, depth: int = 5) -> DataFrame:
     A copy of which only a part is taken keeps the first words of its text. mix_place orders a shard's documents at random.
     Null source: a source of its own. Null text: nothing to take. Repeated rows count as rows.
     """
-    rows = taken_words(sized(docs))
-    copies = rows.where("taken > 0").select("*", F.explode(F.expr("sequence(0, CAST((taken - 1) div mix_size AS INT))")).alias("epoch"))
+    rows = sized(docs)
+    blocks = plan(rows)
+    copies = taken_words(rows, blocks).where("taken > 0").select("*", F.explode(F.expr("sequence(0, CAST((taken - 1) div mix_size AS INT))")).alias("epoch"))
     words = F.least(F.col("mix_size"), F.col("taken") - F.col("epoch") * F.col("mix_size"))
     # the run of the first `words` words with what stands before and between them
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.greatest(words, F.lit(1)).cast("int")), "")
-    cut = words < F.col("mix_size")
-    text = F.when(cut, part).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(cut, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    units = unit_shards(sized(docs), depth).select(F.col("source").alias("of"), F.col("mix_block").alias("at"), F.col("epoch").alias("e"), "mix_shard")
+    cut_off = words < F.col("mix_size")
+    text = F.when(cut_off, part).otherwise(F.col("text"))
+    changed = {"text": text} | ({"n_chars": F.when(cut_off, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    units = F.broadcast(unit_shards(blocks, depth)).select(F.col("source").alias("of"), F.col("mix_block").alias("at"), F.col("epoch").alias("e"), "mix_shard")
     dealt = copies.join(units, copies.source.eqNullSafe(units.of) & (copies.mix_block == units.at) & (copies.epoch == units.e))
     return dealt.withColumns(changed).select(*docs.columns, "mix_shard", F.xxhash64(F.lit("place"), "mix_key", "epoch").alias("mix_place"))
 
@@ -134,13 +138,44 @@ def mix(docs: DataFrame, depth: int = 5) -> DataFrame:
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document: its size, its source's size and target, and the words that the mix takes of it.
 
-    Also the shards its copies go to, first epoch first; -1: that epoch doesn't take it.
+    Also the shards its copies go to, by epoch; -1: that epoch doesn't take it.
     """
     rows = sized(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")
-    taken = taken_words(rows)
-    units = unit_shards(rows).groupBy("source", "mix_block").agg(F.max(F.when(F.col("epoch") == 0, F.col("mix_shard"))).alias("first"), F.max(F.when(F.col("epoch") == 1, F.col("mix_shard"))).alias("second"))
-    units = units.select(F.col("source").alias("of"), F.col("mix_block").alias("at"), "first", "second")
+    blocks = plan(rows)
+    units = unit_shards(blocks).groupBy("source", "mix_block").agg(F.max(F.when(F.col("epoch") == 0, F.col("mix_shard"))).alias("first"), F.max(F.when(F.col("epoch") == 1, F.col("mix_shard"))).alias("second"))
+    units = F.broadcast(units.select(F.col("source").alias("of"), F.col("mix_block").alias("at"), "first", "second"))
+    taken = taken_words(rows, blocks)
     shard = lambda c, least: F.when(F.col("taken") > least, F.col(c)).otherwise(-1)
     return taken.join(units, taken.source.eqNullSafe(units.of) & (taken.mix_block == units.at), "left").select(
         "doc_id", F.col("mix_size").alias("size"), "source_size", "target", "taken", shard("first", F.lit(0)).alias("first_shard"), shard("second", F.col("mix_size")).alias("second_shard")
     )
+
+
+#: The same rows in DuckDB: the line of words in one window for each source, the tree level by level.
+SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM d GROUP BY source),
+w AS (SELECT *, CASE r % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, CAST(source_size AS DOUBLE) * 2.0::DOUBLE AS most FROM s),
+x AS (SELECT *, most / weight AS ratio FROM w),
+y AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS words, CAST(sum(weight) OVER () AS BIGINT) AS all_weight,
+  CAST(coalesce(sum(source_size) OVER p, 0) AS DOUBLE) AS stopped, CAST(coalesce(sum(weight) OVER p, 0) AS BIGINT) AS stopped_weight
+  FROM x WINDOW p AS (ORDER BY ratio, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+z AS (SELECT *, (words * 1.5::DOUBLE - stopped * 2.0::DOUBLE) / CAST(all_weight - stopped_weight AS DOUBLE) AS share FROM y),
+v AS (SELECT *, (SELECT share FROM z WHERE share < ratio ORDER BY ratio, source IS NULL, source LIMIT 1) AS level FROM z),
+t AS (SELECT source, source_size, CASE WHEN level IS NULL OR ratio <= level THEN most ELSE level * weight END AS target FROM v),
+q AS (SELECT *, CAST(round(target) AS BIGINT) AS goal, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t),
+a AS (SELECT d.*, q.source_size, q.target, q.epochs, q.goal - q.epochs * q.source_size AS rest, substr(k, 1, 2) AS block,
+  coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY k, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+m AS (SELECT *, CAST(epochs * size + greatest(0, least(size, rest - start)) AS BIGINT) AS taken FROM a),
+b AS (SELECT source, block, min(source_size) AS source_size, min(target) AS target, min(start) AS block_from FROM a GROUP BY source, block),
+u0 AS (SELECT source, block, epoch, 0 AS shard FROM b, (VALUES (0), (1)) e(epoch) WHERE block_from + epoch * source_size < target),
+""" + "\n".join(
+    f"""h{i} AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('/', '11', '{i}', coalesce(source, ''), block, CAST(epoch AS VARCHAR))), source, block, epoch) AS place, count(*) OVER (PARTITION BY shard) AS n FROM u{i}),
+u{i + 1} AS (SELECT source, block, epoch, shard * 2 + CASE WHEN place * 2 <= n THEN 0 ELSE 1 END AS shard FROM h{i}),"""
+    for i in range(5)
+) + """
+f AS (SELECT source, block, max(shard) FILTER (epoch = 0) AS first, max(shard) FILTER (epoch = 1) AS second FROM u5 GROUP BY source, block)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN first ELSE -1 END AS first_shard, CASE WHEN taken > size THEN second ELSE -1 END AS second_shard
+FROM m LEFT JOIN f ON m.source IS NOT DISTINCT FROM f.source AND m.block = f.block
+"""

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from . import mixing
+from .decontaminate import op10_decontaminate
+from .langid import op1_langid
+from .mixing import op8_mix
+from .sharding import op7_shard
 from .simhash import op6_simhash
 
-QUERIES = {f.__name__: f for f in (op6_simhash,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_langid, op6_simhash, op7_shard, op8_mix, op10_decontaminate)}
+ORACLES: dict[str, str] = {"op8_mix": mixing.SQL}
