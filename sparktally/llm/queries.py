@@ -6,8 +6,10 @@ from . import mixing
 from .decontaminate import op10_decontaminate
 from .langid import op1_langid
 from .mixing import op8_mix
+from .pii import op4_pii
 from .sharding import op7_shard
 from .simhash import op6_simhash
+from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_langid, op6_simhash, op7_shard, op8_mix, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_langid, op4_pii, op6_simhash, op7_shard, op8_mix, op9_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op8_mix": mixing.SQL}
