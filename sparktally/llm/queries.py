@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import mixing
+from .ann import op5_ann
 from .decontaminate import op10_decontaminate
 from .html_text import op2_html
 from .langid import op1_langid
@@ -12,5 +13,5 @@ from .sharding import op7_shard
 from .simhash import op6_simhash
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op4_pii, op6_simhash, op7_shard, op8_mix, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op4_pii, op5_ann, op6_simhash, op7_shard, op8_mix, op9_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op8_mix": mixing.SQL}
