@@ -11,7 +11,8 @@ from .mixing import op8_mix
 from .pii import op4_pii
 from .sharding import op7_shard
 from .simhash import op6_simhash
+from .substrings import op3_substrings
 from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op4_pii, op5_ann, op6_simhash, op7_shard, op8_mix, op9_toxicity, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_langid, op2_html, op3_substrings, op4_pii, op5_ann, op6_simhash, op7_shard, op8_mix, op9_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {"op8_mix": mixing.SQL}
