@@ -183,7 +183,7 @@ def train(docs: DataFrame, docs_by_lang: int = 400, pieces_by_doc: int = 4) -> M
 class Labeller:
     """Applies a model to texts, keeping the emissions of the words it has seen, up to a bound."""
 
-    def __init__(self, model: Model, most_words: int = 300_000, cells: int = 400_000) -> None:
+    def __init__(self, model: Model, most_words: int = 200_000, cells: int = 200_000) -> None:
         self.model, self.most, self.cells = model, most_words, cells
         self.place: dict[str, int] = {}
         self.emit = np.zeros((0, len(model.langs)))
@@ -204,7 +204,7 @@ class Labeller:
         k = 0
         while k < len(texts):  # as many texts at a time as bound the memory
             lists, n = [], 0
-            while k + len(lists) < len(texts) and n < 2_000_000:
+            while k + len(lists) < len(texts) and n < 400_000:
                 lists.append(LETTERS.findall((texts[k + len(lists)] or "").lower()))
                 n += len(lists[-1])
             ids = self.ids(lists)
