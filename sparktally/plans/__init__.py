@@ -1,0 +1 @@
+"""Query plans over the given tables; importing a module registers its queries."""
