@@ -121,7 +121,8 @@ def mix(docs: DataFrame, depth: int = 5) -> DataFrame:
     A copy of which only a part is taken keeps the first words of its text. mix_place orders a shard's documents at random.
     Null source: a source of its own. Null text: nothing to take. Repeated rows count as rows.
     """
-    rows = sized(docs)
+    # the columns to keep travel in a struct, so that none of them meets a name used here
+    rows = sized(docs.select(F.struct(*docs.columns).alias("mix_row"), "doc_id", "source", "text"))
     blocks = plan(rows)
     copies = taken_words(rows, blocks).where("taken > 0").select("*", F.explode(F.expr("sequence(0, CAST((taken - 1) div mix_size AS INT))")).alias("epoch"))
     words = F.least(F.col("mix_size"), F.col("taken") - F.col("epoch") * F.col("mix_size"))
@@ -129,10 +130,11 @@ def mix(docs: DataFrame, depth: int = 5) -> DataFrame:
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.greatest(words, F.lit(1)).cast("int")), "")
     cut_off = words < F.col("mix_size")
     text = F.when(cut_off, part).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(cut_off, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    changed = {"text": text} | ({"n_chars": F.when(cut_off, F.length(text)).otherwise(F.col("mix_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     units = F.broadcast(unit_shards(blocks, depth)).select(F.col("source").alias("of"), F.col("mix_block").alias("at"), F.col("epoch").alias("e"), "mix_shard")
     dealt = copies.join(units, copies.source.eqNullSafe(units.of) & (copies.mix_block == units.at) & (copies.epoch == units.e))
-    return dealt.withColumns(changed).select(*docs.columns, "mix_shard", F.xxhash64(F.lit("place"), "mix_key", "epoch").alias("mix_place"))
+    columns = [changed[c].alias(c) if c in changed else F.col("mix_row")[c].alias(c) for c in docs.columns]
+    return dealt.select(*columns, "mix_shard", F.xxhash64(F.lit("place"), "mix_key", "epoch").alias("mix_place"))
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

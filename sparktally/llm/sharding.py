@@ -115,7 +115,7 @@ def measured(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce("text", F.lit(""))
     key = F.when(F.col("text").isNull(), F.lit("null")).otherwise(F.md5(text))
-    docs = docs.withColumns({"size": F.octet_length(text).cast("long") + 8, "text_crc32": F.crc32(text), "shard_key": key})
+    docs = docs.select("*", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), key.alias("shard_key"))
     return docs.withColumns({"shard_bucket": F.substring("shard_key", 1, BUCKET_DIGITS), "shard_salt": F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")})
 
 
@@ -125,9 +125,11 @@ def shard(docs: DataFrame, shards: int = 24, keep: list[str] | None = None) -> D
     Law ``bytes``: the largest shard is as small as any cut of the ordered groups allows. Equal texts, repeated rows
     among them, share a shard; slots count from 0 in each shard. A group above an even share has its shard to itself
     at most, and later shards may then be empty. Fewer groups than shards: shards at the end stay empty. No rows: none.
+    A column of ``docs`` named like one of the added ones gives way to it.
     """
-    keep = keep or docs.columns
-    rows = measured(docs).select(*keep, "size", "text_crc32", "shard_key", "shard_bucket", "shard_salt")
+    keep = [c for c in keep or docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
+    # the columns to keep travel in a struct, so that none of them meets a name used here
+    rows = measured(docs.select(F.struct(*keep).alias("kept"), "doc_id", "text")).drop("text")
     cells = cut(rows.groupBy("shard_bucket", "shard_key", "shard_salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
     groups = cells.groupBy("shard_bucket", "shard_key").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
     # at most 16 ** BUCKET_DIGITS + 1 rows
@@ -161,7 +163,7 @@ def shard(docs: DataFrame, shards: int = 24, keep: list[str] | None = None) -> D
     placed = placed.join(F.broadcast(first), "shard")
     turn = F.row_number().over(Window.partitionBy("shard_key", "shard_salt").orderBy("doc_id", "size")) - 1
     return rows.join(placed, ["shard_key", "shard_salt"]).select(
-        *[rows[c] for c in keep], "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("cell_row") - F.col("first_row") + turn).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "kept.*", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("cell_row") - F.col("first_row") + turn).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
 

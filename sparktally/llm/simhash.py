@@ -181,8 +181,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component the row whose id is least stays, once."""
-    first = near_duplicates(docs).select("component_id").where("component_id is not null").distinct()
-    return docs.join(first, F.col("doc_id") == F.col("component_id"), "left_semi").dropDuplicates(["doc_id"])
+    first = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+    return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
