@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Columns of a metric record; the optional ones are null where a writer leaves them out.
-METRIC = "mesh_file string, cad_file string, iou double, precision double, recall double, F1 double, feature string, feature_idx int, view_selector_time double, lisa_forward_time double, localization_time double, inference_time double, peak_vram_mb double, num_views int, network_time double"
+METRIC = "mesh_file string, cad_file string, iou double, precision double, recall double, F1 double, feature string, feature_idx int, inference_time double, peak_vram_mb double, num_views int"
 
 
 def literal_to_json(line: Column) -> Column:
@@ -17,9 +17,11 @@ def literal_to_json(line: Column) -> Column:
     return F.regexp_replace(line, "'", '"')
 
 
-def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_metrics(spark: SparkSession, paths: list[str], more: str = "") -> DataFrame:
     """(METRIC columns, pattern_no, path, line_no) of each record in ``paths`` (globs, in their order of trust).
 
+    more: further columns that a writer adds, as ``name type, ...``.
+
     Lines that don't begin with a brace or don't name a feature (footers, averages) are skipped before parsing, and so
     are records that don't parse. pattern_no, path and line_no give the scan order, which decides between duplicates.
     """
@@ -28,7 +30,7 @@ def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
         lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line_no"), F.lit(n).alias("pattern_no"))
         out = lines if out is None else out.unionByName(lines)
     kept = out.where(F.col("value").startswith("{") & F.col("value").contains("'feature'"))
-    rows = kept.withColumn("r", F.from_json(literal_to_json(F.col("value")), METRIC))
+    rows = kept.withColumn("r", F.from_json(literal_to_json(F.col("value")), f"{METRIC}, {more}" if more else METRIC))
     return rows.where("r.feature is not null and r.feature_idx is not null").select("r.*", "pattern_no", "path", "line_no")
 
 
