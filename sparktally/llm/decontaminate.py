@@ -1,9 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds propose passages, Smith-Waterman alignment scores them.
 
-Two passes over the documents: one counts in how many documents each n-gram of the benchmark occurs (partial counts in
-each task, then a sum by n-gram), one looks up the rare ones and aligns. An item always keeps the rarer half of its
-n-grams, however often it was leaked, and every n-gram that is rare in the corpus besides. Two hits on near diagonals
-of one item propose a window, which is aligned word by word; nothing is capped. The benchmark is read in blocks of a
+One pass over the documents counts in how many of them each n-gram of the benchmark occurs (partial counts in each task,
+then a sum by n-gram) and keeps those with two n-grams of one item on near diagonals. Among these the rare n-grams
+decide: those in few documents, or in no more than five times the item's mean, so that an item keeps its own however
+often it was leaked. Two hits on near diagonals propose a window, which is aligned word by word; nothing is capped. The benchmark is read in blocks of a
 bounded number of items, so what a task holds doesn't grow with it.
 """
 
@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 TOKEN = re.compile(r"\w+")
 RESULT = "doc_id long, item_id long, score double, matched int, item_words int, start long, end long"
@@ -62,11 +62,15 @@ class Seeds:
         return words, at, codes[at]
 
     def keep_rare(self, found_in: dict[int, int], rare: float) -> None:
-        """Drops the frequent n-grams, but never more than half of an item's."""
-        keep = {c for c in self.places if found_in.get(c, 0) <= rare}
+        """Drops n-grams of common words: those in more than ``rare`` documents and five times the item's mean.
+
+        The mean makes room for leaks: where copies of an item, whole or edited, are frequent, so are most of its n-grams.
+        """
+        keep: set[int] = set()
         for words in self.words.values():
-            codes = sorted(set(self.codes(words).tolist()), key=lambda c: (found_in.get(c, 0), c))
-            keep.update(codes[: (len(codes) + 1) // 2])
+            codes = np.unique(self.codes(words)).tolist()
+            most = max(rare, 5 * sum(found_in.get(c, 0) for c in codes) / len(codes))
+            keep.update(c for c in codes if found_in.get(c, 0) <= most)
         self.places = {c: p for c, p in self.places.items() if c in keep}
         self.sorted = np.array(sorted(self.places), np.int64)
 
@@ -103,15 +107,20 @@ def windows(hits: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int
             first = i
 
 
-def matches(text: str, seeds: Seeds, least: float) -> Iterator[tuple]:
-    """(item_id, score, matched, item_words, start, end) of each item whose best alignment reaches ``least``."""
-    words, at, codes = seeds.hits(text)
+def by_item(seeds: Seeds, at: np.ndarray, codes: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+    """The seeds of each item, from (place in the text, code)."""
     by: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for p, c in zip(at.tolist(), codes.tolist(), strict=True):
         for i, k in seeds.places[c]:
             by[i].append((p, k))
+    return by
+
+
+def matches(text: str, seeds: Seeds, least: float) -> Iterator[tuple]:
+    """(item_id, score, matched, item_words, start, end) of each item whose best alignment reaches ``least``."""
+    words, at, codes = seeds.hits(text)
     found = []
-    for i, hits in by.items():
+    for i, hits in by_item(seeds, at, codes).items():
         item, best = seeds.words[i], None
         for a, b in windows(hits, len(item)):
             a = max(0, a)
@@ -149,12 +158,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
         def count(batches: Iterator[pd.DataFrame], seeds: Seeds = seeds) -> Iterator[pd.DataFrame]:
             total: dict[int, int] = defaultdict(int)
             for pdf in batches:
-                for text in pdf["text"]:
-                    for c in np.unique(seeds.hits(text)[2]).tolist():
+                keep = np.zeros(len(pdf), bool)
+                for r, text in enumerate(pdf["text"]):
+                    _, at, codes = seeds.hits(text)
+                    for c in np.unique(codes).tolist():
                         total[c] += 1
-            yield pd.DataFrame({"code": list(total), "docs": list(total.values())}, dtype="int64")
+                    keep[r] = len(at) > 1 and any(True for i, hits in by_item(seeds, at, codes).items() for _ in windows(hits, len(seeds.words[i])))
+                yield pdf[keep].assign(code=0, docs=0)
+            yield pd.DataFrame({"doc_id": 0, "text": None, "code": list(total), "docs": list(total.values())})
 
-        in_docs = docs.select("text").mapInPandas(count, "code long, docs long").groupBy("code").agg(F.sum("docs").alias("docs"))
+        # rows with a text are documents to look at, the others are counts
+        seen = written(docs.mapInPandas(count, "doc_id long, text string, code long, docs long"), "seeds")
+        in_docs = seen.where("text is null").groupBy("code").agg(F.sum("docs").alias("docs"))
         seeds.keep_rare({r.code: r.docs for r in in_docs.collect()}, limit)  # at most the block's own n-grams
 
         def find(batches: Iterator[pd.DataFrame], seeds: Seeds = seeds) -> Iterator[pd.DataFrame]:
@@ -162,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
                 rows = [(d, *m) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for m in matches(text, seeds, least)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")]).astype({"start": "Int64", "end": "Int64"})
 
-        found = docs.mapInPandas(find, RESULT)
+        found = seen.where("text is not null").select("doc_id", "text").mapInPandas(find, RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
