@@ -31,7 +31,7 @@ def distinct_words(text: str | None) -> set[str]:
     return set(LETTERS.findall((text or "").lower()))
 
 
-def nnpu(x_pos: np.ndarray, x_any: np.ndarray, prior: float, rounds: int = 2000, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.01, seed: int = 5) -> tuple[np.ndarray, float]:
+def nnpu(x_pos: np.ndarray, x_any: np.ndarray, prior: float, rounds: int = 1200, batch: int = 1024, rate: float = 0.05, decay: float = 1e-4, slack: float = 0.01, seed: int = 5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the sigmoid loss, by Adam."""
     rng = np.random.default_rng(seed)
     w = np.zeros(x_pos.shape[1] + 1)
@@ -79,26 +79,28 @@ class Model:
 
 def fit(positive: list[set[str]], unlabelled: list[set[str]], prior: float, most: int = 2000) -> Model:
     """Chooses the features that toxic documents have far more often than others, then learns their weights."""
-    def tally(docs: list[set[str]]) -> Counter:
-        n: Counter = Counter()
-        for words in docs:
-            n.update({f for w in words for f in parts(w)})
-        return n
-
-    in_pos, in_any = tally(positive), tally(unlabelled)
+    in_pos: Counter = Counter()
+    for words in positive:
+        in_pos.update({f for w in words for f in parts(w)})
     a, b, least = len(positive) + 1, len(unlabelled) + 1, max(3, 0.015 * len(positive))
+    # only these can be chosen; a word's share of them is found once
+    some = Model(dict.fromkeys((f for f, n in in_pos.items() if n >= least), 0.0), 0.0)
+    in_any: Counter = Counter()
+    for words in unlabelled:
+        in_any.update(some.features(words))
     gain = {}
-    for f, n in in_pos.items():
+    for f in some.weight:
+        n = in_pos[f]
         p, q = (n + 0.5) / a, (in_any[f] + 0.5) / b
-        if n >= least and p > 2.5 * q and (p - q) ** 2 * a > 16 * q * (1 - q):
+        if p > 2.5 * q and (p - q) ** 2 * a > 16 * q * (1 - q):
             gain[f] = n * math.log(p / q)
     chosen = sorted(gain, key=lambda f: (-gain[f], f))[:most]
-    place = {f: i for i, f in enumerate(chosen)}
+    place, some = {f: i for i, f in enumerate(chosen)}, Model(gain, 0.0)
 
     def rows(docs: list[set[str]]) -> np.ndarray:
         x = np.zeros((len(docs), len(chosen)), np.float32)
         for r, words in enumerate(docs):
-            x[r, [place[f] for w in words for f in parts(w) if f in place]] = 1
+            x[r, [place[f] for f in some.features(words) if f in place]] = 1
         return x
 
     w, bias = nnpu(rows(positive), rows(unlabelled), prior)
