@@ -273,7 +273,9 @@ def repeated_spans(docs: DataFrame, crowd: int = 50_000, bucket_rows: int = 40_0
     found = written(found, "anchors")
     # partial counts first: a lead that a third of all texts hold is one row from each task
     leads = found.groupBy("lead").agg(F.count("*").alias("many"), F.min("around").alias("least"), F.max("around").alias("most")).where("many > 1")
-    again = written(found.join(leads.select("lead", (F.col("least") == F.col("most")).alias("alike")), "lead"), "again")
+    # a table of its own: between two plain shuffles Spark can split what a frequent lead brings to the join
+    leads = written(leads.select("lead", (F.col("least") == F.col("most")).alias("alike")), "leads")
+    again = written(found.join(leads, "lead"), "again")
     whole = [F.greatest(F.lit(0), F.col("pos") - BACK).alias("from"), F.least(F.col("pos") + LENGTH, F.col("n")).alias("to")]
     mixed_leads = again.where("not alike")
     kinds = written(mixed_leads.groupBy("lead", "around").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "tid", "pos")).alias("one")), "kinds")
@@ -310,7 +312,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     the input. Null text: no bytes. Texts below 400 bytes keep all. Repeated rows are copies of each other. No rows: none.
     """
     spans = repeated_spans(docs).distinct()
-    by_text = spans.groupBy("tid").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    by_text = written(spans.groupBy("tid").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
