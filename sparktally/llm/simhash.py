@@ -15,11 +15,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import cut, table
+from .common import cut, table, written
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -179,9 +179,104 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
     return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row whose id is least stays, once."""
-    first = near_duplicates(docs).select(F.col("component_id").alias("doc_id")).where("doc_id is not null").distinct()
+#: Min-hashes of a text: this many bands of this many rows. A pair at similarity 0.8 shares a band with probability 0.99994.
+BANDS, BAND_ROWS = 32, 6
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The different shingles' hashes in ascending order."""
+    found = list(shingle_hashes(text or b"", width))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+
+
+def band_keys(shingles: np.ndarray, seed: int = 13) -> np.ndarray:
+    """One number for each band: the hash of the least values of its hash functions over the shingles."""
+    rng = np.random.default_rng(seed)
+    times, plus = rng.integers(0, 1 << 64, (2, BANDS * BAND_ROWS), dtype=np.uint64)
+    times |= np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, FULL)
+    for i in range(0, len(shingles), 2048):
+        np.minimum(least, (shingles[i : i + 2048, None] * times + plus).min(axis=0), out=least)
+    return np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, BAND_ROWS))), np.uint64, BANDS)
+
+
+def similar_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
+    """A spanning forest (member, root) of the pairs of sets whose Jaccard similarity is at least ``similar``, exactly.
+
+    Like local_links(), a search that takes away what it reaches; common shingles are counted over lists of their owners.
+    """
+    size = np.array([len(x) for x in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    ends = np.cumsum(np.bincount(code))
+    begins, own = ends - np.bincount(code), np.split(code, np.cumsum(size)[:-1])
+    alive, out = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not alive[first]:
+            continue
+        alive[first] = False
+        front = [first]
+        while front and alive.any():
+            x = front.pop()
+            lists = [owner[a:b] for a, b in zip(begins[own[x]].tolist(), ends[own[x]].tolist(), strict=True) if b - a > 1]
+            if not lists:
+                continue
+            common = np.bincount(np.concatenate(lists), minlength=len(sets))
+            found = np.nonzero(alive & (common >= similar * (size + size[x] - common) - 1e-9))[0].tolist()
+            alive[found] = False
+            out += [(y, first) for y in found]
+            front += found
+    return out
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_rows: int = 4096) -> DataFrame:
+    """(row, doc_id, component) for each row of ``docs``; row: a hash of all its columns.
+
+    Texts are linked if their sets of shingles of ``width`` words have a Jaccard similarity of at least ``similar``. Bands
+    of min-hashes propose the pairs, the sets themselves decide. Texts without words, or null, are one component.
+    """
+
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [shingle_set(x, width) for x in pdf["text"]]
+            named = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets), np.uint64, len(sets))
+            keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "node": named.view(np.int64), "keys": keys})
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for node, keys, text in zip(pdf["node"], pdf["keys"], pdf["text"], strict=True):
+                yield pd.DataFrame({"key": keys, "node": node, "shingles": [shingle_set(text, width).view(np.int64)] * len(keys)})
+
+    def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, g in pdf.groupby("key"):
+            nodes = g["node"].tolist()
+            found += [(nodes[a], nodes[b]) for a, b in similar_links([x.view(np.uint64) for x in g["shingles"]], similar)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    rows = docs.select(row_hash(docs).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    marked = written(rows.mapInPandas(sketch, "row string, doc_id string, node long, keys array<long>"), "sketches")
+    # equal sets are one node; of each, one row gives the text
+    nodes = marked.groupBy("node").agg(F.min_by(F.struct("row", "keys"), "row").alias("n")).select("node", "n.row", F.explode("n.keys").alias("key"))
+    shared = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    need = written(nodes.join(shared, "key").groupBy("row").agg(F.first("node").alias("node"), F.collect_list("key").alias("keys")), "proposed")
+    texts = rows.select("row", "text").join(need, "row").dropDuplicates(["row"]).select("node", "keys", "text")
+    shards = 1 + (need.agg(F.sum(F.size("keys"))).first()[0] or 0) // shard_rows
+    placed = texts.mapInPandas(place, "key long, node long, shingles array<long>")
+    edges = placed.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(pairs, "a long, b long").distinct()
+    comp = connected_components(edges).withColumnRenamed("component", "of")
+    found = marked.select("row", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "node")
+    return found.join(comp, "node", "left").select("row", "doc_id", F.coalesce("of", "node").alias("component"))
+
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.md5(F.to_json(F.struct(*docs.columns)))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without near-copies: of each component of similar_texts() the row whose id is least stays, once."""
+    first = similar_texts(docs, width, similar).groupBy("component").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 

@@ -239,6 +239,50 @@ def test_simhash(spark, docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def near_groups_by_force(texts, width=5, similar=0.8):
+    """The components of the texts' exact shingle similarity, by their positions."""
+    sets = []
+    for t in texts:
+        w = re.findall(WORD, (t or "").lower())
+        sets.append({" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    label = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        a, b = sets[i], sets[j]
+        if (a == b or 5 * len(a & b) >= 4 * len(a | b)) and label[i] != label[j]:
+            label = [label[i] if x == label[j] else x for x in label]
+    return label
+
+
+def edited_copies(rng, n_texts, copies):
+    """Texts of 60-400 words, each with copies in which one to eight words are others."""
+    for _ in range(n_texts):
+        base = words(rng, rng.randint(60, 400), "theandwhorly").split()
+        yield " ".join(base)
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randint(1, 8)):
+                w[rng.randrange(len(w))] = words(rng, 1, "xyzuvw")
+            yield " ".join(w)
+
+
+def test_keep_one_finds_edited_copies(spark):
+    texts = [*edited_copies(random.Random(31), 25, 5), *edited_copies(random.Random(32), 1, 60), None, "", "two words", "Two  words", "two other"]
+    label = near_groups_by_force(texts)
+    least = sorted({min(i for i, x in enumerate(label) if x == k) for k in label})
+    fps = [simhash.fingerprint((t or "").encode()) for t in texts]
+    assert len(set(groups(set(fps), 3).values())) > len(least)  # what three bits reach leaves more
+    assert sorted(r.doc_id for r in simhash.keep_one(table(spark, list(enumerate(texts))).repartition(3)).collect()) == least
+    assert simhash.keep_one(table(spark, [])).count() == 0
+
+
+def test_min_hash_recall():
+    rng, hit = np.random.default_rng(5), 0
+    for _ in range(400):  # pairs just at 0.8: 80 shingles in common, ten own ones each
+        x = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+        hit += bool((simhash.band_keys(x[:90]) == simhash.band_keys(np.concatenate([x[:80], x[90:]]))).any())
+    assert hit >= 399
+
+
 def test_simhash_trees_lose_no_pair(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
