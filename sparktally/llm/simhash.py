@@ -275,9 +275,16 @@ def row_hash(docs: DataFrame) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` without near-copies: of each component of similar_texts() the row whose id is least stays, once."""
-    first = similar_texts(docs, width, similar).groupBy("component").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    """The rows of ``docs`` without near-copies: of each component of similar_texts() the row with the least id, nulls last.
+
+    Rows that share an id are told apart by a hash of all columns, the least stays; of equal rows one stays.
+    """
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
+    first = similar_texts(docs, width, similar).groupBy("component").agg(best).select(F.col("best.row").alias("near_row"))
+    # the columns to keep travel in a struct, so that none of them meets a name used here
+    rows = docs.select(row_hash(docs).alias("near_row"), F.struct(*docs.columns).alias("near_kept"))
+    kept = rows.join(first, "near_row", "left_semi").dropDuplicates(["near_row"])
+    return kept.select(*[F.col("near_kept")[c].alias(c) for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

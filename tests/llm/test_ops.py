@@ -283,6 +283,15 @@ def test_min_hash_recall():
     assert hit >= 399
 
 
+def test_keep_one_null_and_shared_ids(spark):
+    rng = random.Random(33)
+    a, b, c, d, e = (words(rng, 40, "theandwhorly") for _ in range(5))
+    data = [(None, a), (None, a), (7, b), (7, c), (7, c), (None, d), (8, d), (9, e), (9, e + " end")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(table(spark, data).repartition(3)).collect()]
+    assert same(x for x in kept if x[0] != 9) == same([(None, a), (7, b), (7, c), (8, d)])
+    assert [x[0] for x in kept].count(9) == 1
+
+
 def test_simhash_trees_lose_no_pair(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
