@@ -257,17 +257,13 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, word_no long, word string, lang string, probability double")
 
 
-def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents that have no language: no letters, or none with at least ``least`` of the words."""
-    model = train(docs)
+def keep_known(docs: DataFrame) -> DataFrame:
+    """``docs`` without those that predict() calls ``und`` whatever the model: null or no letters. Mixed languages stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = Labeller(model) if model else None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, g in labeller.marginals(batch.column("text").to_pylist()) if labeller else ():
-                keep[i] = g.mean(axis=0).max() >= least
-            yield batch.filter(pa.array(keep))
+            keep = [bool(LETTERS.search(x or "")) for x in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -72,6 +72,16 @@ def test_langid(spark, docs, rows, none):
     assert langid.predict(docs.limit(2), None).first().lang_pred == "und"
 
 
+def test_keep_known_keeps_mixtures(spark):
+    rng = random.Random(3)
+    own = {"en": "theandwhorly", "fr": "éèçauoile", "de": "schungßäpf"}
+    data = [(i, words(rng, 60, own[lang]), lang) for i in range(90) for lang in [list(own)[i % 3]]]
+    data += [(100, " ".join(words(rng, n, own[lang]) for lang, n in zip(own, (40, 30, 30)))), (101, "x"), (102, "1 2 3"), (103, None)]
+    docs = table(spark, data)
+    und = {r.doc_id for r in langid.predict(docs, langid.train(docs)).where("lang_pred = 'und'").collect()}
+    assert und == {102, 103} and {r.doc_id for r in langid.keep_known(docs).collect()} == {*range(90), 100, 101}
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     e, step, start = rng.random((4, 1, 3)), rng.random((3, 3)), rng.random(3)
