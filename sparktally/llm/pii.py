@@ -149,14 +149,14 @@ class Rewritten:
 
 
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows; those that meet a base span of their kind are left out."""
+    """Spans that only the rewritten text shows; those that lie within a base span of their kind are left out."""
     changes = rewrites(text, text.lower())
     if not changes:
         return []
     new, out = Rewritten(text, changes), []
     for kind, s, e in base_spans(new.text):
         a, b = new.back(s, e)
-        if not any(k == kind and x < b and a < y for k, x, y in base):
+        if not any(k == kind and x <= a and b <= y for k, x, y in base):
             out.append((kind, a, b))
     return out
 

@@ -193,6 +193,18 @@ def test_pii(spark, none):
     assert pii.find_pii(none).count() == 0
 
 
+def every_span(text):
+    base = pii.base_spans(text)
+    return {*base, *pii.disguised_spans(text, base)}
+
+
+def test_pii_fragments_do_not_hide_the_whole(spark):
+    for text in ("jоhn@example.com", "john [dot] smith@example.com", "user@mail.example [dot] com", "user@mail.exаmple"):
+        assert ("email", 0, len(text)) in every_span(text) and {*pii.base_spans(text)} <= every_span(text), text
+        assert pii.mask_pii(table(spark, [(1, f"to {text}, now")])).first().text == "to <email>, now"
+    assert every_span("а a@b.co b") == {("email", 2, 8)}
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 16)) + rng.integers(0, 4, (1200, 1))
