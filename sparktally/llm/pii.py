@@ -74,16 +74,26 @@ def base_spans(text: str) -> list[Span]:
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαονρΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaovpABEZHIKMNOPTYX", strict=True))
 INVISIBLE = "​‌‍⁠﻿­"
 WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-SIGNS = {"plus": "+", "dot": ".", "point": ".", "dash": "-", "hyphen": "-"}
+SIGNS = {"plus": "+", "dash": "-", "hyphen": "-"}
 STRANGE = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}！-～٠-٩۰-۹०-९⁰-₉①-⑨\U0001d7ce-\U0001d7ff]")
 OPEN, CLOSE = r"[(\[{<]", r"[)\]}>]"
 BOXED = re.compile(rf"\s?{OPEN}\s?(at|dot|@|\.|punto|point|arroba)\s?{CLOSE}\s?", re.I)
-SPOKEN = re.compile(r"(?<![\w.])[A-Za-z0-9][\w.+-]*(?P<at>\s(?:at|arroba)\s)[A-Za-z0-9-]+(?P<dots>(?:\s(?:dot|punto|point)\s[A-Za-z0-9-]+)+)(?!\w)", re.I)
-DOTS = re.compile(r"\s(?:dot|punto|point)\s", re.I)
-MIXED = re.compile(r"(?<=\w)\s(?:at|arroba)\s(?=[A-Za-z0-9-]+\s?[(\[{<]\s?(?:dot|\.)\s?[)\]}>])", re.I)
+#: What stands on both sides of a spoken sign.
+INNER = rf"[\w{INVISIBLE}]"
+SPOKEN_DOT = re.compile(rf"(?<={INNER})\s{{1,3}}(?:dot|punto|point)\s{{1,3}}(?={INNER})", re.I)
+SPOKEN_AT = re.compile(rf"(?<={INNER})\s{{1,3}}(?:at|arroba)\s{{1,3}}(?={INNER})", re.I)
+#: After a spoken at: a domain with a disguised dot, or a plain one.
+LABEL = rf"[\w{INVISIBLE}-]+"
+DISGUISED = re.compile(rf"{LABEL}(?:\.{LABEL})*(?:\s?{OPEN}\s?(?:dot|\.|punto|point)\s?{CLOSE}\s?|\s{{1,3}}(?:dot|punto|point)\s{{1,3}}){INNER}", re.I)
+PLAIN = re.compile(rf"{LABEL}(?:\.{LABEL})+")
+#: A local part that is no word of prose: it has a digit or a sign within, or a disguised dot before its last part.
+NAMED = re.compile(rf"(?:[\w.%+-]*[0-9_.%+-][\w.%+-]*|(?:{CLOSE}\s?|\s(?:dot|punto|point)\s{{1,3}})\w+)\Z", re.I)
 DIGIT = "|".join(WORDS)
-SPELLED = re.compile(rf"(?<!\w)(?:plus[\s,-]+)?(?:{DIGIT})(?:[\s,-]+(?:{DIGIT}|{'|'.join(SIGNS)}|[0-9])){{6,}}(?!\w)", re.I)
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]")
+UNIT, GAP = rf"(?:{DIGIT}|{'|'.join(SIGNS)}|[0-9]+)", r"[\s,-]{1,3}"
+#: A spelled digit with the digits, spelled or not, before and after it.
+SPELLED = re.compile(rf"(?<!\w){UNIT}(?!\w)(?:{GAP}{UNIT}(?!\w))*+", re.I)
+NUMBER_WORD = re.compile(rf"(?<!\w)(?:{DIGIT})(?!\w)", re.I)
+TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
 @cache
@@ -104,19 +114,22 @@ def rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     if "(" in text or "[" in text or "{" in text or "<" in text:
         found += [(*m.span(), "@" if m[1].lower() in ("at", "@", "arroba") else ".") for m in BOXED.finditer(text)]
-        if found:
-            found += [(*m.span(), "@") for m in MIXED.finditer(text)]
-    if " dot " in low or " punto " in low or " point " in low:
-        for m in SPOKEN.finditer(text):
-            found.append((*m.span("at"), "@"))
-            found += [(*d.span(), ".") for d in DOTS.finditer(text, *m.span("dots"))]
-    if sum(low.count(w) for w in WORDS) >= 6:
+    if "dot" in low or "punto" in low or "point" in low:
+        found += [(*m.span(), ".") for m in SPOKEN_DOT.finditer(text)]
+    for m in SPOKEN_AT.finditer(text) if "at" in low or "arroba" in low else ():
+        if DISGUISED.match(text, m.end()) or PLAIN.match(text, m.end()) and NAMED.search(text, max(0, m.start() - 80), m.start()):
+            found.append((*m.span(), "@"))
+    if any(w in low for w in WORDS) and NUMBER_WORD.search(text):
         for m in SPELLED.finditer(text):
-            end = m.start()
+            end, worded = m.start(), False
             for t in TOKEN.finditer(text, *m.span()):
-                # what separates two tokens goes with the second
-                found.append((end if end > m.start() else t.start(), t.end(), WORDS.get(t[0].lower(), SIGNS.get(t[0].lower(), t[0]))))
-                end = t.end()
+                instead = WORDS.get(t[0].lower(), SIGNS.get(t[0].lower()))
+                # what separates two tokens goes, if one of them is a word
+                if end > m.start() and end < t.start() and (worded or instead):
+                    found.append((end, t.end() if instead else t.start(), instead or ""))
+                elif instead:
+                    found.append((t.start(), t.end(), instead))
+                end, worded = t.end(), bool(instead)
     if not text.isascii():
         found += [(m.start(), m.end(), plain(m[0])) for m in STRANGE.finditer(text)]
     out: list[tuple[int, int, str]] = []

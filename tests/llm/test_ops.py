@@ -205,6 +205,18 @@ def test_pii_fragments_do_not_hide_the_whole(spark):
     assert every_span("а a@b.co b") == {("email", 2, 8)}
 
 
+def test_pii_mixed_disguises():
+    for text in ("user [at] example dot com", "user@example dot com", "john dot smith at example dot com", "user at\texample\tdot\ncom", "john.smith at example.com", "user at example [dot] com", "jоhn at example dot com"):
+        assert ("email", 0, len(text)) in every_span(text), text
+    for text in ("4111 1111 1111 one one one one", "four one one one 1111 1111 1111", "4111 one one one one 1111, one 111"):
+        assert ("card", 0, len(text)) in every_span(text), text
+    for text in ("+1 555 010 two three four five", "plus one 555 010 2345"):
+        assert ("phone", 0, len(text)) in every_span(text), text
+    assert ("ip", 0, 21) in every_span("192 dot 168 dot 1.one") and not every_span("192 dot 168 dot 1.300")
+    for text in ("we met at example.com and had one point two", "one of us saw 12 or two at noon.", "look at this dot"):
+        assert not every_span(text), text
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 16)) + rng.integers(0, 4, (1200, 1))
