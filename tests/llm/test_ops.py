@@ -165,6 +165,47 @@ def test_suffixes_sort_and_pieces(monkeypatch):
     substrings._POWERS.clear()
 
 
+def passages_by_force(texts, n=50):
+    """For each text how many of its words lie in n-word passages that another text of the list holds."""
+    lists, owners = [t.split() for t in texts], {}
+    for i, w in enumerate(lists):
+        for p in range(len(w) - n + 1):
+            owners.setdefault(tuple(w[p : p + n]), set()).add(i)
+    for w in lists:
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - n + 1):
+            if len(owners[tuple(w[p : p + n])]) > 1:
+                gone[p : p + n] = True
+        yield int(gone.sum())
+
+
+@pytest.mark.parametrize("crowd", [50_000, 3])
+def test_passages_of_words(spark, monkeypatch, crowd):
+    rng = random.Random(15)
+    passages = [words(rng, n, "abcdef") for n in (49, 50, 51, 60, 75, 130)]
+    texts = []
+    for i in range(90):
+        pick = [rng.choice(passages) for _ in range(rng.randint(0, 3))]
+        texts.append(" ".join(x for p in pick for x in (" ".join(p.split()[rng.choice((0, 0, 1, 30)) :]), words(rng, rng.randint(0, 30), "xyzuvw"))))
+    own = words(rng, 70, "ghijkl")  # twice in one text only: no other document holds it
+    data = list(enumerate(texts)) + [(900, None), (901, " "), (902, "of " * 300), (903, f"{own} and {own}"), (3, texts[3]), (904, texts[4]), (906, f"{passages[5]} q {passages[5][10:]} r"), (907, f"{passages[5]} q"), (905, "z" * 20_000 + " " + passages[4].replace(" ", "\n\t"))]
+    monkeypatch.setattr(substrings.repeated_spans, "__defaults__", (crowd, 40_000))
+    got = substrings.remove_repeats(table(spark, data).repartition(3)).collect()
+    want = zip((i for i, _ in data), passages_by_force([(t or "").encode() for _, t in data]))
+    assert same((r.doc_id, r.n_passage_words) for r in got) == same(want)
+
+
+def test_words_have_one_number_everywhere(monkeypatch):
+    rng = random.Random(16)
+    text = " ".join(["x" * 9000, "y" * 5000, words(rng, 6000, "abc"), "x" * 9000, "y" * 5000, "end"]).encode()
+    whole = substrings.token_values(text, substrings.WORD)
+    monkeypatch.setattr(substrings, "PIECE", 8192)
+    substrings._POWERS.clear()
+    assert np.array_equal(whole, substrings.token_values(text, substrings.WORD)) and len(whole) == 6005
+    assert whole[0] == whole[-3] and len(set(whole.tolist())) == len(set(text.split()))
+    substrings._POWERS.clear()
+
+
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
