@@ -460,6 +460,35 @@ def test_mix(spark, docs, rows, none):
     assert mixing.mix(none).count() == 0 and mixing.taken_words(mixing.sized(none), mixing.plan(mixing.sized(none))).count() == 0
 
 
+def test_mix_quotas_and_draws(spark, docs):
+    whole = {"a": 37, "b": 5, None: 64, "c": 1}
+    for depth in (0, 1, 4):
+        got = mixing.quotas(spark.createDataFrame(list(whole.items()), "source string, quota long"), depth).collect()
+        by_shard = {}
+        for r in got:
+            by_shard[r.mix_shard] = by_shard.get(r.mix_shard, 0) + r.quota
+        assert all(sum(r.quota for r in got if r.source == s) == n for s, n in whole.items())
+        assert sum(by_shard.values()) == 107 and max(by_shard.values()) - min(by_shard.get(i, 0) for i in range(2**depth)) <= max(1, depth)
+    # the left half of one split has a hypergeometric number of a source's lots: mean and variance over many trees
+    lots = [sum(r.quota for r in mixing.quotas(spark.createDataFrame([("a", 20), ("b", 20)], "source string, quota long"), 1, seed).collect() if r.source == "a" and r.mix_shard == 0) for seed in range(40)]
+    assert abs(np.mean(lots) - 10) < 1.5 and 0.8 < np.var(lots) < 6
+    rows = mixing.sized(docs.select("doc_id", "source", "text"))
+    blocks = mixing.plan(rows)
+    units = mixing.unit_shards(blocks, 3).collect()
+    drawn = {}
+    for u in units:
+        drawn.setdefault((u.source, u.mix_block), set()).add(u.epoch)
+    for b in blocks.collect():
+        goal = round(b.target)
+        assert drawn.get((b.source, b.mix_block), set()) == {e for e in (0, 1) if b.block_size and b.block_from + e * b.source_size < goal}
+    taken = mixing.taken_words(rows, blocks, 3).collect()
+    assert all(r.taken == sum(d.words for d in r.mix_draws) for r in taken)
+    # where the cut is narrowed down digit by digit the result is the same
+    again = mixing.taken_words(rows, mixing.plan(rows, part_rows=1), 3).collect()
+    assert same((r.doc_id, r.mix_key, r.mix_size, r.taken) for r in taken) == same((r.doc_id, r.mix_key, r.mix_size, r.taken) for r in again)
+    assert mixing.taken_words(rows, mixing.plan(rows, most_rows=0), 3).agg(F.sum("taken")).first()[0] == sum(r.taken for r in taken)
+
+
 def test_toxicity(spark, none):
     rng = random.Random(9)
     clean = lambda: words(rng, rng.randint(5, 60), "theandwhorly").split()
