@@ -1,8 +1,9 @@
 """Personal data with offsets, also where it is disguised.
 
-Base patterns find emails, IP addresses, card and phone numbers as they stand. Then transducers rewrite a text
-(look-alike characters, spelled digits, ``at`` and ``dot`` disguises), keeping for every rewritten piece the stretch of
-source characters it comes from; the same patterns run on the rewritten text and their spans are mapped back.
+Base patterns find emails, IP addresses, card and phone numbers as they stand. Then a chain of transducers normalises a
+text, each on the output of the one before: look-alike and invisible characters, letters that stand for digits, spelled
+digits, and ``at`` and ``dot`` disguises. Every one keeps the stretch of its input that each piece of its output comes
+from; the same patterns run on the last output, and their spans are mapped back through the chain.
 """
 
 from __future__ import annotations
@@ -88,12 +89,20 @@ DISGUISED = re.compile(rf"{LABEL}(?:\.{LABEL})*(?:\s?{OPEN}\s?(?:dot|\.|punto|po
 PLAIN = re.compile(rf"{LABEL}(?:\.{LABEL})+")
 #: A local part that is no word of prose: it has a digit or a sign within, or a disguised dot before its last part.
 NAMED = re.compile(rf"(?:[\w.%+-]*[0-9_.%+-][\w.%+-]*|(?:{CLOSE}\s?|\s(?:dot|punto|point)\s{{1,3}})\w+)\Z", re.I)
+TIMES = {"double": 2, "triple": 3}
 DIGIT = "|".join(WORDS)
-UNIT, GAP = rf"(?:{DIGIT}|{'|'.join(SIGNS)}|[0-9]+)", r"[\s,-]{1,3}"
+TWICE = rf"(?:{'|'.join(TIMES)})\s{{1,3}}"
+UNIT, GAP = rf"(?:{TWICE}(?:{DIGIT}|[0-9](?![0-9]))|{DIGIT}|{'|'.join(SIGNS)}|[0-9]+)", r"[\s,-]{1,3}"
 #: A spelled digit with the digits, spelled or not, before and after it.
 SPELLED = re.compile(rf"(?<!\w){UNIT}(?!\w)(?:{GAP}{UNIT}(?!\w))*+", re.I)
-NUMBER_WORD = re.compile(rf"(?<!\w)(?:{DIGIT})(?!\w)", re.I)
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]+")
+NUMBER_WORD = re.compile(rf"(?<!\w)(?:{DIGIT}|{'|'.join(TIMES)})(?!\w)", re.I)
+TOKEN = re.compile(rf"(?:({'|'.join(TIMES)})\s+(?=(?:{DIGIT}|[0-9])(?!\w)))?([A-Za-z]+|[0-9]+)", re.I)
+#: Letters and signs written for digits, within a word of such and digits only.
+FOR_DIGITS = {"O": "0", "o": "0", "l": "1", "I": "1", "|": "1"}
+LETTERED = re.compile(r"(?<![A-Za-z0-9|])(?=[OolI|]*[0-9])[0-9OolI|]*[OolI|][0-9OolI|]*(?![A-Za-z0-9|])")
+JOINED = re.compile(r"[A-Za-z0-9.+-]_at_[A-Za-z0-9-]+(?:_dot_[A-Za-z0-9-]+)+", re.I)
+JOINED_LOCAL = re.compile(r"(?:_dot_[A-Za-z0-9.+-]+)+\Z", re.I)
+JOINT = re.compile(r"_(at|dot)_", re.I)
 
 
 @cache
@@ -109,9 +118,45 @@ def plain(c: str) -> str:
     return simple if simple.isascii() and len(simple) == 1 else c
 
 
-def rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
-    """(start, end, instead), in order and without overlaps."""
-    found: list[tuple[int, int, str]] = []
+Change = tuple[int, int, str]
+
+
+def characters(text: str) -> list[Change]:
+    """Look-alikes, other scripts' digits and full-width forms become ASCII; invisible characters go."""
+    return [] if text.isascii() else [(m.start(), m.end(), plain(m[0])) for m in STRANGE.finditer(text)]
+
+
+def lettered(text: str) -> list[Change]:
+    """Letters that stand for digits, one by one."""
+    return [(i, i + 1, FOR_DIGITS[text[i]]) for m in LETTERED.finditer(text) for i in range(*m.span()) if text[i] in FOR_DIGITS]
+
+
+def spelled(text: str) -> list[Change]:
+    """Spelled digits and signs, with what separates them from the digits beside them."""
+    found: list[Change] = []
+    low = text.lower()
+    if not any(w in low for w in WORDS) or not NUMBER_WORD.search(text):
+        return found
+    for m in SPELLED.finditer(text):
+        end, worded = m.start(), False
+        for t in TOKEN.finditer(text, *m.span()):
+            word = t[2].lower()
+            instead = WORDS.get(word, SIGNS.get(word))
+            if t[1]:
+                instead = (instead or word) * TIMES[t[1].lower()]
+            # what separates two tokens goes, if one of them is a word
+            if end > m.start() and end < t.start() and (worded or instead):
+                found.append((end, t.end() if instead else t.start(), instead or ""))
+            elif instead:
+                found.append((t.start(), t.end(), instead))
+            end, worded = t.end(), bool(instead)
+    return found
+
+
+def signs(text: str) -> list[Change]:
+    """``at`` and ``dot`` in brackets, spoken or between underscores; in order and without overlaps."""
+    found: list[Change] = []
+    low = text.lower()
     if "(" in text or "[" in text or "{" in text or "<" in text:
         found += [(*m.span(), "@" if m[1].lower() in ("at", "@", "arroba") else ".") for m in BOXED.finditer(text)]
     if "dot" in low or "punto" in low or "point" in low:
@@ -119,26 +164,19 @@ def rewrites(text: str, low: str) -> list[tuple[int, int, str]]:
     for m in SPOKEN_AT.finditer(text) if "at" in low or "arroba" in low else ():
         if DISGUISED.match(text, m.end()) or PLAIN.match(text, m.end()) and NAMED.search(text, max(0, m.start() - 80), m.start()):
             found.append((*m.span(), "@"))
-    if any(w in low for w in WORDS) and NUMBER_WORD.search(text):
-        for m in SPELLED.finditer(text):
-            end, worded = m.start(), False
-            for t in TOKEN.finditer(text, *m.span()):
-                instead = WORDS.get(t[0].lower(), SIGNS.get(t[0].lower()))
-                # what separates two tokens goes, if one of them is a word
-                if end > m.start() and end < t.start() and (worded or instead):
-                    found.append((end, t.end() if instead else t.start(), instead or ""))
-                elif instead:
-                    found.append((t.start(), t.end(), instead))
-                end, worded = t.end(), bool(instead)
-    if not text.isascii():
-        found += [(m.start(), m.end(), plain(m[0])) for m in STRANGE.finditer(text)]
-    out: list[tuple[int, int, str]] = []
+    for m in JOINED.finditer(text) if "_at_" in low and "_dot_" in low else ():
+        before = JOINED_LOCAL.search(text, max(0, m.start() - 80), m.start() + 1)
+        found += [(*j.span(), "@" if j[1].lower() == "at" else ".") for j in JOINT.finditer(text, before.start() if before else m.start(), m.end())]
+    out: list[Change] = []
     for x in sorted(found, key=lambda x: (x[0], -x[1])):
         if not out or x[0] >= out[-1][1]:
             out.append(x)
     return out
 
 
+CHAIN = (characters, lettered, spelled, signs)
+
+
 class Rewritten:
     """A rewritten text that knows where each of its characters comes from."""
 
@@ -161,14 +199,22 @@ class Rewritten:
         return a + (start - self.at[i]) * same, c + end - self.at[j] if whole else d
 
 
+def normalised(text: str) -> list[Rewritten]:
+    """The outputs of the transducers that change something, in order."""
+    out: list[Rewritten] = []
+    for transducer in CHAIN:
+        if changes := transducer(text):
+            out.append(Rewritten(text, changes))
+            text = out[-1].text
+    return out
+
+
 def disguised_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans that only the rewritten text shows; those that lie within a base span of their kind are left out."""
-    changes = rewrites(text, text.lower())
-    if not changes:
-        return []
-    new, out = Rewritten(text, changes), []
-    for kind, s, e in base_spans(new.text):
-        a, b = new.back(s, e)
+    """Spans that only the normalised text shows; those that lie within a base span of their kind are left out."""
+    chain, out = normalised(text), []
+    for kind, a, b in base_spans(chain[-1].text) if chain else ():
+        for step in reversed(chain):
+            a, b = step.back(a, b)
         if not any(k == kind and x <= a and b <= y for k, x, y in base):
             out.append((kind, a, b))
     return out
@@ -179,10 +225,11 @@ def digest(spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_disguised) for each row of ``docs``.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_disguised, n_spans) for each row of ``docs``.
 
-    The counts are those of the base spans. spans: all spans, ``kind:start:end`` by kind, then start, comma-joined.
-    Null or empty text: no spans. Repeated rows each get their row. Other columns are ignored.
+    The counts are those of the base spans. spans: all spans, ``kind:start:end`` by kind, then start, comma-joined; n_spans: how many.
+    Null or empty text: no spans. Texts of any length are searched whole, in time that grows with the length. Repeated
+    rows each get their row. Other columns, whatever their names, are ignored. No rows: none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,13 +240,13 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 more = disguised_spans(text or "", base)
                 kinds = [k for k, _, _ in base]
                 every = sorted([*base, *more], key=lambda x: (KINDS.index(x[0]), x[1], x[2])) if more else base
-                rows.append((*[kinds.count(k) for k in KINDS], hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(more)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised"])
+                rows.append((*[kinds.count(k) for k in KINDS], hashlib.sha256(digest(base).encode()).hexdigest(), digest(every), len(more), len(every)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised", "n_spans"])
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long"
+    schema = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_disguised long, n_spans long"
     return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

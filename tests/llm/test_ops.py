@@ -258,6 +258,42 @@ def test_pii_mixed_disguises():
         assert not every_span(text), text
 
 
+def test_pii_composed_disguises():
+    for text in ("jane (аt) mail (dоt) com", "jane at exаmple dot com", "jane_at_mail_dot_com", "jane_dot_doe_at_mail_dot_co_dot_uk", "jane [аt] mail dоt com", "ｊane (ａt) mail (dｏt) com", "jane1 at mаil.com"):
+        assert ("email", 0, len(text)) in every_span(text), text
+    for text in ("plus fоur four two zero seven nine four six zero nine", "plus double four two zero seven nine four six zero nine", "plus triple four 2O 79 46 O9"):
+        assert ("phone", 0, len(text)) in every_span(text), text
+    for text in ("4O12 8888 8888 1881", "4O12 double eight eight eight 8888 l88l", "４o12 8888 8888 188|"):
+        assert ("card", 0, len(text)) in every_span(text), text
+    for text in ("a double room for two", "look_at_this and the dot_com_boom", "Oslo 10 I saw one 0r two"):
+        assert not every_span(text), text
+
+
+def test_pii_offsets_through_the_chain():
+    rng = random.Random(17)
+    parts = ["а", "о", "\u200b", "O", "l", "4", "12", " ", " ", " one ", " double two", "plus ", " (at) ", " dot ", "_at_", "_dot_", "mail", "x", ".", "@", "ü", "８"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 25)))
+        chain, now, source = pii.normalised(text), text, [(i, i + 1) for i in range(len(text))]
+        for transducer in pii.CHAIN:  # each output character with the stretch of the text that it comes from
+            new, places, done = "", [], 0
+            for a, b, instead in [*transducer(now), (len(now), len(now), "")]:
+                assert a >= done
+                new, places = new + now[done:a] + instead, places + source[done:a] + ([(source[a][0], source[b - 1][1])] * len(instead) if instead else [])
+                done = b
+            now, source = new, places
+        if chain:
+            assert chain[-1].text == now
+            for _ in range(10):
+                s = rng.randrange(len(now)) if now else 0
+                e = rng.randint(s + 1, len(now)) if now else 0
+                if e:
+                    a, b = s, e
+                    for step in reversed(chain):
+                        a, b = step.back(a, b)
+                    assert (a, b) == (source[s][0], source[e - 1][1]), (text, now, s, e)
+
+
 def test_ann(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(1200, 16)) + rng.integers(0, 4, (1200, 1))
