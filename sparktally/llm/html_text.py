@@ -1,8 +1,9 @@
 """Main text of web pages: flat text blocks, classified by a decision tree trained on a small labelled table.
 
-A scanner cuts a page into blocks at block-level tags. Each block knows its words, the share of them in links, whether
-an element around it is furniture (navigation, forms, adverts, comments ... by tag or class) or the page's article, and
-the words and link shares of its neighbours. The tree, grown by Gini impurity, says which blocks are content.
+A scanner cuts a page into blocks at block-level tags. Each block knows its words, the share of them in links, those of
+the two blocks before and after it, and in one feature what its markup says (furniture, article, or nothing). The tree,
+grown by Gini impurity on a table that label_blocks draws from pages, half of it with the markup hidden, says which
+blocks are content.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,7 @@ HEAD = frozenset("header head".split())
 LEGAL = re.compile(r"\s*(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 
 
-@cache
+@lru_cache(maxsize=10_000)
 def marks(tag: str, attrs: str) -> tuple[bool, bool, bool]:
     """(furniture, head, article) that an element says of what is in it."""
     named = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(attrs)}
@@ -59,8 +60,7 @@ class Block:
     text: str
     words: int
     density: float
-    furniture: bool
-    article: bool
+    kind: int  # what the markup says: -1 furniture, 0 outside of the page's article, 1 nothing, 2 in an article
 
 
 def blocks(page: str) -> list[Block]:
@@ -78,7 +78,7 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(words)
             share = min(1.0, len("".join(linked).split()) / len(words))
             _, bad, good = stack[-1]
-            out.append(Block(text, len(words), share, bad or (not good and LEGAL.match(text) is not None), good))
+            out.append(Block(text, len(words), share, -1 if bad or (not good and LEGAL.match(text)) else 2 if good else 1))
         parts.clear()
         linked.clear()
 
@@ -150,31 +150,83 @@ def blocks(page: str) -> list[Block]:
                 stack.append((tag, in_bad or bad or (head and not in_good), in_good or good))
                 links += tag == "a"
     flush()
+    if any(b.kind == 2 for b in out):
+        for b in out:
+            b.kind = 0 if b.kind == 1 else b.kind
     return out
 
 
-#: The labelled table: words, link share, words and link share of the block before, the same of the block after,
-#: in furniture, in an article, the page has an article; content or not. Marked by hand on typical pages.
-LABELLED = """
-1 1.0 0 0.0 1 1.0 1 0 1 0|1 1.0 1 1.0 1 1.0 1 0 1 0|1 1.0 1 1.0 8 0.0 1 0 1 0|8 0.0 1 1.0 9 0.0 1 0 1 0|12 0.0 80 0.0 0 0.0 1 0 1 0|40 0.0 60 0.0 30 0.0 1 1 1 0|90 0.0 70 0.0 60 0.0 1 0 0 0
-6 0.5 30 0.0 4 1.0 1 1 1 0|25 0.1 60 0.0 25 0.1 1 1 1 0|3 0.0 2 0.0 1 0.0 1 0 1 0|15 0.0 0 0.0 3 1.0 1 0 0 0|60 0.0 60 0.0 3 0.0 1 0 1 0|2 1.0 70 0.0 2 1.0 1 1 1 0|200 0.0 90 0.0 0 0.0 1 1 1 0
-9 0.0 8 0.0 9 0.0 0 1 1 1|9 0.0 9 0.0 60 0.0 0 1 1 1|1 0.0 60 0.0 40 0.0 0 1 1 1|60 0.0 1 0.0 1 0.0 0 1 1 1|150 0.0 40 0.0 12 0.0 0 1 1 1|40 0.05 150 0.0 6 0.5 0 1 1 1|3 0.0 90 0.0 3 0.0 0 1 1 1
-1 0.0 1 0.0 2 0.0 0 1 1 1|2 0.0 1 1.0 50 0.0 0 1 1 1|80 0.3 20 0.0 30 0.0 0 1 1 1|1 0.0 20 0.0 9 0.0 0 1 1 1|5 0.0 40 0.0 0 0.0 0 1 1 1|30 0.6 50 0.0 50 0.0 0 1 1 1|4 0.0 0 0.0 0 0.0 0 1 1 1
-6 1.0 50 0.0 40 0.0 0 1 1 1|20 0.9 50 0.0 60 0.0 0 1 1 1|300 0.0 0 0.0 0 0.0 0 1 1 1|2 1.0 4 1.0 3 1.0 0 1 1 0|4 1.0 3 1.0 2 1.0 0 1 1 0|3 1.0 2 1.0 0 0.0 0 1 1 0|5 1.0 5 1.0 60 0.0 0 1 1 0
-10 0.0 60 0.0 0 0.0 0 0 1 0|3 0.0 0 0.0 8 0.0 0 0 1 0|50 0.0 1 1.0 8 0.0 0 0 1 0|2 1.0 1 1.0 9 0.0 0 0 1 0|7 0.0 1 0.0 9 0.0 0 0 1 0|20 0.0 60 0.0 4 0.0 0 0 1 0|90 0.0 60 0.0 0 0.0 0 0 1 0
-60 0.0 5 0.0 70 0.0 0 0 0 1|70 0.0 60 0.0 2 1.0 0 0 0 1|12 0.0 70 0.0 50 0.0 0 0 0 1|5 0.0 1 1.0 60 0.0 0 0 0 1|4 0.0 60 0.0 50 0.0 0 0 0 1|120 0.2 0 0.0 30 0.0 0 0 0 1|25 0.0 2 1.0 2 1.0 0 0 0 1
-35 0.1 3 0.0 1 1.0 0 0 0 1|15 0.0 0 0.0 0 0.0 0 0 0 1|8 0.0 45 0.0 15 0.0 0 0 0 1|2 0.0 50 0.0 30 0.0 0 0 0 1|45 0.4 50 0.0 60 0.0 0 0 0 1|11 0.0 20 0.0 20 0.0 0 0 0 1|18 0.0 15 0.0 0 0.0 0 0 0 1
-1 1.0 1 1.0 1 1.0 0 0 0 0|3 1.0 2 1.0 5 0.0 0 0 0 0|2 0.0 2 1.0 3 0.0 0 0 0 0|12 0.8 3 1.0 3 1.0 0 0 0 0|30 0.9 60 0.0 2 1.0 0 0 0 0|3 0.0 1 0.0 2 0.0 0 0 0 0|1 0.0 2 1.0 1 1.0 0 0 0 0
-4 0.5 60 0.0 3 1.0 0 0 0 0|25 0.7 50 0.0 6 0.5 0 0 0 0|2 1.0 60 0.0 2 1.0 0 0 0 0|5 0.8 40 0.0 0 0.0 0 0 0 0|2 0.0 3 1.0 2 1.0 0 0 0 0|15 1.0 2 1.0 0 0.0 0 0 0 0|6 0.6 1 1.0 4 1.0 0 0 0 0
-30 0.0 40 0.0 90 0.0 1 1 1 0|70 0.0 50 0.0 80 0.0 1 1 1 0|12 0.0 30 0.0 60 0.0 1 1 1 0|4 0.0 80 0.0 120 0.0 1 1 1 0|100 0.0 100 0.0 100 0.0 1 0 1 0|22 0.0 50 0.0 18 0.0 1 0 0 0|14 0.0 40 0.0 60 0.0 1 0 0 0
-9 0.0 1 1.0 12 0.0 1 0 1 0|18 0.0 9 0.0 20 0.0 1 0 1 0|45 0.0 20 0.0 33 0.0 1 0 1 0|8 0.0 30 0.0 50 0.0 1 0 0 0|2 0.0 60 0.0 70 0.0 1 1 1 0|55 0.2 14 0.0 15 0.0 1 0 0 0|5 0.0 0 0.0 60 0.0 1 0 0 0
-16 0.0 4 0.0 2 0.0 0 1 1 1|22 0.0 9 0.0 1 0.0 0 1 1 1|70 0.0 30 0.0 5 0.0 0 1 1 1|2 0.0 14 0.0 15 0.0 0 1 1 1|1 0.0 3 0.0 1 0.0 0 1 1 1|10 0.0 6 0.0 0 0.0 0 1 1 1|7 0.0 90 0.0 1 1.0 0 1 1 1
-3 0.0 40 0.0 2 0.0 0 1 1 1|13 0.0 2 1.0 3 0.0 0 1 1 1|19 0.1 60 0.0 9 0.0 0 1 1 1|6 0.0 12 0.0 40 0.0 0 1 1 1|33 0.0 7 0.0 8 0.0 0 1 1 1|1 0.0 1 1.0 1 0.0 0 1 1 1|2 0.0 2 0.0 6 0.0 0 1 1 1
-20 0.0 60 0.0 3 0.0 0 0 0 1|50 0.0 20 0.0 6 0.0 0 0 0 1|90 0.1 30 0.0 1 1.0 0 0 0 1|16 0.0 30 0.0 8 0.0 0 0 0 1|33 0.2 2 1.0 4 0.0 0 0 0 1|24 0.0 40 0.0 0 0.0 0 0 0 1|17 0.0 1 0.0 5 0.0 0 0 0 1
-25 0.0 60 0.0 40 0.0 0 0 1 0|14 0.0 30 0.0 90 0.0 0 0 1 0|40 0.0 2 1.0 25 0.0 0 0 1 0|8 0.0 40 0.0 50 0.0 0 0 1 0|120 0.0 60 0.0 30 0.0 0 0 1 0|6 0.0 5 0.0 12 0.0 0 0 1 0|35 0.1 9 0.0 7 0.0 0 0 1 0
-2 0.0 20 0.0 22 0.0 0 0 0 1|1 0.0 15 0.0 30 0.0 0 0 0 1|3 0.0 12 0.0 18 0.0 0 0 0 1|3 0.0 1 1.0 40 0.0 0 0 0 1|2 0.0 0 0.0 30 0.0 0 0 0 1
+NAMES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "words_before_2", "density_before_2", "words_after_2", "density_after_2", "kind")
+
+
+def features(page: list[Block]) -> list[tuple[float, ...]]:
+    """NAMES of each block; beyond the page's ends there are blocks of no words."""
+    around = [(0, 0.0)] * 2 + [(b.words, b.density) for b in page] + [(0, 0.0)] * 2
+    return [(b.words, b.density, *around[i + 1], *around[i + 3], *around[i], *around[i + 4], b.kind) for i, b in enumerate(page)]
+
+
+#: The labelled table: NAMES, then content or not. These rows are marked by hand, on typical pages.
+BY_HAND = """
+1 1 0 0 1 1 0 0 1 1 -1 0|1 1 1 1 1 1 1 1 1 1 -1 0|1 1 1 1 8 0 1 1 8 0 -1 0|8 0 1 1 9 0 1 1 9 0 -1 0|12 0 80 0 0 0 80 0 0 0 -1 0|40 0 60 0 30 0 60 0 30 0 -1 0|90 0 70 0 60 0 70 0 60 0 -1 0|6 0.5 30 0 4 1 30 0 4 1 -1 0
+25 0.1 60 0 25 0.1 60 0 25 0.1 -1 0|3 0 2 0 1 0 2 0 1 0 -1 0|15 0 0 0 3 1 0 0 3 1 -1 0|60 0 60 0 3 0 60 0 3 0 -1 0|2 1 70 0 2 1 70 0 2 1 -1 0|200 0 90 0 0 0 90 0 0 0 -1 0|9 0 8 0 9 0 8 0 9 0 2 1|9 0 9 0 60 0 9 0 60 0 2 1
+1 0 60 0 40 0 60 0 40 0 2 1|60 0 1 0 1 0 1 0 1 0 2 1|150 0 40 0 12 0 40 0 12 0 2 1|40 0.05 150 0 6 0.5 150 0 6 0.5 2 1|3 0 90 0 3 0 90 0 3 0 2 1|1 0 1 0 2 0 1 0 2 0 2 1|2 0 1 1 50 0 1 1 50 0 2 1|80 0.3 20 0 30 0 20 0 30 0 2 1
+1 0 20 0 9 0 20 0 9 0 2 1|5 0 40 0 0 0 40 0 0 0 2 1|30 0.6 50 0 50 0 50 0 50 0 2 1|4 0 0 0 0 0 0 0 0 0 2 1|6 1 50 0 40 0 50 0 40 0 2 1|20 0.9 50 0 60 0 50 0 60 0 2 1|300 0 0 0 0 0 0 0 0 0 2 1|2 1 4 1 3 1 4 1 3 1 2 0
+4 1 3 1 2 1 3 1 2 1 2 0|3 1 2 1 0 0 2 1 0 0 2 0|5 1 5 1 60 0 5 1 60 0 2 0|10 0 60 0 0 0 60 0 0 0 0 0|3 0 0 0 8 0 0 0 8 0 0 0|50 0 1 1 8 0 1 1 8 0 0 0|2 1 1 1 9 0 1 1 9 0 0 0|7 0 1 0 9 0 1 0 9 0 0 0
+20 0 60 0 4 0 60 0 4 0 0 0|90 0 60 0 0 0 60 0 0 0 0 0|60 0 5 0 70 0 5 0 70 0 1 1|70 0 60 0 2 1 60 0 2 1 1 1|12 0 70 0 50 0 70 0 50 0 1 1|5 0 1 1 60 0 1 1 60 0 1 1|4 0 60 0 50 0 60 0 50 0 1 1|120 0.2 0 0 30 0 0 0 30 0 1 1
+25 0 2 1 2 1 2 1 2 1 1 1|35 0.1 3 0 1 1 3 0 1 1 1 1|15 0 0 0 0 0 0 0 0 0 1 1|8 0 45 0 15 0 45 0 15 0 1 1|2 0 50 0 30 0 50 0 30 0 1 1|45 0.4 50 0 60 0 50 0 60 0 1 1|11 0 20 0 20 0 20 0 20 0 1 1|18 0 15 0 0 0 15 0 0 0 1 1
+1 1 1 1 1 1 1 1 1 1 1 0|3 1 2 1 5 0 2 1 5 0 1 0|2 0 2 1 3 0 2 1 3 0 1 0|12 0.8 3 1 3 1 3 1 3 1 1 0|30 0.9 60 0 2 1 60 0 2 1 1 0|3 0 1 0 2 0 1 0 2 0 1 0|1 0 2 1 1 1 2 1 1 1 1 0|4 0.5 60 0 3 1 60 0 3 1 1 0
+25 0.7 50 0 6 0.5 50 0 6 0.5 1 0|2 1 60 0 2 1 60 0 2 1 1 0|5 0.8 40 0 0 0 40 0 0 0 1 0|2 0 3 1 2 1 3 1 2 1 1 0|15 1 2 1 0 0 2 1 0 0 1 0|6 0.6 1 1 4 1 1 1 4 1 1 0|30 0 40 0 90 0 40 0 90 0 -1 0|70 0 50 0 80 0 50 0 80 0 -1 0
+12 0 30 0 60 0 30 0 60 0 -1 0|4 0 80 0 120 0 80 0 120 0 -1 0|100 0 100 0 100 0 100 0 100 0 -1 0|22 0 50 0 18 0 50 0 18 0 -1 0|14 0 40 0 60 0 40 0 60 0 -1 0|9 0 1 1 12 0 1 1 12 0 -1 0|18 0 9 0 20 0 9 0 20 0 -1 0|45 0 20 0 33 0 20 0 33 0 -1 0
+8 0 30 0 50 0 30 0 50 0 -1 0|2 0 60 0 70 0 60 0 70 0 -1 0|55 0.2 14 0 15 0 14 0 15 0 -1 0|5 0 0 0 60 0 0 0 60 0 -1 0|16 0 4 0 2 0 4 0 2 0 2 1|22 0 9 0 1 0 9 0 1 0 2 1|70 0 30 0 5 0 30 0 5 0 2 1|2 0 14 0 15 0 14 0 15 0 2 1
+1 0 3 0 1 0 3 0 1 0 2 1|10 0 6 0 0 0 6 0 0 0 2 1|7 0 90 0 1 1 90 0 1 1 2 1|3 0 40 0 2 0 40 0 2 0 2 1|13 0 2 1 3 0 2 1 3 0 2 1|19 0.1 60 0 9 0 60 0 9 0 2 1|6 0 12 0 40 0 12 0 40 0 2 1|33 0 7 0 8 0 7 0 8 0 2 1
+1 0 1 1 1 0 1 1 1 0 2 1|2 0 2 0 6 0 2 0 6 0 2 1|20 0 60 0 3 0 60 0 3 0 1 1|50 0 20 0 6 0 20 0 6 0 1 1|90 0.1 30 0 1 1 30 0 1 1 1 1|16 0 30 0 8 0 30 0 8 0 1 1|33 0.2 2 1 4 0 2 1 4 0 1 1|24 0 40 0 0 0 40 0 0 0 1 1
+17 0 1 0 5 0 1 0 5 0 1 1|25 0 60 0 40 0 60 0 40 0 0 0|14 0 30 0 90 0 30 0 90 0 0 0|40 0 2 1 25 0 2 1 25 0 0 0|8 0 40 0 50 0 40 0 50 0 0 0|120 0 60 0 30 0 60 0 30 0 0 0|6 0 5 0 12 0 5 0 12 0 0 0|35 0.1 9 0 7 0 9 0 7 0 0 0
+2 0 20 0 22 0 20 0 22 0 1 1|1 0 15 0 30 0 15 0 30 0 1 1|3 0 12 0 18 0 12 0 18 0 1 1|3 0 1 1 40 0 1 1 40 0 1 1|2 0 0 0 30 0 0 0 30 0 1 1
+"""
+#: These are drawn from pages by label_blocks.
+DRAWN = """
+6 0 8 0 6 0 1 1 10 0 1 1|1 1 0 0 1 1 0 0 1 1 1 0|1 1 1 1 1 1 0 0 1 1 1 0|8 0 1 1 6 0 1 1 6 0 1 0|12 0 50 0 0 0 11 0 0 0 1 0|1 1 1 1 1 1 1 1 9 0 1 0|11 0 43 0 50 0 14 0 12 0 1 1|50 0 11 0 12 0 43 0 0 0 1 1
+1 1 1 1 8 0 1 1 12 0 1 0|1 1 1 1 1 1 1 1 1 1 1 0|8 0 1 1 12 0 1 1 76 0 1 0|76 0 12 0 10 0 8 0 0 0 1 1|59 0 12 0 1 0 0 0 6 0 1 1|1 0 59 0 6 0 12 0 19 0 1 1|12 0 0 0 59 0 0 0 1 0 1 1|11 0 28 0 0 0 110 0 0 0 1 0
+41 0 46 0 13 0 4 0 0 0 1 1|128 0 22 0 4 0 10 0 46 0 1 1|22 0 10 0 128 0 0 0 4 0 1 1|4 0 128 0 46 0 22 0 41 0 1 1|13 0 5 0 29 0 5 0 27 0 2 1|1 1 1 1 1 1 1 1 1 1 -1 0|29 0 13 0 27 0 5 0 51 0 2 1|1 1 1 1 5 0 1 1 5 0 -1 0
+19 0 8 0 174 0 0 0 13 0 1 1|8 0 0 0 19 0 0 0 174 0 1 1|174 0 19 0 13 0 8 0 0 0 1 1|13 0 174 0 0 0 19 0 0 0 1 0|8 0 82 0 0 0 44 0 0 0 -1 0|11 0 0 0 44 0 0 0 82 0 2 1|82 0 44 0 8 0 11 0 0 0 2 1|44 0 11 0 82 0 0 0 8 0 2 1
+1 1 1 1 1 1 1 1 7 0 1 0|4 0 4 0 1 0 7 0 13 0 1 1|43 0 53 0 53 0 114 0 9 0 1 1|8 0 1 1 10 0 1 1 11 0 -1 0|1 1 0 0 1 1 0 0 1 1 -1 0|1 1 1 1 1 1 0 0 1 1 -1 0|43 0 36 0 1 0 110 0 4 0 2 1|58 0 17 0 139 0 61 0 166 0 2 1
+8 0 166 0 0 0 139 0 0 0 2 1|31 0 31 0 31 0 8 0 31 0 2 1|7 0 0 0 8 0 0 0 31 0 2 1|31 0 8 0 31 0 7 0 31 0 2 1|31 0 31 0 31 0 31 0 23 0 2 1|11 0 12 0 27 0 14 0 238 0 2 1|238 0 27 0 42 0 11 0 78 0 2 1|3 0 1 0 7 0 14 0 0 0 2 1
+38 0 4 0 29 0 16 0 5 0 2 1|35 0 15 0 81 0 39 0 43 0 2 1|39 0 121 0 15 0 80 0 35 0 2 1|121 0 80 0 39 0 3 0 15 0 2 1|64 0 15 0 28 0 10 0 12 0 1 1|12 0 28 0 0 0 64 0 0 0 1 0|1 1 1 1 9 0 1 1 10 0 1 0|2 0 2 0 2 0 2 0 2 0 1 1
+1 1 1 1 5 0 1 1 10 0 1 0|53 0 56 0 3 0 28 0 38 0 2 1|68 0 47 0 26 0 46 0 26 0 2 1|26 0 68 0 26 0 47 0 17 0 2 1|37 0 3 0 67 0 8 0 26 0 2 1|12 0 112 0 0 0 10 0 0 0 1 0|93 0 87 0 76 0 95 0 13 0 1 1|8 0 0 0 46 0 0 0 39 0 1 1
+87 0 95 0 93 0 18 0 76 0 1 1|16 0 5 0 13 0 10 0 0 0 2 1|48 0 3 0 10 0 3 0 5 0 2 1|13 0 16 0 0 0 5 0 0 0 -1 0|5 0 10 0 16 0 48 0 13 0 2 1|6 0 66 0 39 0 49 0 6 0 1 1|74 0 6 0 37 0 39 0 54 0 1 1|1 1 1 1 11 0 1 1 1 0 -1 0
+42 0 70 0 8 0 1 0 2 0 2 1|1 0 1 0 70 0 11 0 42 0 2 1|6 0 3 0 3 0 2 0 13 0 2 1|28 0 12 0 27 0 11 0 4 0 1 1|9 0 4 0 0 0 27 0 0 0 1 1|1 1 1 1 1 1 1 1 13 0 1 0|174 0 19 0 0 0 8 0 0 0 1 1|8 0 8 0 19 0 1 1 174 0 1 1
+8 0 8 0 1 0 0 0 38 0 2 1|1 0 14 0 115 0 122 0 2 0 2 1|1 0 8 0 12 0 145 0 0 0 2 1|115 0 1 0 2 0 14 0 93 0 2 1|115 0 9 0 15 0 0 0 23 0 1 1|23 0 15 0 44 0 115 0 42 0 1 1|79 0 42 0 0 0 44 0 0 0 1 1|15 0 115 0 23 0 9 0 44 0 1 1
+14 0 11 0 8 0 0 0 0 0 1 1|11 0 0 0 14 0 0 0 8 0 1 1|8 0 14 0 0 0 11 0 0 0 1 0|9 0 13 0 9 0 1 1 3 0 1 1|3 0 9 0 9 0 9 0 8 0 1 1|1 1 1 1 8 0 1 1 11 0 1 0|20 0 82 0 2 0 11 0 54 0 1 1|6 0 54 0 3 0 2 0 11 0 1 1
+6 0 5 0 6 0 1 1 34 0 1 1|8 0 34 0 0 0 6 0 0 0 1 1|5 0 1 1 6 0 1 1 6 0 1 0|9 0 49 0 4 0 6 0 128 0 2 1|4 0 34 0 11 0 210 0 14 0 2 1|14 0 76 0 0 0 5 0 0 0 -1 0|6 0 6 0 37 0 131 0 22 0 2 1|15 0 1 0 36 0 2 0 10 0 2 1
+10 0 0 0 10 0 0 0 2 0 2 1|10 0 10 0 2 0 0 0 1 0 2 1|36 0 15 0 10 0 1 0 8 0 2 1|4 0 40 0 42 0 11 0 60 0 2 1|11 0 60 0 0 0 8 0 0 0 -1 0|11 0 13 0 40 0 68 0 4 0 2 1|87 0 65 0 42 0 38 0 38 0 2 1|5 0 5 0 23 0 0 0 127 0 2 1
+4 0 63 0 13 0 127 0 5 0 2 1|31 0 24 0 5 0 153 0 9 0 2 1|8 0 42 0 0 0 18 0 0 0 1 0|86 0 13 0 1 0 12 0 18 0 1 1|1 1 1 1 12 0 1 1 13 0 1 0|1 0 86 0 18 0 13 0 119 0 1 1|10 0 0 0 472 0 0 0 12 0 1 1|12 0 472 0 0 0 10 0 0 0 1 0
+472 0 10 0 12 0 0 0 0 0 1 1|29 0 61 0 9 0 5 0 9 0 1 1|9 0 9 0 39 0 29 0 79 0 1 1|15 0 159 0 139 0 79 0 3 0 1 1|3 0 7 0 5 0 13 0 84 0 1 1|46 0 115 0 13 0 11 0 0 0 2 1|13 0 46 0 0 0 115 0 0 0 -1 0|11 0 6 0 115 0 1 1 46 0 2 1
+8 0 8 0 31 0 8 0 53 0 2 1|53 0 18 0 45 0 89 0 1 0 2 1|1 0 45 0 59 0 53 0 11 0 2 1|1 1 1 1 4 0 1 1 10 0 1 0|7 0 11 0 0 0 18 0 0 0 1 0|53 0 53 0 14 0 10 0 2 0 1 1|53 0 10 0 53 0 4 0 14 0 1 1|81 0 50 0 1 0 2 0 104 0 1 1
+1 1 1 1 1 1 1 1 5 0 1 0|11 0 104 0 0 0 1 0 0 0 1 0|5 0 12 0 2 0 28 0 89 0 1 1|12 0 28 0 5 0 31 0 2 0 1 1|27 0 27 0 52 0 89 0 24 0 1 1|1 1 1 1 1 1 1 1 6 0 1 0|45 0 11 0 8 0 0 0 0 0 1 1|8 0 45 0 0 0 11 0 0 0 1 1
+11 0 0 0 45 0 0 0 8 0 1 1|8 0 21 0 0 0 36 0 0 0 -1 0|1 1 1 1 8 0 1 1 9 0 -1 0|1 1 1 1 1 1 1 1 8 0 -1 0|13 0 4 0 88 0 1 1 13 0 2 1|1 1 1 1 1 1 1 1 4 0 -1 0|6 0 1 1 12 0 1 1 62 0 1 0|11 0 62 0 0 0 12 0 0 0 1 0
+12 0 6 0 62 0 1 1 11 0 1 1|1 1 1 1 4 0 1 1 11 0 -1 0|47 0 11 0 31 0 4 0 3 0 2 1|3 0 31 0 19 0 47 0 39 0 2 1|24 0 1 0 55 0 8 0 13 0 1 1|5 0 4 0 8 0 1 1 1 0 1 1|8 0 5 0 1 0 4 0 24 0 1 1|12 0 7 0 50 0 1 1 48 0 1 1
+5 0 141 0 6 0 6 0 25 0 1 1|25 0 6 0 47 0 5 0 83 0 1 1|37 0 133 0 0 0 12 0 0 0 2 1|133 0 12 0 37 0 8 0 0 0 2 1|1 0 8 0 14 0 103 0 0 0 1 1|50 0 5 0 59 0 4 0 49 0 1 1|9 0 1 1 12 0 1 1 60 0 1 0|25 0 13 0 10 0 14 0 34 0 1 1
+60 0 10 0 27 0 8 0 21 0 1 1|10 0 8 0 60 0 1 1 27 0 1 1|14 0 8 0 13 0 16 0 25 0 1 1|13 0 58 0 0 0 3 0 0 0 -1 0|1 1 1 1 1 1 1 1 13 0 -1 0|5 0 0 0 31 0 0 0 37 0 1 1|9 0 37 0 12 0 31 0 0 0 1 1|12 0 9 0 0 0 37 0 0 0 1 0
+31 0 5 0 37 0 0 0 9 0 1 1|1 1 1 1 6 0 1 1 10 0 -1 0|10 0 10 0 138 0 6 0 39 0 2 1|1 1 1 1 1 1 1 1 6 0 -1 0|13 0 37 0 0 0 2 0 0 0 -1 0|10 0 10 0 0 0 81 0 0 0 1 1|10 0 0 0 33 0 0 0 92 0 1 1|95 0 92 0 0 0 33 0 0 0 1 1
+33 0 10 0 92 0 0 0 95 0 1 1|92 0 33 0 95 0 10 0 0 0 1 1|21 0 8 0 3 0 1 0 19 0 1 1|135 0 16 0 10 0 18 0 127 0 1 1|6 0 6 0 62 0 8 0 83 0 1 1|127 0 10 0 18 0 135 0 51 0 1 1|10 0 0 0 133 0 0 0 64 0 1 1|64 0 133 0 5 0 10 0 11 0 1 1
+133 0 10 0 64 0 0 0 5 0 1 1|5 0 64 0 11 0 133 0 0 0 1 1|10 0 0 0 61 0 0 0 46 0 1 1|46 0 61 0 18 0 10 0 8 0 1 1|18 0 46 0 8 0 61 0 0 0 1 1|8 0 18 0 0 0 46 0 0 0 1 0|15 0 23 0 43 0 23 0 4 0 1 1|23 0 73 0 23 0 35 0 15 0 1 1
+73 0 35 0 23 0 35 0 23 0 1 1|1 1 1 1 8 0 1 1 10 0 -1 0|26 0 25 0 10 0 71 0 7 0 2 1|7 0 10 0 0 0 26 0 0 0 -1 0|9 0 16 0 0 0 10 0 0 0 -1 0|16 0 10 0 9 0 8 0 0 0 2 1|4 0 76 0 12 0 62 0 0 0 2 1|5 0 1 1 13 0 1 1 16 0 -1 0
+7 0 31 0 68 0 3 0 62 0 2 1|9 0 9 0 168 0 0 0 9 0 2 1|9 0 0 0 9 0 0 0 168 0 2 1|168 0 9 0 9 0 9 0 11 0 2 1|11 0 9 0 0 0 168 0 0 0 -1 0|1 1 1 1 8 0 1 1 2 0 1 0|1 1 1 1 1 1 1 1 8 0 1 0|8 0 37 0 1 0 27 0 0 0 1 1
+14 0 80 0 0 0 14 0 0 0 1 0|4 0 1 1 14 0 1 1 80 0 1 0|2 0 5 0 20 0 7 0 8 0 1 1|1 1 1 1 8 0 1 1 10 0 1 0|8 0 8 0 0 0 20 0 0 0 1 0|7 0 55 0 5 0 25 0 2 0 1 1|9 0 222 0 41 0 5 0 23 0 1 1|4 0 8 0 4 0 1 1 5 0 1 1
+10 0 8 0 84 0 1 1 55 0 1 1|55 0 84 0 22 0 10 0 0 0 1 1|1 0 12 0 1 0 1 1 90 0 1 1|121 0 12 0 0 0 57 0 0 0 1 1|12 0 1 1 1 0 1 1 1 0 1 0|10 0 47 0 61 0 9 0 17 0 2 1|61 0 10 0 17 0 47 0 0 0 2 1|9 0 5 0 47 0 1 1 10 0 2 1
+1 0 4 0 1 0 1 1 50 0 1 1|64 0 4 0 13 0 34 0 3 0 1 1|4 0 34 0 64 0 9 0 13 0 1 1|3 0 6 0 54 0 27 0 50 0 2 1|1 1 1 1 1 1 1 1 12 0 -1 0|40 0 10 0 69 0 12 0 22 0 2 1|8 0 8 0 120 0 5 0 52 0 1 1|1 1 1 1 1 1 1 1 12 0 1 0
+107 0 105 0 19 0 80 0 45 0 1 1|105 0 80 0 107 0 46 0 19 0 1 1|104 0 25 0 62 0 2 0 29 0 2 1|25 0 2 0 104 0 28 0 62 0 2 1|38 0 36 0 3 0 40 0 52 0 2 1|119 0 45 0 83 0 2 0 14 0 2 1|27 0 9 0 136 0 30 0 33 0 1 1|1 1 1 1 1 1 1 1 4 0 1 0
+9 0 30 0 27 0 6 0 136 0 1 1|136 0 27 0 33 0 9 0 39 0 1 1|14 0 10 0 65 0 59 0 35 0 1 1|65 0 14 0 35 0 10 0 196 0 1 1|5 0 49 0 78 0 62 0 89 0 1 1|76 0 57 0 11 0 67 0 59 0 1 1|51 0 9 0 12 0 7 0 0 0 1 1|9 0 7 0 51 0 1 1 12 0 1 1
+12 0 51 0 0 0 9 0 0 0 1 0|1 0 8 0 61 0 8 0 9 0 1 1|147 0 9 0 48 0 61 0 7 0 1 1|7 0 48 0 12 0 147 0 0 0 1 1|8 0 0 0 8 0 0 0 1 0 1 1|1 1 1 1 4 0 1 1 11 0 1 0|29 0 11 0 12 0 4 0 13 0 1 1|5 0 23 0 19 0 11 0 9 0 1 1
+23 0 11 0 5 0 96 0 19 0 1 1|17 0 5 0 0 0 9 0 0 0 2 1|10 0 100 0 9 0 10 0 5 0 2 1|1 1 1 1 1 1 1 1 10 0 -1 0|5 0 9 0 17 0 10 0 0 0 2 1|42 0 5 0 4 0 2 0 12 0 1 1|4 0 42 0 12 0 5 0 155 0 1 1|4 0 4 0 34 0 20 0 10 0 1 1
+8 0 1 1 2 0 1 1 2 0 1 0|1 1 1 1 5 0 1 1 11 0 -1 0|54 0 2 0 6 0 20 0 3 0 2 1|5 0 1 1 11 0 1 1 82 0 -1 0|20 0 82 0 2 0 11 0 54 0 2 1|67 0 3 0 5 0 24 0 91 0 1 1|11 0 28 0 11 0 72 0 9 0 1 1|29 0 185 0 17 0 87 0 2 0 1 1
+14 0 2 0 9 0 17 0 10 0 1 1|42 0 11 0 7 0 12 0 39 0 1 1|13 0 12 0 0 0 20 0 0 0 2 1|3 0 78 0 27 0 12 0 36 0 2 1|12 0 10 0 78 0 11 0 3 0 2 1|17 0 9 0 29 0 31 0 39 0 2 1|20 0 91 0 0 0 13 0 0 0 2 1|28 0 37 0 73 0 17 0 58 0 2 1
+12 0 1 1 13 0 1 1 32 0 1 0|13 0 46 0 0 0 120 0 0 0 1 0|32 0 13 0 73 0 12 0 15 0 1 1|44 0 8 0 168 0 61 0 26 0 1 1|113 0 37 0 83 0 5 0 11 0 1 1|26 0 168 0 13 0 44 0 1 0 1 1|1 1 1 1 4 0 1 1 12 0 1 0|59 0 23 0 59 0 57 0 6 0 1 1
+4 0 1 1 12 0 1 1 30 0 1 0|10 0 0 0 24 0 0 0 20 0 2 1|1 0 101 0 54 0 17 0 13 0 2 1|24 0 10 0 20 0 0 0 49 0 2 1|49 0 20 0 17 0 24 0 101 0 2 1|4 0 1 1 10 0 1 1 95 0 1 0|95 0 10 0 50 0 4 0 113 0 1 1|57 0 3 0 16 0 6 0 51 0 1 1
+12 0 9 0 0 0 15 0 0 0 1 0|6 0 6 0 3 0 5 0 57 0 1 1|152 0 142 0 9 0 8 0 11 0 2 1|1 1 1 1 1 1 1 1 5 0 -1 0|85 0 27 0 8 0 17 0 142 0 2 1|10 0 9 0 20 0 5 0 4 0 2 1|8 0 1 1 10 0 1 1 10 0 1 0|20 0 18 0 7 0 51 0 21 0 1 1
+150 0 8 0 6 0 11 0 13 0 2 1|1 1 1 1 1 1 1 1 11 0 -1 0|9 0 13 0 61 0 1 1 52 0 1 1|13 0 1 1 9 0 1 1 61 0 1 0|94 0 10 0 13 0 12 0 49 0 2 1|10 0 2 0 0 0 49 0 0 0 -1 0|480 0 20 0 0 0 0 0 0 0 1 1|20 0 0 0 480 0 0 0 0 0 1 1
 """
-NAMES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "furniture", "article", "has_article")
+LABELLED = BY_HAND + DRAWN
 
 
 @dataclass
@@ -188,7 +240,7 @@ class Split:
     right: Split | None = None
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 7) -> Split:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12) -> Split:
     """A classification tree by Gini impurity; ties go to the first feature and the lowest limit."""
     if depth == 0 or y.min() == y.max():
         return Split(content=bool(y.mean() >= 0.5))
@@ -223,15 +275,14 @@ def main_text(page: str | None, tree: Split | None = None) -> str:
     if not page:
         return ""
     tree, found = tree or trained(), blocks(page)
-    has = float(any(b.article for b in found))
-    around = [(0, 0.0), *((b.words, b.density) for b in found), (0, 0.0)]
-    return "\n".join(b.text for i, b in enumerate(found) if content(tree, (b.words, b.density, *around[i], *around[i + 2], b.furniture, b.article, has)))
+    return "\n".join(b.text for b, row in zip(found, features(found), strict=True) if content(tree, row))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages``; text is never null. Other columns are ignored.
 
-    Null or empty html: empty text. Repeated rows each give their row. No rows: none.
+    Null or empty html: empty text. Pages of any length are read whole, in time that grows with the length. Repeated
+    rows each give their row. No rows: none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -3,11 +3,13 @@
 import hashlib
 import html
 import itertools
+import os
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +117,50 @@ def test_html(spark):
         html_text.main_text(bad)
 
 
+def made_up_page(rng, marked):
+    """A page around a known article; marked: with tags and classes that say what is what."""
+    para = lambda n: words(rng, n, "theandwhorly")
+    box = (lambda name, x: f"<div class='{name}'>{x}</div>") if marked else (lambda name, x: f"<div>{x}</div>")
+    article = [para(rng.randint(5, 12)), *[para(rng.randint(30, 120)) for _ in range(rng.randint(3, 7))]]
+    links = "".join(f"<li><a href='/{i}'>{para(1)}</a></li>" for i in range(6))
+    body = "".join(f"<p>{html.escape(x)}</p>" for x in article)
+    page = f"<html><head><title>{para(4)}</title><script>var x = '<p>no</p>';</script></head><body>{box('menu', f'<ul>{links}</ul>')}{box('advert', para(8))}"
+    page += f"{'<article>' if marked else '<div>'}{body}{'</article>' if marked else '</div>'}"
+    return page + (box("comments", "".join(f"<p>{para(20)}</p>" for _ in range(3))) + box("related", f"<ul>{links}</ul>") if marked else "") + box("footer", f"&copy; {para(6)}") + "</body></html>", "\n".join(article)
+
+
+def test_html_whole_pages():
+    rng = random.Random(41)
+    pages = [made_up_page(rng, True) for _ in range(60)]
+    assert all(html_text.main_text(page) == article for page, article in pages)
+    # without any markup word counts and link shares alone find most blocks
+    right = total = 0
+    for page, article in (made_up_page(rng, False) for _ in range(60)):
+        want, seen = set(article.split("\n")), {b.text for b in html_text.blocks(page)}
+        got = set(html_text.main_text(page).split("\n"))
+        right, total = right + len(seen) - len(want ^ got), total + len(seen)
+    assert right >= 0.9 * total
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/pages.parquet"), reason="no tables here")
+def test_html_held_out_pages():
+    """Pages that the table wasn't drawn from, against their article cut out by tag."""
+    pages = pd.read_parquet("/root/testdata/sf0.01/pages.parquet")
+    wrong = blocks = 0
+    for page in pages[pages["page_id"] % 2 == 1]["html"]:
+        inner = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+        pieces = re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote|pre|br/?)(?:\s[^>]*)?>", re.sub(r"<br\s*/?>", " ", inner))
+        want = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in pieces]
+        assert html_text.main_text(page) == "\n".join(x for x in want if x)
+        found = html_text.blocks(page)
+        truth = [b.kind == 2 for b in found]
+        for b in found:
+            b.kind = 1  # the markup says nothing
+        got = [html_text.content(html_text.trained(), row) for row in html_text.features(found)]
+        wrong, blocks = wrong + sum(a != b for a, b in zip(truth, got)), blocks + len(found)
+    assert wrong <= 0.05 * blocks
+
+
 def test_html_tree_knows_its_table():
     table_ = np.array([[float(v) for v in r.split()] for line in html_text.LABELLED.split("\n") if line for r in line.split("|")])
     right = [html_text.content(html_text.trained(), tuple(r[:-1])) == bool(r[-1]) for r in table_]
