@@ -141,6 +141,18 @@ def local_links(x: np.ndarray, bits: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(child), np.concatenate(root)) if child else (none, none)
 
 
+def shard_links(x: np.ndarray, bits: int = 3, most: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """local_links() of a shard of any size: one that the sample's trees left large is split by trees of its own.
+
+    Each pair within ``bits`` meets in one of their leaves, so components are the same; 8 bytes a row bound the memory.
+    """
+    x = np.unique(x)
+    if len(x) <= most:
+        return local_links(x, bits)
+    parts = [local_links(x[at], bits) for _, at in visited(forest(x, most // 2, bits), x)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
 def links(fps: DataFrame, bits: int = 3, blocks: int = 4, shard_rows: int = 2048, sample_rows: int = 65536) -> DataFrame:
     """From distinct fingerprints (fp) to linking edges (a, b); their components equal those of all pairs within ``bits``.
 
@@ -157,10 +169,11 @@ def links(fps: DataFrame, bits: int = 3, blocks: int = 4, shard_rows: int = 2048
                 yield pd.DataFrame({"shard": np.full(len(at), shard), "fp": fp[at]})
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        child, root = local_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), bits)
+        child, root = shard_links(pdf["fp"].to_numpy(np.int64).view(np.uint64), bits)
         return pd.DataFrame({"a": child.view(np.int64), "b": root.view(np.int64)})
 
-    placed = fps.mapInPandas(place, "shard int, fp long")
+    # few bytes but much work a row: more tasks than the bytes ask for
+    placed = fps.repartition(max(1, n // 16384)).mapInPandas(place, "shard int, fp long")
     return placed.groupBy("shard").applyInPandas(pairs, "a long, b long").distinct()
 
 
@@ -168,7 +181,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
     """(doc_id, fingerprint, component_id) for each row of ``docs``.
 
     Null or empty text: fingerprint zero, linked like any other. Repeated rows and ties share a component. A null
-    doc_id is never a component's name unless all of its ids are null. Empty table: no rows. Other columns are ignored.
+    doc_id is never a component's name unless all of its ids are null. Texts of any length are hashed whole, in arrays of
+    bounded length. Empty table: no rows. Other columns, whatever their names, are ignored.
     """
     marked = cut(fingerprints(docs, width))
     group = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
@@ -277,7 +291,8 @@ def row_hash(docs: DataFrame) -> Column:
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without near-copies: of each component of similar_texts() the row with the least id, nulls last.
 
-    Rows that share an id are told apart by a hash of all columns, the least stays; of equal rows one stays.
+    Rows that share an id are told apart by a hash of all columns, the least stays; of equal rows one stays. Null and
+    empty texts are one component. Texts of any length are read whole. Columns may have any names. No rows: none.
     """
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("best")
     first = similar_texts(docs, width, similar).groupBy("component").agg(best).select(F.col("best.row").alias("near_row"))
