@@ -1,9 +1,10 @@
 """Minimax contiguous sharding: the smallest capacity with which ordered atomic groups fit the shards, then cut there.
 
 Groups are documents of equal text, in the order of the text's hash; buckets of leading hash digits cut that order into
-a bounded number of stretches. The driver holds the sums by bucket and reads the groups of a bucket only where a cut
-falls into it and bounds don't decide, so what it reads follows the number of shards, not the data. Row numbers come
-from sums over cells (a group's rows by a hash of the id), so a group of a third of all rows is never in one task.
+a bounded number of stretches. The driver holds the sums by bucket; a bucket into which a cut falls is replaced by the
+sums of its own buckets of more digits, or by its groups once they are few, so every answer has at most 4,096 rows and
+their number follows the shards and the digits of the hash, not the data. Row numbers come from sums over cells (a
+group's rows by a hash of the id), so a group of a third of all rows is never in one task.
 """
 
 from __future__ import annotations
@@ -19,34 +20,38 @@ from .common import cut, table
 
 BUCKET_DIGITS, SALTS = 3, 64
 
+#: A stretch of the line: its name (leading digits, or a whole key), bytes, and number of groups.
+Stretch = tuple[str, int, int]
+
 
 class Line:
-    """The ordered groups as a line of bytes: sums by bucket here, a bucket's own groups when asked for."""
+    """The ordered groups as a line of bytes: sums by bucket here, finer ones when asked for."""
+
+    def __init__(self, stretches: list[Stretch], read: Callable[[list[Stretch]], dict[str, list[Stretch]]]) -> None:
+        self.stretches, self.read = stretches, read
+        self.measure()
 
-    def __init__(self, names: list[str], sizes: list[int], read: Callable[[list[str]], dict[str, list[int]]]) -> None:
-        self.names, self.read, self.known = names, read, {}
-        self.ends = list(accumulate(sizes))
+    def measure(self) -> None:
+        self.ends = list(accumulate(size for _, size, _ in self.stretches))
         self.starts = [0, *self.ends[:-1]]
-        self.total = self.ends[-1] if sizes else 0
+        self.total = self.ends[-1] if self.ends else 0
 
-    def furthest(self, limit: int) -> tuple[int, int, int | None]:
+    def furthest(self, limit: int) -> tuple[int, int, str | None]:
         """The last group boundary up to ``limit``, as bounds from below and above; then the bucket to read, if they differ."""
         if limit >= self.total:
             return self.total, self.total, None
         b = bisect_right(self.ends, limit)
-        if limit == self.starts[b]:
-            return limit, limit, None
-        if b not in self.known:
-            return self.starts[b], limit, b
-        at = self.known[b][bisect_right(self.known[b], limit) - 1]
-        return at, at, None
-
-    def learn(self, buckets: set[int]) -> None:
-        found = self.read([self.names[b] for b in buckets])
-        for b in buckets:
-            self.known[b] = list(accumulate(found[self.names[b]], initial=self.starts[b]))
-
-    def cuts(self, capacity: int, shards: int) -> tuple[list[int], list[int], set[int]]:
+        if limit == self.starts[b] or self.stretches[b][2] == 1:
+            return self.starts[b], self.starts[b], None
+        return self.starts[b], limit, self.stretches[b][0]
+
+    def learn(self, names: set[str]) -> None:
+        """Puts finer stretches in the place of these."""
+        found = self.read([x for x in self.stretches if x[0] in names])
+        self.stretches = [y for x in self.stretches for y in (found[x[0]] if x[0] in names else (x,))]
+        self.measure()
+
+    def cuts(self, capacity: int, shards: int) -> tuple[list[int], list[int], set[str]]:
         """The greedy cuts as bounds from below and above, and the buckets that would close the gap."""
         low, high, unknown = [0], [0], set()
         for _ in range(shards):
@@ -80,14 +85,11 @@ class Line:
     def around(self, x: int) -> tuple[int, int]:
         """The last group boundary up to ``x`` and the first from ``x`` on."""
         x = min(max(x, 0), self.total)
-        if x == self.total:
-            return x, x
-        b = bisect_right(self.ends, x)
-        if b not in self.known:
-            self.learn({b})
-        k = bisect_right(self.known[b], x)
-        below = self.known[b][k - 1]
-        return below, below if below == x else self.known[b][k]
+        while True:
+            low, high, unknown = self.furthest(x)
+            if unknown is None:
+                return low, x if low == x else self.ends[bisect_right(self.starts, low) - 1]
+            self.learn({unknown})
 
     def even(self, latest: list[int], capacity: int, shards: int) -> list[int]:
         """Where shards begin: each cut as near to an even share as the capacity allows on both of its sides.
@@ -95,7 +97,8 @@ class Line:
         latest: the greedy cuts from the left. Those from the right are the earliest; between them any cut leaves room.
         """
         ideal = [self.total * i // shards for i in range(shards + 1)]
-        self.learn({bisect_right(self.ends, x) for x in ideal[1:-1]} - self.known.keys() - {len(self.ends)})
+        while unknown := {z for x in ideal[1:-1] if (z := self.furthest(x)[2]) is not None}:
+            self.learn(unknown)
         earliest = [self.total]
         for _ in range(shards - 1):
             earliest.append(self.around(earliest[-1] - capacity)[1])
@@ -125,26 +128,35 @@ def shard(docs: DataFrame, shards: int = 24, keep: list[str] | None = None) -> D
     Law ``bytes``: the largest shard is as small as any cut of the ordered groups allows. Equal texts, repeated rows
     among them, share a shard; slots count from 0 in each shard. A group above an even share has its shard to itself
     at most, and later shards may then be empty. Fewer groups than shards: shards at the end stay empty. No rows: none.
-    A column of ``docs`` named like one of the added ones gives way to it.
+    Texts of any length are measured whole. A column of ``docs`` named like one of the added ones gives way to it.
     """
     keep = [c for c in keep or docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     # the columns to keep travel in a struct, so that none of them meets a name used here
     rows = measured(docs.select(F.struct(*keep).alias("kept"), "doc_id", "text")).drop("text")
     cells = cut(rows.groupBy("shard_bucket", "shard_key", "shard_salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")))
-    groups = cells.groupBy("shard_bucket", "shard_key").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
+    groups = cut(cells.groupBy("shard_bucket", "shard_key").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")))
     # at most 16 ** BUCKET_DIGITS + 1 rows
-    sums = sorted(groups.groupBy("shard_bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max("bytes").alias("most")).collect())
-
-    def read(names: list[str]) -> dict[str, list[int]]:
-        found: dict[str, list[int]] = {x: [] for x in names}
-        for r in sorted(groups.where(F.col("shard_bucket").isin(names)).select("shard_bucket", "shard_key", "bytes").collect()):
-            found[r.shard_bucket].append(r.bytes)
+    sums = sorted(groups.groupBy("shard_bucket").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"), F.max("bytes").alias("most"), F.count("*").alias("groups")).collect())
+
+    def read(stretches: list[Stretch]) -> dict[str, list[Stretch]]:
+        found: dict[str, list[Stretch]] = {name: [] for name, _, _ in stretches}
+        for digits in {len(name) for name in found}:
+            own = [x for x in stretches if len(x[0]) == digits]
+            for few in (True, False):
+                names = [name for name, _, n in own if (n <= 16**BUCKET_DIGITS) == few]
+                if names:
+                    finer = F.col("shard_key") if few else F.substring("shard_key", 1, digits + BUCKET_DIGITS)
+                    at = groups.where(F.substring("shard_key", 1, BUCKET_DIGITS).isin([x[:BUCKET_DIGITS] for x in names]))
+                    at = at.withColumn("of", F.substring("shard_key", 1, digits)).where(F.col("of").isin(names))
+                    for r in sorted(at.groupBy("of", finer.alias("name")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("groups")).collect()):
+                        found[r.of].append((r.name, r.bytes, r.groups))
         return found
 
-    line = Line([r.shard_bucket for r in sums], [r.bytes for r in sums], read)
+    line = Line([(r.shard_bucket, r.bytes, r.groups) for r in sums], read)
+    starts_by_bucket = list(line.starts)
     _, begins = line.smallest(shards, max((r.most for r in sums), default=0)) if sums else (0, [0])
     before = list(accumulate((r.n for r in sums), initial=0))
-    offsets = docs.sparkSession.createDataFrame([(r.shard_bucket, s, b) for r, s, b in zip(sums, line.starts, before, strict=False)], "shard_bucket string, bytes_before long, rows_before long")
+    offsets = docs.sparkSession.createDataFrame([(r.shard_bucket, s, b) for r, s, b in zip(sums, starts_by_bucket, before, strict=False)], "shard_bucket string, bytes_before long, rows_before long")
 
     in_bucket = Window.partitionBy("shard_bucket")
     ends = F.sum("bytes").over(in_bucket.orderBy("shard_key").rangeBetween(Window.unboundedPreceding, 0))
