@@ -76,23 +76,23 @@ class Seeds:
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int]:
-    """Smith-Waterman over words (match 1, mismatch -1, gap -1): the best score, matches, first and last+1 text word."""
-    step = np.arange(len(text) + 1)
-    rows = np.zeros((len(item) + 1, len(text) + 1), np.int32)
-    for i, w in enumerate(item, 1):
-        rows[i, 1:] = np.maximum(np.maximum(rows[i - 1, :-1] + np.where(text == w, 1, -1), rows[i - 1, 1:] - 1), 0)
-        rows[i] = np.maximum.accumulate(rows[i] + step) - step
-    i, end = np.unravel_index(int(rows.argmax()), rows.shape)
-    best, j, same = int(rows[i, end]), int(end), 0
-    while rows[i, j] > 0:
-        hit = item[i - 1] == text[j - 1]
-        if rows[i, j] == rows[i - 1, j - 1] + (1 if hit else -1):
-            i, j, same = i - 1, j - 1, same + int(hit)
-        elif rows[i, j] == rows[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return best, same, j, int(end)
+    """Smith-Waterman over words (match 1, mismatch -1, gap -1): the best score, matches, first and last+1 text word.
+
+    One row of the table is kept. A cell packs its score, then the matches and the first word of the best way to it, so
+    that the greater number is the better way; texts and items may have up to 2 ** 20 words.
+    """
+    score, match = 1 << 42, 1 << 21
+    step = np.arange(len(text) + 1, dtype=np.int64)
+    gaps, fresh = step * score, step.copy()
+    row, best, end = fresh, 0, 0
+    for w in item.tolist():
+        now = np.maximum(fresh, row - score)
+        now[1:] = np.maximum(now[1:], row[:-1] + np.where(text == w, score + match, -score))
+        row = np.maximum.accumulate(now + gaps) - gaps
+        at = int((row >> 42).argmax())
+        if row[at] >> 42 > best >> 42:
+            best, end = int(row[at]), at
+    return best >> 42, best % score // match, best % match, end
 
 
 def windows(hits: list[tuple[int, int]], length: int) -> Iterator[tuple[int, int]]:
@@ -142,7 +142,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
     """One row (doc_id, item_id, score, ...) for each document and item of which it holds a whole or edited copy.
 
     score: alignment score over the item's words, 1 for an exact copy. start, end: characters of the best copy (null
-    where lower-casing changes the text's length). Null or empty texts match nothing; items of fewer than ``n`` words
+    where lower-casing changes the text's length). Texts of any length are read whole; long items are aligned in memory
+    that grows with the window alone. Null or empty texts match nothing; items of fewer than ``n`` words
     are not looked for; repeated rows each give their rows; ties go to the first copy in the text. Empty tables: no
     rows. Other columns are ignored. Items with one text but several ids are all reported.
     """
@@ -183,7 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a copy of a benchmark item."""
+    """``docs`` without the documents that hold a copy of a benchmark item.
+
+    What contaminated() doesn't look at stays: rows whose id or text is null. Rows that share an id go together. Repeated
+    rows and empty texts without a copy stay as they are. Columns may have any names. No rows: none.
+    """
     return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
