@@ -143,7 +143,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96,
 
     score: cosine in double precision on the original vectors; ties go to the smaller vec_id. Vectors that are null,
     zero or hold null or non-finite components take no part, as queries neither. Only vectors of equal length are
-    compared. Repeated rows count once. Fewer candidates than k: all of them.
+    compared. Repeated rows count once. Fewer candidates than k: all of them. Other columns, whatever their names, are
+    ignored. No rows: none.
     """
     graphs, shards = index(vectors, k, shard_rows)
     asked = usable(queries).distinct()

@@ -159,13 +159,14 @@ def fit(rows: list[tuple[str, list[str]]], rounds: int = 80, rate: float = 0.25,
     return Model(langs, p["grams"], lexicon, p["known"], np.exp(p["step"]), np.exp(p["start"]))
 
 
-def train(docs: DataFrame, docs_by_lang: int = 400, pieces_by_doc: int = 4) -> Model | None:
+def train(docs: DataFrame, docs_by_lang: int = 400, pieces_by_doc: int = 4, most_langs: int = 200) -> Model | None:
     """Fits a model on a bounded sample: about ``docs_by_lang`` labelled documents of each language, chosen by a hash.
 
-    Rows whose crc32 of the id is 2 modulo 4 are held out. None if no labelled row has letters.
+    Rows whose crc32 of the id is 2 modulo 4 are held out. None if no labelled row has letters. The ``most_langs``
+    languages with most rows are learned, so that a column of other things than languages doesn't fill the driver.
     """
     rows = docs.where("lang is not null and text is not null").where(crc_of_id() % 4 != 2).select("doc_id", "lang", "text")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, docs_by_lang / n)])
@@ -226,7 +227,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, n_words, n_switches) for each row.
 
     score: the language's expected share of the words. A text that is null or has no letters: ``und``, 0. Ties go to
-    the language first by code point. Without a model every text is ``und``. Other columns are ignored.
+    the language first by code point. Without a model every text is ``und``. Texts of any length are read whole, one at
+    a time if need be. Repeated rows each get their row. Other columns, whatever their names, are ignored. No rows: none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

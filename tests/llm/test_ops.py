@@ -467,6 +467,27 @@ def test_simhash_trees_lose_no_pair(spark):
     assert len(set(label.values())) == len(set(mine.values()))
 
 
+def test_simhash_large_shard_splits_itself():
+    rng = np.random.default_rng(14)
+    x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    x = np.unique(np.concatenate([x, x[:900] ^ np.uint64(5), x[:300] ^ np.uint64(0xF000), x[:1] ^ np.arange(200, dtype=np.uint64)]))
+
+    def components(child, root):
+        label = {int(v): int(v) for v in x}
+
+        def find(v):
+            while label[v] != v:
+                v = label[v]
+            return v
+
+        for a, b in zip(child.tolist(), root.tolist()):
+            a, b = find(a), find(b)
+            label[max(a, b)] = min(a, b)
+        return {v: find(v) for v in label}
+
+    assert components(*simhash.shard_links(x, 3, 200)) == components(*simhash.local_links(x, 3))
+
+
 def cuts_by_force(sizes, shards):
     few, many = max([1, *sizes]), max(1, sum(sizes))
     while few < many:
@@ -498,6 +519,30 @@ def test_shard(spark, docs, rows, none, shards):
     assert sharding.shard(none, shards).count() == 0
 
 
+def test_line_reads_few_rows():
+    """Cuts as by brute force, though each answer holds at most 16 stretches."""
+    rng = random.Random(18)
+    for shards in (1, 3, 8):
+        keys = sorted({f"{rng.randrange(16**6):06x}" for _ in range(700)} | {f"abc{i:03x}" for i in range(900)})
+        size = {k: rng.choice((8, 20, 5000)) for k in keys}
+
+        def stretches(names, digits):
+            out = {}
+            for k in keys:
+                if k[: len(names)] == names:
+                    x = out.setdefault(k[:digits], [k[:digits], 0, 0])
+                    x[1] += size[k]
+                    x[2] += 1
+            assert len(out) <= 16
+            return [tuple(x) for x in out.values()]
+
+        line = sharding.Line(stretches("", 1), lambda asked: {name: stretches(name, len(name) + 1) for name, _, _ in asked})
+        capacity, begins = line.smallest(shards, max(size.values()))
+        ends = set(itertools.accumulate(size.values())) | {0}
+        assert capacity == cuts_by_force([size[k] for k in keys], shards) and set(begins) <= ends and len(begins) == shards
+        assert max(b - a for a, b in zip(begins, [*begins[1:], sum(size.values())])) <= capacity
+
+
 def test_shard_hot_group(spark):
     rows = [(i, "hot text " * 20) for i in range(300)] + [(1000 + i, f"other {i} " * (i % 9 + 1)) for i in range(200)]
     got = sharding.shard(table(spark, rows), 5, keep=["doc_id"]).collect()
@@ -607,6 +652,19 @@ def test_alignment_equals_full_table():
         assert score == h.max() and 0 <= start <= end <= len(b) and same_ >= score
 
 
+def test_alignment_of_a_very_long_item():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    item = rng.integers(0, 5000, 6000)
+    text = np.concatenate([rng.integers(0, 5000, 1500), np.delete(item, [50, 3000]), rng.integers(0, 5000, 1500)])
+    tracemalloc.start()
+    score, same_, start, end = decontaminate.align(item, text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (start, end) == (1500, 1500 + 5998) and same_ == 5998 and score == 5996 and most < 4 << 20
+
+
 @pytest.mark.parametrize("block_items", [10_000, 4])
 def test_decontaminate(spark, none, block_items):
     rng = random.Random(12)
