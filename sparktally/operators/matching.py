@@ -18,12 +18,16 @@ def greedy_matches(dets: Column, truths: Column, least: Column) -> Column:
     """
 
     def step(state: Column, x: Column) -> Column:
-        over = lambda t: F.round(iou(t["box"], x["box"]), 6)
-        free = F.filter(truths, lambda t: (over(t) >= least) & ~F.array_contains(state["used"], t["k"]))
-        best = F.array_max(F.transform(free, lambda t: F.struct((~t["ig"]).alias("ok"), over(t).alias("iou"), t["k"].alias("k"))))
-        k = F.coalesce(best["k"], F.lit(0).cast("bigint"))
-        one = F.struct(x["r"].alias("r"), k.alias("k"), F.coalesce(~best["ok"], F.lit(False)).alias("ig"))
-        return F.struct(F.array_append(state["used"], k).alias("used"), F.array_append(state["out"], one).alias("out"))
+        pairs = F.transform(truths, lambda t: F.struct((~t["ig"]).alias("ok"), F.round(iou(t["box"], x["box"]), 6).alias("iou"), t["k"].alias("k")))
+        best = F.array_max(F.filter(pairs, lambda p: (p["iou"] >= least) & ~F.array_contains(state["used"], p["k"])))
+
+        def taken(b: Column) -> Column:
+            k = F.coalesce(b["k"], F.lit(0).cast("bigint"))
+            one = F.struct(x["r"].alias("r"), k.alias("k"), F.coalesce(~b["ok"], F.lit(False)).alias("ig"))
+            return F.struct(F.array_append(state["used"], k).alias("used"), F.array_append(state["out"], one).alias("out"))
+
+        # bound by a lambda, so that it is worked out once
+        return F.get(F.transform(F.array(best), taken), F.lit(0))
 
     none = F.struct(F.array(F.lit(0).cast("bigint")).alias("used"), F.expr("array()").cast("array<struct<r:bigint,k:bigint,ig:boolean>>").alias("out")).cast(MATCH)
     return F.aggregate(dets, none, step, lambda state: state["out"])

@@ -18,7 +18,9 @@ def precision_recall(levels: DataFrame, keys: list[str], score: str) -> DataFram
     all_ = F.sum(F.col("tp") + F.col("fp")).over(down.rowsBetween(Window.unboundedPreceding, 0))
     npos = F.sum("tp").over(Window.partitionBy(*keys))
     out = levels.withColumns({"hits": hits, "npos": npos, "precision": hits / all_}).withColumn("recall", F.try_divide("hits", "npos"))
-    return out.withColumn("envelope", F.max("precision").over(down.rowsBetween(0, Window.unboundedFollowing)))
+    # the running maximum from the lowest score up: one pass, where a frame to the end would be read again for each row
+    up = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn("envelope", F.max("precision").over(up))
 
 
 def average_precision(curve: DataFrame, keys: list[str], score: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators.boxes import iou
 from ..operators.matching import greedy_matches
-from ..operators.ranking import precision_at_recalls
 from ..session import table
 from .catalog import query
 
@@ -96,9 +95,13 @@ def ranked_ap(kept: DataFrame, npos: DataFrame, keys: list[str]) -> DataFrame:
     down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     hits, all_ = F.sum("tp").over(down), F.sum(F.col("tp") + F.col("fp")).over(down)
     curve = levels.select(*keys, hits.alias("hits"), F.try_divide(hits, all_).alias("precision")).join(npos, keys)
-    curve = curve.withColumn("recall", F.round(F.try_divide("hits", "npos"), 9))
-    points = precision_at_recalls(curve, [*keys, "npos"], [q / 100 for q in range(101)])
-    return points.groupBy(*keys, "npos").agg(F.round(F.when(F.col("npos") == 0, -1.0).otherwise(F.avg("precision")), 6).alias("ap")).select(*keys, "npos", "ap")
+    # a hundredth of recall needs one number, so that what is gathered for a class is at most 101 of them
+    reached = F.floor(F.round(F.try_divide("hits", "npos"), 9) * 100 + 1e-8).cast("int").alias("reached")
+    steps = curve.groupBy(*keys, "npos", reached).agg(F.max("precision").alias("p"))
+    steps = steps.groupBy(*keys, "npos").agg(F.collect_list(F.struct("reached", "p")).alias("steps"))
+    best = lambda q: F.coalesce(F.array_max(F.transform(F.filter("steps", lambda x: x["reached"] >= q), lambda x: x["p"])), F.lit(0.0))
+    mean = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(100)), best), F.lit(0.0), lambda a, x: a + x) / 101
+    return steps.select(*keys, "npos", F.round(F.when(F.col("npos") == 0, -1.0).otherwise(mean), 6).alias("ap"))
 
 
 @query(
@@ -167,7 +170,7 @@ def q_voc_ap_matched(spark: SparkSession, d: str) -> DataFrame:
     by = Window.partitionBy("cls").orderBy(F.desc("score"))
     down = by.rowsBetween(Window.unboundedPreceding, 0)
     curve = levels.join(npos, "cls").select("cls", "score", "npos", (F.sum("tp").over(down) / F.col("npos")).alias("recall"), F.coalesce(F.try_divide(F.sum("tp").over(down), F.sum(F.col("tp") + F.col("fp")).over(down)), F.lit(0.0)).alias("precision"))
-    steps = curve.withColumns({"step": F.col("recall") - F.coalesce(F.lag("recall").over(by), F.lit(0.0)), "envelope": F.max("precision").over(by.rowsBetween(0, Window.unboundedFollowing))})
+    steps = curve.withColumns({"step": F.col("recall") - F.coalesce(F.lag("recall").over(by), F.lit(0.0)), "envelope": F.max("precision").over(Window.partitionBy("cls").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))})
     f = F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"))
     return steps.groupBy("cls").agg(F.max("npos").alias("npos"), F.round(F.sum(F.col("step") * F.col("envelope")), 6).alias("ap"), F.round(F.max_by("score", f), 2).alias("best_f_score"))
 
@@ -230,11 +233,16 @@ def soft_step(sigma: float, least: float):  # noqa: ANN201
     """One round: the best box left is taken, and the scores of the others decay by their overlap with it; weak ones go."""
 
     def step(state: Column, _: Column) -> Column:
-        best = F.array_max(F.transform(state["left"], lambda x: F.struct(x["s"].alias("s"), (-x["r"]).alias("m"), x["box"].alias("box"))))
-        decay = lambda x: F.exp(-F.pow(iou(best["box"], x["box"], 1.0), F.lit(2)) / sigma)
-        rest = F.transform(F.filter(state["left"], lambda x: x["r"] != -best["m"]), lambda x: F.struct((x["s"] * decay(x)).alias("s"), x["r"].alias("r"), x["box"].alias("box")))
-        taken = F.array_append(state["out"], F.struct((-best["m"]).alias("r"), F.round(best["s"], 4).alias("s")))
-        return F.when(best.isNull(), state).otherwise(F.struct(F.filter(rest, lambda x: x["s"] >= least).alias("left"), taken.alias("out")))
+        first = F.array_max(F.transform(state["left"], lambda x: F.struct(x["s"].alias("s"), (-x["r"]).alias("m"), x["box"].alias("box"))))
+
+        def taken(best: Column) -> Column:
+            decay = lambda x: F.exp(-F.pow(iou(best["box"], x["box"], 1.0), F.lit(2)) / sigma)
+            rest = F.transform(F.filter(state["left"], lambda x: x["r"] != -best["m"]), lambda x: F.struct((x["s"] * decay(x)).alias("s"), x["r"].alias("r"), x["box"].alias("box")))
+            out = F.array_append(state["out"], F.struct((-best["m"]).alias("r"), F.round(best["s"] + 1e-9, 4).alias("s")))
+            return F.when(best.isNull(), state).otherwise(F.struct(F.filter(rest, lambda x: x["s"] >= least).alias("left"), out.alias("out")))
+
+        # bound by a lambda, so that it is worked out once
+        return F.get(F.transform(F.array(first), taken), F.lit(0))
 
     return step
 
@@ -247,7 +255,7 @@ SOFT_IOU = iou_sql("a", "x", 1).removeprefix("round(").removesuffix(", 6)")
     m AS (SELECT image, cls, items, CAST(0 AS BIGINT) AS r, CAST(0 AS DOUBLE) AS s, 0 AS turn FROM g
     UNION ALL SELECT image, cls, list_filter(list_transform(list_filter(items, lambda x: x.r <> a.r), lambda x: {{'s': x.s * exp(-pow({SOFT_IOU}, 2) / 0.5), 'r': x.r, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2}}), lambda x: x.s >= 0.05), a.r, a.s, turn + 1
       FROM (SELECT *, list_sort(list_transform(items, lambda x: {{'s': x.s, 'm': -x.r, 'r': x.r, 'x1': x.x1, 'y1': x.y1, 'x2': x.x2, 'y2': x.y2}}), 'DESC')[1] AS a FROM m WHERE len(items) > 0))
-    SELECT image, cls, r, round(s, 4) AS score FROM m WHERE turn > 0"""
+    SELECT image, cls, r, round(s + 1e-9, 4) AS score FROM m WHERE turn > 0"""
 )
 def q_soft_nms_exp(spark: SparkSession, d: str) -> DataFrame:
     """Soft suppression: a kept box multiplies the others' scores by exp(-overlap^2 / 0.5); what falls below 0.05 goes."""
