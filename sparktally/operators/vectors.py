@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,40 +17,41 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def exact_nearest(base: DataFrame, queries: DataFrame, k: int, block_rows: int = 2000) -> DataFrame:
+def exact_nearest(base: DataFrame, queries: DataFrame, k: int, block_rows: int = 2000, part_rows: int = 50_000) -> DataFrame:
     """(query_id, vec_id, score, rank) of each query's k rows of largest cosine in ``base``, itself excluded.
 
-    Queries go to the executors in blocks of at most ``block_rows`` vectors; each task keeps the k best of its rows for
-    each query, so that the shuffle carries k rows for each query and task. Scores are rounded to nine places before
-    ranking, so that ties don't hang on the order of additions; the smaller vec_id wins.
+    Blocks of queries meet parts of the base in one cogroup, both of bounded size; each pair keeps k rows for a query,
+    so that the last shuffle carries k rows for each query and part, and the plan is the same for any number of queries.
+    Scores are rounded to nine places before ranking, so that ties don't hang on the order of additions; the smaller
+    vec_id wins. Vectors that are null or zero take no part.
     """
-    queries = queries.where("embedding is not null")
-    blocks, out = max(1, math.ceil(queries.count() / block_rows)), None
-    for b in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("vec_id", "embedding").toPandas()
-        if not len(own):
-            continue
-        ids = own["vec_id"].to_numpy()
-        q = np.stack(own["embedding"]).astype(float)
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-
-        def best(batches: Iterator[pd.DataFrame], ids: np.ndarray = ids, q: np.ndarray = q) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                x = np.stack(pdf["embedding"]).astype(float)
-                name = pdf["vec_id"].to_numpy()
-                s = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-                s[ids[:, None] == name[None, :]] = -np.inf
-                for i in range(len(q)):
-                    top = np.lexsort((name, -s[i]))[:k]
-                    top = top[s[i][top] > -np.inf]
-                    yield pd.DataFrame({"query_id": np.full(len(top), ids[i]), "vec_id": name[top], "score": s[i][top]})
-
-        found = base.where("embedding is not null").select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = base.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    there = lambda df: df.where("embedding is not null").where(F.exists("embedding", lambda v: v != 0)).select("vec_id", "embedding")
+    queries, base = there(queries), there(base)
+    blocks, parts = (max(1, math.ceil(df.count() / rows)) for df, rows in ((queries, block_rows), (base, part_rows)))
+    piece = lambda name, n: F.pmod(F.xxhash64(F.lit(name), "vec_id"), F.lit(n)).cast("int").alias(name)
+    every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    q = queries.select("vec_id", "embedding", piece("block", blocks), every("part", parts))
+    x = base.select("vec_id", "embedding", piece("part", parts), every("block", blocks))
+
+    def best(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(other):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        a, b = (np.stack(df["embedding"]).astype(float) for df in (own, other))
+        a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+        ids, names, out = own["vec_id"].to_numpy(), other["vec_id"].to_numpy(), []
+        for i in range(0, len(a), 256):
+            s = np.round(a[i : i + 256] @ b.T, 9)
+            s[ids[i : i + 256, None] == names[None, :]] = -np.inf
+            least = np.partition(s, -min(k, len(names)), axis=1)[:, -min(k, len(names))]
+            r, c = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            found = pd.DataFrame({"query_id": ids[i + r], "vec_id": names[c], "score": s[r, c]})
+            found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            out.append(found[found.groupby("query_id").cumcount() < k])
+        return pd.concat(out)
+
+    found = q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(best, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def centroids(rows: DataFrame, key: str) -> DataFrame:

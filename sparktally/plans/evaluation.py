@@ -207,9 +207,26 @@ def q_box_fusion(spark: SparkSession, d: str) -> DataFrame:
     SELECT c_custkey, s_suppkey, round(gap, 4) AS gap, CASE WHEN gap < 500 THEN 1 WHEN gap < 2000 THEN -2 ELSE -1 END AS matched FROM s WHERE r = 1"""
 )
 def q_best_match_thresholds(spark: SparkSession, d: str) -> DataFrame:
-    """The best candidate of each prediction, judged by two thresholds: matched, between, below."""
-    customers, suppliers = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey"), "s_acctbal")
-    best = customers.join(suppliers, "c_nationkey").groupBy("c_custkey").agg(F.min(F.struct(F.abs(F.col("c_acctbal") - F.col("s_acctbal")).alias("gap"), "s_suppkey")).alias("b"))
+    """The best candidate of each prediction, judged by two thresholds: matched, between, below.
+
+    Nearest balances by bands: within a nation's band two running extremes give the neighbours on either side, and the
+    nearest band with a candidate below and above gives its edge; no pairs are made.
+    """
+    band = lambda c: F.floor(F.col(c) / 100).alias("band")
+    people = table(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), band("c_acctbal"), F.col("c_acctbal").alias("at"), "c_custkey")
+    found = table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), band("s_acctbal"), F.col("s_acctbal").alias("at"), "s_suppkey")
+    up, down = F.struct("at", F.col("s_suppkey").alias("key")), F.struct("at", (-F.col("s_suppkey")).alias("minus"))
+    edges = people.select("nation", "band").distinct().join(found.groupBy("nation", "band").agg(F.min(up).alias("lo"), F.max(down).alias("hi")), ["nation", "band"], "full")
+    bands = Window.partitionBy("nation").orderBy("band")
+    edges = edges.select("nation", "band", F.last("hi", ignorenulls=True).over(bands.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", ignorenulls=True).over(bands.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    own = Window.partitionBy("nation", "band")
+    both = people.withColumn("s_suppkey", F.lit(None).cast(LONG)).unionByName(found.withColumn("c_custkey", F.lit(None).cast(LONG)))
+    some = lambda c: F.when(F.col("s_suppkey").isNotNull(), c)
+    near = both.withColumns({"below": F.max(some(down)).over(own.orderBy("at")), "above": F.min(some(up)).over(own.orderBy(F.desc("at")))}).where("c_custkey is not null")
+    near = near.join(edges, ["nation", "band"])
+    gap = lambda c, key: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(c)["at"]).alias("gap"), key.alias("s_suppkey")))
+    options = F.array(gap("below", -F.col("below.minus")), gap("before", -F.col("before.minus")), gap("above", F.col("above.key")), gap("after", F.col("after.key")))
+    best = near.select("c_custkey", F.array_min(options).alias("b")).where("b is not null")
     return best.select("c_custkey", "b.s_suppkey", F.round("b.gap", 4).alias("gap"), F.when(F.col("b.gap") < 500, 1).when(F.col("b.gap") < 2000, -2).otherwise(-1).alias("matched"))
 
 

@@ -144,10 +144,10 @@ def q_weighted_pick(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT label, vec_id % 7 AS view, embedding FROM embeddings), u AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS v FROM e WHERE view > 0)
+    """WITH e AS (SELECT label, vec_id % 7 AS view, embedding FROM embeddings), u AS (SELECT label, unnest(range(64)) AS i, unnest(embedding) AS v FROM e)
     SELECT label, CAST(i AS INT) AS i, round(sum(CAST(v AS DOUBLE)), 4) AS total, CAST(count(*) FILTER (v <> 0) AS BIGINT) AS n FROM u GROUP BY ALL"""
 )
 def q_feature_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Sums and counts of features over views, zeros left out of the count."""
-    rows = table(spark, d, "embeddings").where("vec_id % 7 > 0").select("label", F.posexplode("embedding").alias("i", "v"))
+    """Sums and counts of features over all views, zeros left out of the count."""
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "v"))
     return rows.groupBy("label", "i").agg(F.round(F.sum(F.col("v").cast("double")), 4).alias("total"), F.count_if(F.col("v") != 0).alias("n"))

@@ -174,16 +174,18 @@ def q_split_membership(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT a.o_custkey AS a, l_suppkey + 1000000000 AS b FROM orders a JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_discount = 0.1 GROUP BY 1, 2),
-    v AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-    r AS (SELECT a AS node, a AS seen FROM v UNION SELECT r.node, v.b FROM r JOIN v ON v.a = r.seen)
-    SELECT node, min(seen) AS component FROM r GROUP BY node"""
+    """WITH g AS (SELECT text, min(doc_id) AS component, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text)
+    SELECT doc_id AS node, component FROM documents JOIN g USING (text) WHERE n > 1"""
 )
 def q_components(spark: SparkSession, d: str) -> DataFrame:
-    """Customers and suppliers that large discounted lines link: connected components of a bipartite graph."""
-    lines = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount = 0.1").select("l_orderkey", "l_suppkey")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return connected_components(lines.join(orders, "l_orderkey").select(F.col("o_custkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b")))
+    """Documents that copies link: connected components of the graph of exact duplicates, over all documents.
+
+    Each copy is linked to the first one of its text and to the last one, so that components need several steps.
+    """
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5("text").alias("key"))
+    ends = docs.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last")
+    links = docs.join(ends, "key")
+    return connected_components(links.select(F.col("doc_id").alias("a"), F.col("last").alias("b")).unionByName(links.select(F.col("first").alias("a"), F.col("last").alias("b"))))
 
 
 @query(

@@ -57,3 +57,21 @@ def rolling_means(events: DataFrame, n: int = 20) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "events": [seen + len(rows)], "mean": [sum(last) / len(last)]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, events long, mean double", "events long, last array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def running_top_n(events: DataFrame, n: int = 10) -> DataFrame:
+    """(event_type, place, event_id, value): each type's n best values so far, as of each batch; ties go to the smaller id.
+
+    The state of a type is n pairs, however many events it has.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        values, ids = state.get if state.exists else ([], [])
+        best = [(-v, i) for v, i in zip(values, ids, strict=True)]
+        for rows in batches:
+            best = sorted([*best, *zip((-rows["value"]).tolist(), rows["event_id"].tolist(), strict=True)])[:n]
+        state.update(([-v for v, _ in best], [i for _, i in best]))
+        yield pd.DataFrame({"event_type": key[0], "place": range(1, len(best) + 1), "event_id": [i for _, i in best], "value": [-v for v, _ in best]})
+
+    schema = "event_type string, place int, event_id long, value double"
+    return events.groupBy("event_type").applyInPandasWithState(step, schema, "vals array<double>, ids array<long>", "update", GroupStateTimeout.NoTimeout)
