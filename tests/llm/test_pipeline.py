@@ -103,3 +103,30 @@ def test_empty_table(spark, tables, tmp_path):
 def test_registered():
     names = entry.queries()
     assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11))
+
+
+def test_edge_rows_and_clashing_columns(spark, tables, tmp_path):
+    """Null ids, shared ids, repeated rows, long texts, and columns named like those that stages use."""
+    rng = random.Random(22)
+    text = lambda n: words(rng, n, "theandwhorly")
+    own = {"a": text(30), "b": text(30), "c": text(30), "long": text(9000)}
+    rows = [(None, own["a"], "s0"), (7, own["b"], "s1"), (7, own["c"], "s1"), (8, own["b"], "s1"), (8, own["b"], "s1"), (9, own["long"], "s2"), (10, None, "s0"), (11, "", None), (12, "1 2 3", "s0")]
+    rows += [(20 + i, text(25), f"s{i % 3}") for i in range(12)]
+    extra = "target string, shard int, slot string, row string, key string, component string, near_row string, mix_row string, epoch string, code int"
+    data = [(i, t, "en", s, len(t or ""), *["x", 3, *["y"] * 7, 5]) for i, t, s in rows]
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {extra}"
+    folder = str(tmp_path)
+    spark.createDataFrame(data, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{tables[0]}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    got = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = got.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, folder)
+        assert got.columns == columns, name
+        got.write.parquet(f"{folder}/{name}")
+        got = spark.read.parquet(f"{folder}/{name}")
+    kept = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/near_dedup").collect()]
+    assert sorted(kept, key=repr) == sorted([(None, own["a"]), (7, own["b"]), (7, own["c"]), (9, own["long"]), *[(i, t) for i, t, _ in rows[9:]]], key=repr)
+    assert {(r.target, r.shard, r.row) for r in got.collect()} == {("x", 3, "y")}
+    last = corpus_pipeline.STAGES[-1][1](spark, got, folder).collect()
+    assert len(last) == got.count() and {r.target for r in last} == {"x"} and all(0 <= r.shard < 24 for r in last)
