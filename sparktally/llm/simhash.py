@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -252,21 +253,27 @@ def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_r
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sets = [shingle_set(x, width) for x in pdf["text"]]
-            named = np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets), np.uint64, len(sets))
-            keys = [band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+            named, keys = np.zeros(len(pdf), np.uint64), []
+            for i, text in enumerate(pdf["text"]):  # one text's shingles at a time
+                x = shingle_set(text, width)
+                named[i] = xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0
+                keys.append(band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64))
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "node": named.view(np.int64), "keys": keys})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a compressed text is a quarter of its shingles' hashes
+        pack = zstandard.ZstdCompressor(level=3).compress
         for pdf in batches:
-            for node, keys, text in zip(pdf["node"], pdf["keys"], pdf["text"], strict=True):
-                yield pd.DataFrame({"key": keys, "node": node, "shingles": [shingle_set(text, width).view(np.int64)] * len(keys)})
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                rows = [(k, node, packed) for node, keys, text in zip(part["node"], part["keys"], part["text"], strict=True) for packed in [pack(text)] for k in keys]
+                yield pd.DataFrame(rows, columns=["key", "node", "packed"])
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
         for _, g in pdf.groupby("key"):
             nodes = g["node"].tolist()
-            found += [(nodes[a], nodes[b]) for a, b in similar_links([x.view(np.uint64) for x in g["shingles"]], similar)]
+            found += [(nodes[a], nodes[b]) for a, b in similar_links([shingle_set(zstandard.decompress(x), width) for x in g["packed"]], similar)]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     rows = docs.select(row_hash(docs).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -277,7 +284,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_r
     need = written(nodes.join(shared, "key").groupBy("row").agg(F.first("node").alias("node"), F.collect_list("key").alias("keys")), "proposed")
     texts = rows.select("row", "text").join(need, "row").dropDuplicates(["row"]).select("node", "keys", "text")
     shards = 1 + (need.agg(F.sum(F.size("keys"))).first()[0] or 0) // shard_rows
-    placed = texts.mapInPandas(place, "key long, node long, shingles array<long>")
+    placed = texts.mapInPandas(place, "key long, node long, packed binary")
     edges = placed.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(pairs, "a long, b long").distinct()
     comp = connected_components(edges).withColumnRenamed("component", "of")
     found = marked.select("row", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "node")
