@@ -136,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 2500, most_un
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score, predicted) for each row. Null and empty texts get the score of a text without any feature.
 
-    Without a model (no confirmed toxic document) every score is 0. Other columns are ignored.
+    Without a model (no confirmed toxic document) every score is 0. Texts of any length are read whole. Repeated rows each
+    get their row. Other columns, whatever their names, are ignored. No rows: none.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
