@@ -215,6 +215,17 @@ def band_keys(shingles: np.ndarray, seed: int = 13) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), b) for b, x in enumerate(least.reshape(BANDS, BAND_ROWS))), np.uint64, BANDS)
 
 
+def band_cells(node: int, key: int, parts: int) -> Iterator[int]:
+    """The groups of a band that a node goes to: of each two of its parts one, so that all pairs meet in at least one."""
+    if parts == 1:
+        yield 0
+        return
+    own = xxhash.xxh64_intdigest(node.to_bytes(8, "little", signed=True), key & 0xFFFFFFFF) % parts
+    for other in range(parts):
+        if other != own:
+            yield min(own, other) * parts + max(own, other)
+
+
 def similar_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int]]:
     """A spanning forest (member, root) of the pairs of sets whose Jaccard similarity is at least ``similar``, exactly.
 
@@ -244,48 +255,62 @@ def similar_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int
     return out
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_rows: int = 4096) -> DataFrame:
+def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_rows: int = 4096, most: int = 1 << 21) -> DataFrame:
     """(row, doc_id, component) for each row of ``docs``; row: a hash of all its columns.
 
     Texts are linked if their sets of shingles of ``width`` words have a Jaccard similarity of at least ``similar``. Bands
     of min-hashes propose the pairs, the sets themselves decide. Texts without words, or null, are one component.
+    The texts of a band with over ``most`` shingles are dealt into parts, and each two parts meet in a group of their own:
+    no task holds more than about ``most`` shingles or one text at a time, and no pair is lost.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            named, keys = np.zeros(len(pdf), np.uint64), []
+            named, size, keys = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.int64), []
             for i, text in enumerate(pdf["text"]):  # one text's shingles at a time
                 x = shingle_set(text, width)
-                named[i] = xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0
+                named[i], size[i] = xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0, len(x)
                 keys.append(band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "node": named.view(np.int64), "keys": keys})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "node": named.view(np.int64), "size": size, "keys": keys})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a compressed text is a quarter of its shingles' hashes
         pack = zstandard.ZstdCompressor(level=3).compress
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a : a + 256]
-                rows = [(k, node, packed) for node, keys, text in zip(part["node"], part["keys"], part["text"], strict=True) for packed in [pack(text)] for k in keys]
-                yield pd.DataFrame(rows, columns=["key", "node", "packed"])
+            rows, held = [], 0
+            for node, keys, parts, text in zip(pdf["node"], pdf["keys"], pdf["large"], pdf["text"], strict=True):
+                packed, parts_of = pack(text), {x["key"]: x["parts"] for x in parts}
+                for key in keys.tolist():
+                    for cell in band_cells(int(node), key, parts_of.get(key, 1)):
+                        rows.append((key, cell, node, packed))
+                        held += len(packed)
+                        if held > 1 << 24 or len(rows) == 8192:
+                            yield pd.DataFrame(rows, columns=["key", "cell", "node", "packed"])
+                            rows, held = [], 0
+            yield pd.DataFrame(rows, columns=["key", "cell", "node", "packed"])
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         found = []
-        for _, g in pdf.groupby("key"):
+        for _, g in pdf.groupby(["key", "cell"]):
             nodes = g["node"].tolist()
             found += [(nodes[a], nodes[b]) for a, b in similar_links([shingle_set(zstandard.decompress(x), width) for x in g["packed"]], similar)]
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     rows = docs.select(row_hash(docs).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = written(rows.mapInPandas(sketch, "row string, doc_id string, node long, keys array<long>"), "sketches")
+    marked = written(rows.mapInPandas(sketch, "row string, doc_id string, node long, size long, keys array<long>"), "sketches")
     # equal sets are one node; of each, one row gives the text
-    nodes = marked.groupBy("node").agg(F.min_by(F.struct("row", "keys"), "row").alias("n")).select("node", "n.row", F.explode("n.keys").alias("key"))
-    shared = nodes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    need = written(nodes.join(shared, "key").groupBy("row").agg(F.first("node").alias("node"), F.collect_list("key").alias("keys")), "proposed")
-    texts = rows.select("row", "text").join(need, "row").dropDuplicates(["row"]).select("node", "keys", "text")
-    shards = 1 + (need.agg(F.sum(F.size("keys"))).first()[0] or 0) // shard_rows
-    placed = texts.mapInPandas(place, "key long, node long, packed binary")
-    edges = placed.groupBy(F.pmod("key", F.lit(shards)).alias("shard")).applyInPandas(pairs, "a long, b long").distinct()
+    nodes = marked.groupBy("node").agg(F.min_by(F.struct("row", "size", "keys"), "row").alias("n")).select("node", "n.row", "n.size", F.explode("n.keys").alias("key"))
+    # two parts meet at a time, so a part has half of the bound
+    parts = F.when(F.col("size") <= most, 1).otherwise(F.least("n", F.ceil(F.col("size") * 2 / most))).cast("int")
+    bands = cut(nodes.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1").withColumn("parts", parts))
+    large = F.collect_list(F.when(F.col("parts") > 1, F.struct("key", "parts"))).alias("large")
+    need = nodes.drop("size").join(bands.select("key", "parts"), "key").groupBy("row").agg(F.first("node").alias("node"), F.collect_list("key").alias("keys"), large)
+    texts = rows.select("row", "text").join(written(need, "proposed"), "row").dropDuplicates(["row"]).select("node", "keys", "large", "text")
+    times = F.greatest(F.lit(1), F.col("parts") - 1)
+    whole = bands.agg(F.sum(times * F.col("n")).alias("n"), F.sum(times * F.col("size")).alias("size")).first()
+    shards = 1 + max((whole["n"] or 0) // shard_rows, (whole["size"] or 0) // most)
+    placed = texts.mapInPandas(place, "key long, cell long, node long, packed binary")
+    edges = placed.groupBy(F.pmod(F.xxhash64("key", "cell"), F.lit(shards)).alias("shard")).applyInPandas(pairs, "a long, b long").distinct()
     comp = connected_components(edges).withColumnRenamed("component", "of")
     found = marked.select("row", F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "node")
     return found.join(comp, "node", "left").select("row", "doc_id", F.coalesce("of", "node").alias("component"))

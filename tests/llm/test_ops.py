@@ -432,6 +432,19 @@ def test_keep_one_finds_edited_copies(spark):
     assert simhash.keep_one(table(spark, [])).count() == 0
 
 
+def test_large_bands_lose_no_pair(spark):
+    """Bands dealt into many parts give the components of undivided ones and of brute force."""
+    texts = [*edited_copies(random.Random(34), 2, 40), *edited_copies(random.Random(35), 10, 3), "two words", None]
+    docs = table(spark, list(enumerate(texts))).repartition(3)
+    want = near_groups_by_force(texts)
+    for most in (50, 1000, 1 << 21):
+        of = {r.doc_id: r.component for r in simhash.similar_texts(docs, most=most).collect()}
+        assert len(of) == len(texts) and len(set(of.values())) == len(set(want)) == len({(of[i], k) for i, k in enumerate(want)})
+    for parts in (1, 2, 3, 7):
+        cells = [set(simhash.band_cells(n, 5, parts)) for n in range(-20, 20)]
+        assert all(a & b for a, b in itertools.combinations(cells, 2)) and max(map(len, cells)) <= max(1, parts - 1)
+
+
 def test_min_hash_recall():
     rng, hit = np.random.default_rng(5), 0
     for _ in range(400):  # pairs just at 0.8: 80 shingles in common, ten own ones each
