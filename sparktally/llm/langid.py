@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +22,7 @@ from .common import crc_of_id, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 GRAMS, SLOTS, PIECE = (1, 2, 3, 4), 1 << 16, 32
+UNKNOWN = "und"
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -184,8 +184,8 @@ def train(docs: DataFrame, docs_by_lang: int = 400, pieces_by_doc: int = 4, most
 class Labeller:
     """Applies a model to texts, keeping the emissions of the words it has seen, up to a bound."""
 
-    def __init__(self, model: Model, most_words: int = 200_000, cells: int = 200_000) -> None:
-        self.model, self.most, self.cells = model, most_words, cells
+    def __init__(self, model: Model, most_words: int = 200_000, cells: int = 200_000, at_once: int = 8_000) -> None:
+        self.model, self.most, self.cells, self.at_once = model, most_words, cells, at_once
         self.place: dict[str, int] = {}
         self.emit = np.zeros((0, len(model.langs)))
 
@@ -194,7 +194,7 @@ class Labeller:
         if new:
             if len(self.place) + len(new) > self.most:
                 self.place, self.emit, new = {}, self.emit[:0], list({w for words in lists for w in words})
-            parts = [soft(self.model.scores(new[i : i + 50_000])) for i in range(0, len(new), 50_000)]
+            parts = [soft(self.model.scores(new[i : i + self.at_once])) for i in range(0, len(new), self.at_once)]
             self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
             self.emit = np.concatenate([self.emit, *parts])
         get = self.place.__getitem__
@@ -205,7 +205,7 @@ class Labeller:
         k = 0
         while k < len(texts):  # as many texts at a time as bound the memory
             lists, n = [], 0
-            while k + len(lists) < len(texts) and n < 400_000:
+            while k + len(lists) < len(texts) and n < self.cells:
                 lists.append(LETTERS.findall((texts[k + len(lists)] or "").lower()))
                 n += len(lists[-1])
             ids = self.ids(lists)
@@ -223,6 +223,16 @@ class Labeller:
             k += len(lists)
 
 
+def verdicts(labeller: Labeller | None, texts: list[str | None]) -> pd.DataFrame:
+    """(lang_pred, score, n_words, n_switches) of each text, as in predict()."""
+    n = len(texts)
+    lang, score, words, turns = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i, g in labeller.marginals(texts) if labeller else ():
+        mean, best = g.mean(axis=0), g.argmax(axis=1)
+        lang[i], score[i], words[i], turns[i] = labeller.model.langs[mean.argmax()], min(1.0, mean.max()), len(g), int((best[1:] != best[:-1]).sum())
+    return pd.DataFrame({"lang_pred": lang, "score": score, "n_words": words, "n_switches": turns})
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, n_words, n_switches) for each row.
 
@@ -234,12 +244,9 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model) if model else None
         for pdf in batches:
-            n = len(pdf)
-            lang, score, words, turns = np.full(n, "und", object), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            for i, g in labeller.marginals(pdf["text"].tolist()) if labeller else ():
-                mean, best = g.mean(axis=0), g.argmax(axis=1)
-                lang[i], score[i], words[i], turns[i] = model.langs[mean.argmax()], min(1.0, mean.max()), len(g), int((best[1:] != best[:-1]).sum())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": lang, "score": score, "n_words": words, "n_switches": turns})
+            out = verdicts(labeller, pdf["text"].tolist())
+            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            yield out
 
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return rows.mapInPandas(run, "doc_id string, lang_pred string, score double, n_words long, n_switches long").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -260,14 +267,22 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that predict() calls ``und`` whatever the model: null or no letters. Mixed languages stay."""
+    """``docs`` without those that the model trained on them calls ``und``: null or no letters. Mixed languages stay.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [bool(LETTERS.search(x or "")) for x in batch.column("text").to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    Without a labelled row there is no model, and no text is rejected but those. Only texts go to Python; the rows wait
+    on the JVM's side.
+    """
+    model = train(docs)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        labeller = Labeller(model) if model else None
+        for texts in batches:
+            if labeller:
+                yield verdicts(labeller, texts.tolist())["lang_pred"] != UNKNOWN
+            else:
+                yield pd.Series([bool(LETTERS.search(x or "")) for x in texts], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(F.pandas_udf(run, "boolean")("text"))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
