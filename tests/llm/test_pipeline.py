@@ -102,7 +102,7 @@ def test_empty_table(spark, tables, tmp_path):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert "pipeline" in names and {int(re.match(r"op(\d+)_", n)[1]) for n in names if n.startswith("op")} == set(range(1, 14))
 
 
 def test_edge_rows_and_clashing_columns(spark, tables, tmp_path):
