@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage in the folder the cluster shares; one of our own where none is set, as in tests."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
@@ -40,10 +40,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Null ends and self-loops link nothing; a node that occurs in self-loops only is not returned. Repeated and
     reversed edges count once. No edges: no rows. Rounds grow with the logarithm of the longest path.
     """
-    now = _checkpointed(edges.select("a", "b").where("a <> b").distinct())
+    now = checkpointed(edges.select("a", "b").where("a <> b").distinct())
     sign = None
     for _ in range(max_rounds):
-        now = _checkpointed(_star(_star(now, large=True), large=False))
+        now = checkpointed(_star(_star(now, large=True), large=False))
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if seen == sign:
             break
