@@ -52,12 +52,12 @@ class Approximation:
             code = self.code[a : a + part]
             lo, hi = self.low[dims, code].T, self.high[dims, code].T
             low[:, a : a + part], high[:, a : a + part] = plus @ lo + minus @ hi, plus @ hi + minus @ lo
-        return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)  # sums beyond double precision bound nothing
+        return low, high
 
 
 def scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Exact whole inner products: in doubles while these hold them, else with whole numbers of any size."""
-    if not x.size or np.abs(x).max() * np.abs(query).max() * x.shape[1] < SAFE:
+    if not x.size or float(np.abs(x).max()) < SAFE / max(1.0, float(np.abs(query).max())) / x.shape[1]:
         return x @ query
     return np.array([sum(int(a) * int(b) for a, b in zip(row, query, strict=True)) for row in x], object)
 
@@ -65,12 +65,15 @@ def scores(x: np.ndarray, query: np.ndarray) -> np.ndarray:
 def search(file: Approximation, ids: np.ndarray, copies: np.ndarray, queries: np.ndarray, names: np.ndarray, k: int, step: int = 32) -> tuple[list[tuple], int]:
     """(query number, vec_id, score, copies) of each query's best rows in the shard, and how many exact vectors were read."""
     out, read = [], 0
-    slack = 1e-9 * np.abs(queries).sum(axis=1) * (np.abs(file.x).max() if file.x.size else 0) + 1e-9  # rounding of the bounds
-    with np.errstate(over="ignore", invalid="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):  # beyond double precision a bound is infinite
+        slack = 1e-9 * (np.abs(queries).sum(axis=1) * (np.abs(file.x).max() if file.x.size else 0) + 1)  # rounding of the bounds
         lows, highs = file.bounds(queries)
+        lows, highs = lows - slack[:, None], highs + slack[:, None]
+    lows[np.isnan(lows)], highs[np.isnan(highs)] = -np.inf, np.inf
+    lows, highs = np.clip(lows, -MOST, MOST), np.clip(highs, -MOST, MOST)
     for q, (query, name) in enumerate(zip(queries, names.tolist(), strict=True)):
         own = ids == name
-        low, high = np.where(own, -np.inf, lows[q] - slack[q]), np.where(own, -np.inf, highs[q] + slack[q])
+        low, high = np.where(own, -np.inf, lows[q]), np.where(own, -np.inf, highs[q])
         n = len(ids) - int(own.sum())
         least = np.partition(low, len(low) - k)[len(low) - k] if n > k else -np.inf
         may = np.flatnonzero((high >= least) & ~own)
@@ -81,7 +84,7 @@ def search(file: Approximation, ids: np.ndarray, copies: np.ndarray, queries: np
                 break
             rows = may[a : a + step]
             read += len(rows)
-            best += [(int(s), i, c) for s, i, c in zip(scores(file.x[rows], query).tolist(), ids[rows].tolist(), copies[rows].tolist(), strict=True)]
+            best += [(max(-MOST, min(MOST, int(s))), i, c) for s, i, c in zip(scores(file.x[rows], query).tolist(), ids[rows].tolist(), copies[rows].tolist(), strict=True)]
             best.sort(key=lambda b: (-b[0], b[1]))
             best = best[:k]
         out += [(q, i, s, c) for s, i, c in best]
@@ -99,7 +102,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 def top(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, bits: int = 4, shard_rows: int = 16_384) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``vectors`` with the highest scores, but its own.
 
-    score: the inner product of floor(scale * component); beyond 64 bits the nearest 64-bit number. Ties go to the smaller
+    score: the inner product of floor(scale * component); beyond 64 bits it is 2 ** 63 - 1 with its sign. Ties go to the smaller
     vec_id. Rows whose vec_id or embedding is null, or that hold null or non-finite components, take no part, as queries
     neither. Only vectors of equal length are compared. A repeated row is as many candidates, but one query; rows with
     the query's own id are its own. Rows of different vectors with one id are queries each by itself. Fewer candidates
@@ -134,8 +137,7 @@ def top(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, bi
                 for c in range(0, len(x) if file else 0, 128):
                     hits, _ = search(file, ids, copies, x[c : c + 128], name[c : c + 128], k)
                     q = np.array([c + h[0] for h in hits], int)
-                    score = [max(-MOST - 1, min(MOST, h[2])) for h in hits]
-                    columns = [name[q], which[q], [h[1] for h in hits], score, [h[3] for h in hits]]
+                    columns = [name[q], which[q], *([h[i] for h in hits] for i in (1, 2, 3))]
                     yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns], names=FOUND)
 
     found = both.mapInArrow(run, ", ".join(f"{c} long" for c in FOUND))
