@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -54,7 +54,6 @@ class Model:
     known: np.ndarray
     step: np.ndarray
     start: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict)
 
     def scores(self, words: list[str]) -> np.ndarray:
         slots, begin = word_features(words)
@@ -253,7 +252,11 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, word_no, word, lang, probability) for each word of letters: the labels of code-switched text."""
+    """(doc_id, word_no, word, lang, probability) for each word of letters: the labels of code-switched text.
+
+    Texts that are null or have no letters give no rows. Rows with a null id give theirs with a null doc_id, repeated rows
+    each give theirs. Texts of any length are read whole. Other columns, whatever their names, are ignored. No rows: none.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model)
@@ -261,28 +264,33 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
             texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
             for i, g in labeller.marginals(texts):
                 words = LETTERS.findall(texts[i].lower())
-                yield pd.DataFrame({"doc_id": ids[i], "word_no": np.arange(len(g)), "word": words, "lang": [model.langs[j] for j in g.argmax(axis=1)], "probability": g.max(axis=1)})
+                yield pd.DataFrame({"doc_id": [ids[i]] * len(g), "word_no": np.arange(len(g)), "word": words, "lang": [model.langs[j] for j in g.argmax(axis=1)], "probability": g.max(axis=1)})
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, word_no long, word string, lang string, probability double")
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return rows.mapInPandas(run, "doc_id string, word_no long, word string, lang string, probability double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """``docs`` without those that the model trained on them calls ``und``: null or no letters. Mixed languages stay.
+    """``docs`` without texts that are null or have no letters (op1's ``und``); the others' missing languages are filled in.
 
-    Without a labelled row there is no model, and no text is rejected but those. Only texts go to Python; the rows wait
-    on the JVM's side.
+    That a text has letters needs no model, so the JVM tests it. The model, trained on the labelled rows, reads the texts
+    whose lang is null and writes what it finds into that column; where no row is labelled it stays null. Languages that
+    are given stay as they are, mixed texts too. Without a row to fill in, nothing is trained. No rows: none.
     """
-    model = train(docs)
+    kept = docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
+    unnamed = kept.where("lang is null")
+    model = None if unnamed.isEmpty() else train(docs)
+    if model is None:
+        return kept
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        labeller = Labeller(model) if model else None
+        labeller = Labeller(model)
         for texts in batches:
-            if labeller:
-                yield verdicts(labeller, texts.tolist())["lang_pred"] != UNKNOWN
-            else:
-                yield pd.Series([bool(LETTERS.search(x or "")) for x in texts], dtype=bool)
+            found = verdicts(labeller, texts.tolist())["lang_pred"]
+            yield found.where(found != UNKNOWN, None)
 
-    return docs.where(F.pandas_udf(run, "boolean")("text"))
+    filled = F.pandas_udf(run, "string")(F.when(F.col("lang").isNull(), F.col("text")))
+    return kept.withColumn("lang", F.coalesce("lang", filled))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
