@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 TOKEN = re.compile(r"\w+")
-RESULT = "doc_id long, item_id long, score double, matched int, item_words int, start long, end long"
+RESULT = "key string, item_id long, score double, matched int, item_words int, start long, end long"
 
 
 class Seeds:
@@ -138,19 +138,27 @@ def matches(text: str, seeds: Seeds, least: float) -> Iterator[tuple]:
             yield i, score / n, same, n, spans[s][0] if spans else None, spans[e - 1][1] if spans else None
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4, rare_share: float = 1e-4, block_items: int = 10_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float = 0.4, rare_share: float = 1e-4, block_items: int = 10_000, block_chars: int = 4_000_000) -> DataFrame:
     """One row (doc_id, item_id, score, ...) for each document and item of which it holds a whole or edited copy.
 
     score: alignment score over the item's words, 1 for an exact copy. start, end: characters of the best copy (null
     where lower-casing changes the text's length). Texts of any length are read whole; long items are aligned in memory
     that grows with the window alone. Null or empty texts match nothing; items of fewer than ``n`` words
-    are not looked for; repeated rows each give their rows; ties go to the first copy in the text. Empty tables: no
-    rows. Other columns are ignored. Items with one text but several ids are all reported.
+    are not looked for; repeated rows and rows with a null id each give their rows; ties go to the first copy in the text. Empty tables: no
+    rows. Other columns are ignored. Items with one text but several ids are all reported. A block holds about ``block_items``
+    items and ``block_chars`` characters, so that n-grams of its words can be numbered in 64 bits.
     """
-    docs = docs.select(F.col("doc_id"), F.col("text")).where("text is not null and doc_id is not null")
+    out = _found(docs.select(F.col("doc_id").cast("string").alias("key"), "text"), benchmark, n, least, rare_share, block_items, block_chars)
+    return out.withColumnsRenamed({"key": "doc_id"}).withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, n: int, least: float, rare_share: float, block_items: int, block_chars: int) -> DataFrame:
+    """The same by ``key``, a text of any kind that may repeat or be null, for rows (key, text)."""
+    docs = docs.where("text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("text is not null and item_id is not null").distinct()
     # more rows than items (an id with two texts) only make a block slightly larger
-    blocks = max(1, math.ceil(items.count() / block_items))
+    size = items.agg(F.count("*").alias("items"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, math.ceil(size["items"] / block_items), math.ceil(size["chars"] / block_chars))
     limit, out = rare_share * docs.count(), None
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -166,30 +174,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 3, least: float
                         total[c] += 1
                     keep[r] = len(at) > 1 and any(True for i, hits in by_item(seeds, at, codes).items() for _ in windows(hits, len(seeds.words[i])))
                 yield pdf[keep].assign(code=0, docs=0)
-            yield pd.DataFrame({"doc_id": 0, "text": None, "code": list(total), "docs": list(total.values())})
+            yield pd.DataFrame({"key": None, "text": None, "code": list(total), "docs": list(total.values())})
 
         # rows with a text are documents to look at, the others are counts
-        seen = written(docs.mapInPandas(count, "doc_id long, text string, code long, docs long"), "seeds")
+        seen = written(docs.mapInPandas(count, "key string, text string, code long, docs long"), "seeds")
         in_docs = seen.where("text is null").groupBy("code").agg(F.sum("docs").alias("docs"))
         seeds.keep_rare({r.code: r.docs for r in in_docs.collect()}, limit)  # at most the block's own n-grams
 
         def find(batches: Iterator[pd.DataFrame], seeds: Seeds = seeds) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                rows = [(d, *m) for d, text in zip(pdf["doc_id"], pdf["text"], strict=True) for m in matches(text, seeds, least)]
+                rows = [(d, *m) for d, text in zip(pdf["key"], pdf["text"], strict=True) for m in matches(text, seeds, least)]
                 yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")]).astype({"start": "Int64", "end": "Int64"})
 
-        found = seen.where("text is not null").select("doc_id", "text").mapInPandas(find, RESULT)
+        found = seen.where("text is not null").select("key", "text").mapInPandas(find, RESULT)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a copy of a benchmark item.
+    """``docs`` without the rows whose text holds a copy of a benchmark item.
 
-    What contaminated() doesn't look at stays: rows whose id or text is null. Rows that share an id go together. Repeated
-    rows and empty texts without a copy stay as they are. Columns may have any names. No rows: none.
+    The text alone decides, whatever a row's id: rows without an id, with a shared one and repeated rows each by
+    themselves. Null and empty texts stay. Columns may have any names. No rows: none.
     """
-    return docs.join(contaminated(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    text = F.md5(F.col("text"))
+    found = _found(docs.select(text.alias("key"), "text"), benchmark, 3, 0.4, 1e-4, 10_000, 4_000_000).select(F.col("key").alias("contaminated_text")).distinct()
+    return docs.join(found, text == F.col("contaminated_text"), "left_anti").select(docs.columns)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,23 @@ def test_keep_known_keeps_mixtures(spark):
     assert und == {102, 103} and {r.doc_id for r in langid.keep_known(docs).collect()} == {*range(90), 100, 101}
 
 
+def test_keep_known_fills_in_missing_languages(spark):
+    rng = random.Random(9)
+    own = {"en": "theandwhorly", "fr": "éèçauoile"}
+    data = [(i, words(rng, 60, own[lang]), lang) for i in range(60) for lang in [list(own)[i % 2]]]
+    data += [(100 + i, words(rng, 60, own[list(own)[i % 2]]), None) for i in range(10)] + [(None, words(rng, 40, own["fr"]), None), (200, words(rng, 40, own["fr"]), "en"), (201, "12 !", "en")]
+    got = {(r.doc_id, r.text): r.lang for r in langid.keep_known(table(spark, data)).collect()}
+    assert got == {(i, t): lang or ("fr" if "é" in t else "en") for i, t, lang in data if i != 201}
+    alone = table(spark, [(1, "some words", None), (2, "3", None)])
+    assert [(r.doc_id, r.lang) for r in langid.keep_known(alone).collect()] == [(1, None)]
+
+
+def test_label_words_of_edge_rows(spark, docs):
+    rows = table(spark, [(None, "the and", "en"), (1, None), (1, ""), (2, "12"), (3, "who"), (3, "who")])
+    got = langid.label_words(rows, langid.train(docs)).collect()
+    assert same((r.doc_id, r.word_no, r.word) for r in got) == same([(None, 0, "the"), (None, 1, "and"), (3, 0, "who"), (3, 0, "who")])
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     e, step, start = rng.random((4, 1, 3)), rng.random((3, 3)), rng.random(3)
@@ -693,10 +710,13 @@ def test_decontaminate(spark, none, block_items):
     data += [(200 + i, other(120)) for i in range(60)] + [(300, None), (301, ""), (302, (items[0][1] + " ") * 400), data[0], (None, items[1][1])]
     bench = spark.createDataFrame([*items, (50, None), (51, ""), (52, "two words"), items[0]], "item_id long, text string").withColumn("score", F.lit(1))
     got = decontaminate.contaminated(table(spark, data), bench, block_items=block_items).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {*[(i, i) for i in range(12)], *[(100 + i, i) for i in range(12)], (302, 0)}
+    assert {(r.doc_id, r.item_id) for r in got} == {*[(i, i) for i in range(12)], *[(100 + i, i) for i in range(12)], (302, 0), (None, 1)}
+    got = [r for r in got if r.doc_id is not None]
     assert all(r.score == 1.0 for r in got if r.doc_id < 12) and sum(r.doc_id == 0 for r in got) == 2
     text = dict(data)
     assert all(re.findall(r"\w+", text[r.doc_id][r.start : r.end].lower()) == items[r.item_id][1].split() for r in got if r.doc_id < 12)
     kept = decontaminate.drop_contaminated(table(spark, data), bench)
-    assert {r.doc_id for r in kept.collect()} == {*range(200, 260), 300, 301, None}
+    assert {r.doc_id for r in kept.collect()} == {*range(200, 260), 300, 301}
+    shared = [(1, items[0][1]), (1, other(40)), (None, other(40)), (None, items[2][1]), (2, None), (2, None)]
+    assert same((r.doc_id, r.text) for r in decontaminate.drop_contaminated(table(spark, shared), bench).collect()) == same([*shared[1:3], *shared[4:]])
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(table(spark, data), bench.limit(0)).count() == 0
