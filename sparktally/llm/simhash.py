@@ -317,7 +317,10 @@ def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_r
 
 
 def row_hash(docs: DataFrame) -> Column:
-    return F.md5(F.to_json(F.struct(*docs.columns)))
+    """128 bits of a row's columns, nulls told apart from other values."""
+    values = [F.to_json(F.struct(c)) if f.dataType.simpleString().find("map<") >= 0 else F.col(c) for c, f in ((f"`{f.name}`", f) for f in docs.schema.fields)]
+    nulls = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in docs.columns])
+    return F.concat_ws("/", F.xxhash64(F.lit("one"), nulls, *values).cast("string"), F.xxhash64(F.lit("other"), nulls, *values).cast("string"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8) -> DataFrame:
