@@ -113,7 +113,7 @@ def top(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64, bi
     here = F.pmod(F.xxhash64("vec_id", "x"), F.lit(shards)).cast("int")
     both = rows.withColumn("shard", here).unionByName(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
     both = both.select("shard", F.size("x").alias("dim"), (F.col("copies") == 0).alias("asks"), "vec_id", "x", "copies", F.xxhash64("x").alias("which"))
-    both = both.repartition(shards, "shard", "dim").sortWithinPartitions("shard", "dim", "asks")
+    both = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, file, parts, ids, copies = None, None, [], None, None
