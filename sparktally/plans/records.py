@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.boxes import iou
 from ..session import table
+from ..sources.annotations import phrases_with_boxes, refer_records
 from .catalog import query
 from .detection import BOXES as DET
 from .detection import boxes as det_boxes
@@ -401,3 +402,36 @@ def q_hilbert(spark: SparkSession, d: str) -> DataFrame:
         quadrant = F.col("rx") * 3
         rows = rows.select("event_id", F.when(F.col("ry") == 0, flip("y")).otherwise(F.col("x")).alias("x"), F.when(F.col("ry") == 0, flip("x")).otherwise(F.col("y")).alias("y"), (F.col("code") + (1 << (2 * i)) * quadrant.bitwiseXOR(F.col("ry"))).alias("code"))
     return rows.select("event_id", "code")
+
+
+@query(
+    """WITH p AS (SELECT conv_id AS image, turn AS sentence, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS place FROM conversations), b AS (SELECT DISTINCT l_orderkey AS image, l_linenumber AS phrase FROM lineitem)
+    SELECT p.image, p.sentence, CAST(count(b.image) AS BIGINT) AS n, string_agg(w, ' ' ORDER BY place) FILTER (b.image IS NOT NULL) AS phrases FROM p LEFT JOIN b ON b.image = p.image AND b.phrase = length(w) GROUP BY ALL"""
+)
+def q_phrases_with_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Of each sentence the phrases that have a box in its image, in order; sentences without any stay. A phrase is a word, named by its length."""
+    words = table(spark, d, "conversations").select(F.col("conv_id").alias("image"), F.col("turn").alias("sentence"), F.posexplode(F.split("text", " ")).alias("place", "text"))
+    boxes = table(spark, d, "lineitem").selectExpr("l_orderkey AS image", "l_linenumber AS phrase")
+    kept = phrases_with_boxes(words.withColumn("phrase", F.length("text")), boxes)
+    return kept.select("image", "sentence", F.coalesce(F.size("phrases"), F.lit(0)).cast(LONG).alias("n"), F.array_join(F.col("phrases.text"), " ").alias("phrases"))
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey AS id, min(l_partkey) AS part FROM lineitem GROUP BY 1), c AS (SELECT p_type AS category, p_partkey AS id FROM part)
+    SELECT t.conv_id AS ref_id, t.turn AS sent_id, CAST(len(string_split(t.text, ' ')) AS BIGINT) AS n_tokens, o.o_custkey AS image_id, a.part AS ann_id, c.category FROM conversations t LEFT JOIN orders o ON o.o_orderkey = t.conv_id LEFT JOIN a ON a.id = t.conv_id LEFT JOIN c ON c.id = a.part"""
+)
+def q_refer_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each sentence with what its reference leads to: image, annotation and category. A conversation is a reference to the order of its number."""
+    one = F.struct(F.col("turn").alias("sent_id"), F.lit("").alias("raw"), F.col("text").alias("sent"), F.split("text", " ").alias("tokens"))
+    refs = table(spark, d, "conversations").select(F.col("conv_id").alias("ref_id"), F.lit("train").alias("split"), F.array(one).alias("sentences"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("ref_id"), F.col("o_custkey").alias("image_id"))
+    anns = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("ref_id")).agg(F.min("l_partkey").alias("ann_id"))
+    refs = refs.join(orders, "ref_id", "left").join(anns, "ref_id", "left").withColumn("category_id", F.col("ann_id"))
+    none = lambda *names: [F.lit(None).alias(n) for n in names]
+    database = {
+        "annotations": anns.select(F.col("ann_id").alias("id"), *none("bbox", "area")).distinct(),
+        "images": orders.select(F.col("image_id").alias("id"), *none("file_name", "height", "width")).distinct(),
+        "categories": table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name")),
+    }
+    rows = refer_records(refs, database)
+    return rows.select("ref_id", "sent_id", F.size("tokens").cast(LONG).alias("n_tokens"), "image_id", "ann_id", "category")
