@@ -73,8 +73,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def forward_backward(e: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word marginals and expected transition counts.
+def forward_backward(e: np.ndarray, size: np.ndarray, step: np.ndarray, start: np.ndarray, count: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Word marginals and, if they are to be counted, expected transition counts, which only training needs.
 
     e: (time, row, language) positive emissions; rows ordered by falling size, so that the rows still running at any
     time are the first ones. step, start: positive. Marginals beyond a row's size are zero.
@@ -92,8 +92,9 @@ def forward_backward(e: np.ndarray, size: np.ndarray, step: np.ndarray, start: n
         if t + 1 < t_max:
             n = running[t + 1]
             ahead = b[:n] * e[t + 1, :n]
-            total = np.einsum("ri,ij,rj->r", a[t, :n], step, ahead)
-            moves += step * ((a[t, :n] / total[:, None]).T @ ahead)
+            if count:
+                total = np.einsum("ri,ij,rj->r", a[t, :n], step, ahead)
+                moves += step * ((a[t, :n] / total[:, None]).T @ ahead)
             b[:n] = unit(ahead @ step.T)
         n = running[t]
         g[t, :n] = unit(a[t, :n] * b[:n])
@@ -181,10 +182,13 @@ def train(docs: DataFrame, docs_by_lang: int = 400, pieces_by_doc: int = 4, most
 
 
 class Labeller:
-    """Applies a model to texts, keeping the emissions of the words it has seen, up to a bound."""
+    """Applies a model to texts, keeping the emissions of the words it has seen, up to a bound.
 
-    def __init__(self, model: Model, most_words: int = 200_000, cells: int = 200_000, at_once: int = 8_000) -> None:
-        self.model, self.most, self.cells, self.at_once = model, most_words, cells, at_once
+    numbers: about how many words times languages are worked on at a time; the more, the fewer steps along the texts.
+    """
+
+    def __init__(self, model: Model, most_words: int = 200_000, numbers: int = 4_000_000, at_once: int = 8_000) -> None:
+        self.model, self.most, self.cells, self.at_once = model, most_words, max(1, numbers // len(model.langs)), at_once
         self.place: dict[str, int] = {}
         self.emit = np.zeros((0, len(model.langs)))
 
@@ -216,7 +220,7 @@ class Labeller:
                 table = np.zeros((size[0], len(now)), np.int64)
                 for r, i in enumerate(now):
                     table[: size[r], r] = ids[i]
-                g, _ = forward_backward(self.emit[table], size, self.model.step, self.model.start)
+                g, _ = forward_backward(self.emit[table], size, self.model.step, self.model.start, count=False)
                 for r, i in enumerate(now):
                     yield k + i, g[: size[r], r]
             k += len(lists)

@@ -95,6 +95,50 @@ def test_keep_known_fills_in_missing_languages(spark):
     assert [(r.doc_id, r.lang) for r in langid.keep_known(alone).collect()] == [(1, None)]
 
 
+def plain_language(text, model):
+    """Language and score of one text: features, forward and backward word by word, in plain Python numbers."""
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not found:
+        return "und", 0.0
+    emit = []
+    for w in found:
+        marked, score, n = f"\x02{w}\x03", [0.0] * len(model.langs), 0
+        for size in (1, 2, 3, 4):
+            for at in range(len(marked) - size + 1):
+                h = size
+                for c in marked[at : at + size]:
+                    h = (h * 0x100000001B3 % 2**64) ^ ord(c)
+                slot = (h * 0x9E3779B97F4A7C15 % 2**64 >> 48) % langid.SLOTS
+                score = [a + b for a, b in zip(score, model.grams[slot].tolist())]
+                n += 1
+        score = [a / n**0.5 for a in score]
+        if w in model.lexicon:
+            score = [a + b for a, b in zip(score, model.known[model.lexicon[w]].tolist())]
+        top = [np.exp(a - max(score)) for a in score]
+        emit.append([a / sum(top) for a in top])
+    k, step = range(len(model.langs)), model.step.tolist()
+    norm = lambda v: [a / sum(v) for a in v]
+    ahead = [norm([e * s for e, s in zip(emit[0], model.start.tolist())])]
+    for e in emit[1:]:
+        ahead.append(norm([sum(ahead[-1][i] * step[i][j] for i in k) * e[j] for j in k]))
+    back, mean = [1.0] * len(k), [0.0] * len(k)
+    for t in range(len(emit) - 1, -1, -1):
+        own = norm([a * b for a, b in zip(ahead[t], back)])
+        mean = [m + o / len(emit) for m, o in zip(mean, own)]
+        back = norm([sum(step[i][j] * emit[t][j] * back[j] for j in k) for i in k])
+    return model.langs[mean.index(max(mean))], max(mean)
+
+
+def test_langid_equals_plain_numbers(spark, docs, rows):
+    model = langid.train(docs)
+    want = same((r[0], plain_language(r[1], model)[0], round(plain_language(r[1], model)[1], 9)) for r in rows)
+    assert same((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(docs, model).collect()) == want
+    texts = [r[1] for r in rows]
+    one = langid.verdicts(langid.Labeller(model), texts)
+    few = langid.verdicts(langid.Labeller(model, most_words=50, numbers=60, at_once=7), texts)  # small bounds change nothing
+    assert one["lang_pred"].tolist() == few["lang_pred"].tolist() and np.allclose(one["score"], few["score"])
+
+
 def test_label_words_of_edge_rows(spark, docs):
     rows = table(spark, [(None, "the and", "en"), (1, None), (1, ""), (2, "12"), (3, "who"), (3, "who")])
     got = langid.label_words(rows, langid.train(docs)).collect()
