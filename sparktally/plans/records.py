@@ -353,15 +353,15 @@ def q_topk_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """WITH t AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w FROM conversations), k AS (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i, w FROM t),
     s AS (SELECT conv_id, turn, i, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0) AS lo, length(word) AS n FROM k),
-    c AS (SELECT conv_id, turn, length(text) // 3 AS a, length(text) // 2 AS b FROM t WHERE length(text) >= 12)
+    c AS (SELECT conv_id, turn, length(text) // 3 AS a, length(text) // 2 AS b FROM t)
     SELECT conv_id, turn, CAST(min(i) AS BIGINT) AS first_token, CAST(max(i) AS BIGINT) AS last_token, round(1 / (count(*) + 1e-6), 6) AS weight FROM s JOIN c USING (conv_id, turn) WHERE lo + n > a AND lo < b GROUP BY ALL"""
 )
 def q_span_tokens_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """The tokens that a character span meets, with the weight of each so that a row sums to one; unmapped spans go.
+    """The tokens that a character span meets, with the weight of each so that a row sums to one; spans that meet none go.
 
     Token offsets come from one running sum by array, linear in the text.
     """
-    t = table(spark, d, "conversations").where("length(text) >= 12").selectExpr("conv_id", "turn", "length(text) div 3 AS a", "length(text) div 2 AS b", "split(text, ' ') AS w")
+    t = table(spark, d, "conversations").selectExpr("conv_id", "turn", "length(text) div 3 AS a", "length(text) div 2 AS b", "split(text, ' ') AS w")
     k = t.select("conv_id", "turn", "a", "b", F.posexplode("w").alias("i", "word"))
     lo = F.coalesce(F.sum(F.length("word") + 1).over(Window.partitionBy("conv_id", "turn").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     met = k.withColumn("lo", lo).where("lo + length(word) > a and lo < b")
@@ -435,3 +435,28 @@ def q_refer_records(spark: SparkSession, d: str) -> DataFrame:
     }
     rows = refer_records(refs, database)
     return rows.select("ref_id", "sent_id", F.size("tokens").cast(LONG).alias("n_tokens"), "image_id", "ann_id", "category")
+
+
+#: A token's number by a character of it, from 1: the spaces before it; none for a space or beyond the end.
+TOKEN_AT = "CASE WHEN {0} >= 0 AND {0} < length(text) AND substr(text, CAST({0} AS BIGINT) + 1, 1) <> ' ' THEN length(substr(text, 1, CAST({0} AS BIGINT))) - length(replace(substr(text, 1, CAST({0} AS BIGINT)), ' ', '')) + 1 END"
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, text, 0 AS span, 10 AS a, 24 AS b FROM conversations UNION ALL SELECT conv_id, turn, text, 1, 40, 41 FROM conversations UNION ALL SELECT conv_id, turn, text, 2, length(text) // 3, length(text) // 2 FROM conversations),
+    m AS (SELECT conv_id, turn, span, coalesce({', '.join(TOKEN_AT.format(f'(a + {i})') for i in (0, 1, 2))}) AS first_token, coalesce({', '.join(TOKEN_AT.format(f'(b - {i})') for i in (1, 2, 3))}) AS last_token FROM s)
+    SELECT conv_id, turn, span, CAST(first_token AS BIGINT) AS first_token, CAST(last_token AS BIGINT) AS last_token, round(1 / (last_token - first_token + 1 + 1e-6), 6) AS weight FROM m WHERE first_token <= last_token"""
+)
+def q_span_probing(spark: SparkSession, d: str) -> DataFrame:
+    """Character spans as token spans. A span's first character names its first token, or else one of the next two; its last
+    one the last token, or else one of the two before. Spans with an end in no token go.
+    """
+    span = lambda i, a, b: F.named_struct(F.lit("span"), F.lit(i), F.lit("a"), a.cast(LONG), F.lit("b"), b.cast(LONG))
+    spans = F.array(span(0, F.lit(10), F.lit(24)), span(1, F.lit(40), F.lit(41)), span(2, F.floor(F.length("text") / 3), F.floor(F.length("text") / 2))).alias("spans")
+    k = table(spark, d, "conversations").select("conv_id", "turn", spans, F.posexplode(F.split("text", " ")).alias("i", "word"))
+    # the first characters of tokens, from one running sum for each text
+    lo = F.coalesce(F.sum(F.length("word") + 1).over(Window.partitionBy("conv_id", "turn").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = k.withColumn("lo", lo).select("conv_id", "turn", "i", "lo", (F.col("lo") + F.length("word")).alias("hi"), F.explode("spans").alias("s"))
+    probe = lambda at, way: F.array_min(F.array(*[F.when((at + way * n >= F.col("lo")) & (at + way * n < F.col("hi")), F.struct(F.lit(n).alias("n"), (F.col("i") + 1).cast(LONG).alias("token"))) for n in range(3)]))
+    ends = rows.groupBy("conv_id", "turn", "s.span").agg(F.min(probe(F.col("s.a"), 1)).alias("f"), F.min(probe(F.col("s.b") - 1, -1)).alias("l"))
+    met = ends.select("conv_id", "turn", "span", F.col("f.token").alias("first_token"), F.col("l.token").alias("last_token")).where("first_token <= last_token")
+    return met.withColumn("weight", F.round(1 / (F.col("last_token") - F.col("first_token") + 1 + 1e-6), 6))

@@ -53,13 +53,19 @@ def q_valid_images(spark: SparkSession, d: str) -> DataFrame:
     return one.where("solid and seen >= 1").select("image", "n")
 
 
-NEAR_CROP = "((abs(x1 - 0) <= 5 AND NOT abs(x1 + part % 3 * 40 - 0) <= 5) OR (abs(x2 - 60) <= 5 AND NOT abs(x2 + part % 3 * 40 - 180) <= 5))"
+#: A crop of 60 x 45 in an image of 180 x 120; the box is in the crop's own coordinates.
+CROP_AT = {"x": "part % 3 * 40", "y": "supp % 3 * 30"}
 
 
-@query(f"WITH {BOXES} SELECT {KEY} FROM b WHERE NOT {NEAR_CROP}")
+@query(
+    f"""WITH {BOXES}, c AS (SELECT {KEY}, [x1, y1, x2, y2] AS box, [0, 0, 60, 45] AS crop, [part % 3 * 40, supp % 3 * 30, part % 3 * 40, supp % 3 * 30] AS shift, [0, 0, 180, 120] AS whole FROM b)
+    SELECT {KEY} FROM c WHERE len(list_filter([1, 2, 3, 4], lambda i: abs(box[i] - crop[i]) <= 5 AND abs(box[i] + shift[i] - whole[i]) > 5)) = 0"""
+)
 def q_crop_edge(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes that a crop cuts off go: near the crop's border, unless that is the image's border too."""
-    return keyed(boxes(spark, d).where(f"NOT {NEAR_CROP}"))
+    """Boxes that a crop cuts off go: those with a side near the crop's border that isn't near the image's border too."""
+    near = lambda side, axis, crop, image: (F.abs(F.col(side) - crop) <= 5) & ~(F.abs(F.col(side) + F.expr(CROP_AT[axis]) - image) <= 5)
+    cut = near("x1", "x", 0, 0) | near("x2", "x", 60, 180) | near("y1", "y", 0, 0) | near("y2", "y", 45, 120)
+    return keyed(boxes(spark, d).where(~cut))
 
 
 LVIS = "part % 10 IN (1, 3, 5) AND (x2 - x1) * (y2 - y1) > 50 AND (x2 - x1) * (y2 - y1) < 600"
