@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import checkpointed
@@ -261,3 +261,30 @@ def inside_counts(points: DataFrame, boxes: DataFrame, by: list[str], size: floa
     dealt = p.join(hot, keys, "left").withColumn("piece", F.pmod(F.xxhash64("part", "x", "y"), some).cast("int")).drop("pieces")
     edge = border.join(dealt, [*keys, "piece"]).where("x > x1 and x < x2 and y > y1 and y < y2").groupBy(*by, "box", "part").agg(F.sum("n").alias("n"))
     return inner.unionByName(edge).groupBy(*by, "box", "part").agg(F.sum("n").alias("n"))
+
+
+# ------------------------------------------------------------------------------------------------- points on a surface
+
+
+def surface_points(triangles: DataFrame, by: list[str], each: float, unit: float = 1e-3) -> DataFrame:
+    """(by, i, tri, x, y, z): points on the triangles of each mesh, one for about each ``each`` of its area, at least one.
+
+    triangles: by, tri (unique in a mesh), a corner a.. and two edges u.., v... Sample i of n stands at (i + 1/2) / n of the line of all
+    areas, in units of ``unit``, by tri; in its triangle it has a place by hash, evenly likely everywhere. Meshes without area
+    give no points. A window sums the areas of a mesh; each triangle then knows its samples, without a join.
+    """
+    t = finite(triangles, "a", "u", "v")
+    n = cross(vector("u"), vector("v"))
+    t = t.withColumn("_area", F.round(F.sqrt(dot(n, n)) / 2 / unit).cast("long"))
+    mesh = Window.partitionBy(*by)
+    t = t.withColumns({"_lo": F.sum("_area").over(mesh.orderBy("tri")) - F.col("_area"), "_all": F.sum("_area").over(mesh)}).where("_area > 0")
+    t = t.withColumn("_n", F.floor(F.col("_all") / F.lit(each / unit)) + 1)
+    # the samples i with lo <= (i + 1/2) * all / n < lo + area, in whole numbers
+    past = lambda at: F.greatest(F.lit(0).cast("long"), F.expr(f"(2 * _n * ({at}) - _all + 2 * _all - 1) div (2 * _all)"))
+    t = t.withColumns({"_from": past("_lo"), "_to": past("_lo + _area")}).where("_from < _to")
+    t = t.withColumn("i", F.explode(F.sequence("_from", F.col("_to") - 1)))
+    name = F.md5(F.concat_ws("/", *[F.col(c).cast("string") for c in by], F.col("i").cast("string")))
+    share = lambda at: F.conv(F.substring(name, at, 8), 16, 10).cast("double") / 4294967296.0
+    t = t.withColumns({"_r": F.sqrt(share(1)), "_h": share(9)})
+    place = lambda a: F.col(f"a{a}") + F.col("_r") * (1 - F.col("_h")) * F.col(f"u{a}") + F.col("_r") * F.col("_h") * F.col(f"v{a}")
+    return t.select(*by, "i", "tri", *[place(a).alias(a) for a in AXES])

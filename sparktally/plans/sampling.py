@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators import farthest
+from ..operators import farthest, space
 from ..session import table
 from .catalog import query
 
@@ -28,3 +29,26 @@ def q_label_quota_sample(spark: SparkSession, d: str) -> DataFrame:
     one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg({"l_partkey": "min", "l_suppkey": "max", "l_quantity": "max"})
     points = one.selectExpr("l_orderkey div 20 AS cloud", "l_orderkey * 8 + l_linenumber AS id", "l_linenumber AS label", "`min(l_partkey)` % 101 AS x", "`max(l_suppkey)` % 83 AS y", "`max(l_quantity)` AS z")
     return farthest.label_aware_sample(points, ["cloud"], 18, 3)
+
+
+#: Two numbers from 0 to 1 for a sample of a mesh.
+DRAW = "CAST('0x' || substr(md5(concat_ws('/', CAST(mesh AS VARCHAR), CAST(i AS VARCHAR))), {0}, 8) AS BIGINT) / 4294967296.0"
+
+
+@query(
+    f"""WITH g AS (SELECT l_orderkey // 20 AS mesh, l_orderkey * 8 + l_linenumber AS tri, min(l_partkey) AS p, max(l_suppkey) AS s, max(l_quantity) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
+    t AS (SELECT mesh, tri, CAST(p % 97 AS DOUBLE) AS ax, CAST(s AS DOUBLE) AS ay, q AS az, CAST(p % 13 + 2 AS DOUBLE) AS ux, CAST(s % 7 AS DOUBLE) AS uy, CAST(q % 5 AS DOUBLE) AS uz, CAST(p % 5 AS DOUBLE) AS vx, CAST(s % 11 + 2 AS DOUBLE) AS vy, CAST(q % 3 + 1 AS DOUBLE) AS vz FROM g),
+    w AS (SELECT *, CAST(round(sqrt(pow(uy * vz - uz * vy, 2) + pow(uz * vx - ux * vz, 2) + pow(ux * vy - uy * vx, 2)) / 2 * 1000) AS BIGINT) AS area FROM t),
+    c AS (SELECT *, CAST(sum(area) OVER (PARTITION BY mesh ORDER BY tri) - area AS BIGINT) AS lo, CAST(sum(area) OVER (PARTITION BY mesh) AS BIGINT) AS total FROM w),
+    n AS (SELECT mesh, any_value(total) AS total, CAST(any_value(total) // 40000 + 1 AS BIGINT) AS n FROM c GROUP BY mesh), j AS (SELECT mesh, n, total, unnest(range(0, n)) AS i FROM n),
+    k AS (SELECT c.*, i, sqrt({DRAW.format(1).replace("mesh AS", "j.mesh AS")}) AS r, {DRAW.format(9).replace("mesh AS", "j.mesh AS")} AS h FROM j JOIN c ON c.mesh = j.mesh AND (2 * i + 1) * j.total >= 2 * j.n * lo AND (2 * i + 1) * j.total < 2 * j.n * (lo + area))
+    SELECT mesh, i, tri, round(ax + r * (1 - h) * ux + r * h * vx, 5) AS x, round(ay + r * (1 - h) * uy + r * h * vy, 5) AS y, round(az + r * (1 - h) * uz + r * h * vz, 5) AS z FROM k"""
+)
+def q_surface_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Points on the surface of each mesh, as many as its area asks for: evenly spaced along the triangles' areas, each at a
+    hashed place in its triangle. Areas count in thousandths, so that a sample's triangle doesn't hang on rounding.
+    """
+    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+    corner = {"ax": "p % 97", "ay": "s", "az": "q", "ux": "p % 13 + 2", "uy": "s % 7", "uz": "q % 5", "vx": "p % 5", "vy": "s % 11 + 2", "vz": "q % 3 + 1"}
+    t = one.selectExpr("l_orderkey div 20 AS mesh", "l_orderkey * 8 + l_linenumber AS tri", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in corner.items()])
+    return space.surface_points(t, ["mesh"], 40.0).selectExpr("mesh", "i", "tri", *[f"round({c}, 5) AS {c}" for c in "xyz"])

@@ -322,3 +322,62 @@ def q_merge_small(spark: SparkSession, d: str) -> DataFrame:
     dist = lambda b: F.round(F.pow(F.col("x") - b["x"], 2) + F.pow(F.col("y") - b["y"], 2) + F.pow(F.col("z") - b["z"], 2), 9)
     near = F.array_min(F.transform("big", lambda b: F.struct(dist(b).alias("d"), b["obj"].alias("obj"))))
     return g.where("n < 2").join(big, "image").select("image", "obj", near["obj"].alias("into_obj"))
+
+
+@query(
+    f"""WITH {POINTS}, m AS (SELECT DISTINCT image, supp % 5 AS mask, part % 40 AS pixel FROM p), x AS (SELECT image, part % 40 AS pixel, px, py, pz FROM p WHERE qty > 5),
+    f AS (SELECT m.image, mask, count(*) AS n, avg(px) AS fx, avg(py) AS fy, avg(pz) AS fz FROM m JOIN x USING (image, pixel) GROUP BY ALL)
+    SELECT image, mask, n, round(fx / (sqrt(fx * fx + fy * fy + fz * fz) + 1e-6), 6) AS fx, round(fy / (sqrt(fx * fx + fy * fy + fz * fz) + 1e-6), 6) AS fy, round(fz / (sqrt(fx * fx + fy * fy + fz * fz) + 1e-6), 6) AS fz FROM f"""
+)
+def q_mask_join_pooling(spark: SparkSession, d: str) -> DataFrame:
+    """Mean features of the points whose pixel a mask holds, scaled to length one; masks may overlap, so a point counts for several."""
+    p = points(spark, d)
+    masks = p.selectExpr("image", "supp % 5 AS mask", "part % 40 AS pixel").distinct()
+    seen = p.where("qty > 5").selectExpr("image", "part % 40 AS pixel", "px", "py", "pz")
+    f = masks.join(seen, ["image", "pixel"]).groupBy("image", "mask").agg(F.count("*").alias("n"), *[F.avg(f"p{a}").alias(f"f{a}") for a in "xyz"])
+    size = F.sqrt(sum((F.col(f"f{a}") * F.col(f"f{a}") for a in "xyz"), F.lit(0.0))) + 1e-6
+    return f.select("image", "mask", "n", *[F.round(F.col(f"f{a}") / size, 6).alias(f"f{a}") for a in "xyz"])
+
+
+@query(
+    f"""WITH {POINTS}, g AS (SELECT image, line, min(px) AS x1, min(py) AS y1, min(pz) AS z1, max(px) + 1 AS x2, max(py) + 1 AS y2, max(pz) + 1 AS z2 FROM p GROUP BY ALL),
+    j AS (SELECT a.image, a.line AS a, b.line AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) * greatest(0, least(a.z2, b.z2) - greatest(a.z1, b.z1)) AS meet,
+      (a.x2 - a.x1) * (a.y2 - a.y1) * (a.z2 - a.z1) AS va, (b.x2 - b.x1) * (b.y2 - b.y1) * (b.z2 - b.z1) AS vb, (greatest(a.x2, b.x2) - least(a.x1, b.x1)) * (greatest(a.y2, b.y2) - least(a.y1, b.y1)) * (greatest(a.z2, b.z2) - least(a.z1, b.z1)) AS hull FROM g a JOIN g b ON a.image = b.image AND b.line = a.line + 1)
+    SELECT image, a, b, round(meet / (va + vb - meet), 6) AS iou, round(meet / (va + vb - meet) - (hull - (va + vb - meet)) / hull, 6) AS giou FROM j"""
+)
+def q_box_iou_3d(spark: SparkSession, d: str) -> DataFrame:
+    """Overlap of the boxes in space of each two lines that follow each other, and its form that also counts the gap between them."""
+    ends = [f(f"p{a}").alias(f"{a}1") if f is F.min else (f(f"p{a}") + 1).alias(f"{a}2") for a in "xyz" for f in (F.min, F.max)]
+    g = points(spark, d).groupBy("image", "line").agg(*ends)
+    sides = [f"{a}{k}" for a in "xyz" for k in (1, 2)]
+    other = g.select("image", (F.col("line") - 1).alias("line"), *[F.col(c).alias(f"o{c}") for c in sides])
+    j = g.join(other, ["image", "line"])
+    product = lambda of: of("x") * of("y") * of("z")
+    col = F.col
+    meet = product(lambda a: F.greatest(F.lit(0.0), F.least(col(f"{a}2"), col(f"o{a}2")) - F.greatest(col(f"{a}1"), col(f"o{a}1"))))
+    hull = product(lambda a: F.greatest(col(f"{a}2"), col(f"o{a}2")) - F.least(col(f"{a}1"), col(f"o{a}1")))
+    union = product(lambda a: col(f"{a}2") - col(f"{a}1")) + product(lambda a: col(f"o{a}2") - col(f"o{a}1")) - meet
+    return j.select("image", col("line").alias("a"), (col("line") + 1).alias("b"), F.round(meet / union, 6).alias("iou"), F.round(meet / union - (hull - union) / hull, 6).alias("giou"))
+
+
+@query(
+    f"""WITH {BOXES}, w AS (SELECT image, i, CAST('0x' || substr(md5(concat_ws('/', CAST(image AS VARCHAR), CAST(i AS VARCHAR))), 1, 4) AS BIGINT) % 60 AS wx, CAST('0x' || substr(md5(concat_ws('/', CAST(image AS VARCHAR), CAST(i AS VARCHAR))), 5, 4) AS BIGINT) % 50 AS wy FROM (SELECT DISTINCT image FROM b), range(0, 8) t(i)),
+    o AS (SELECT w.*, b.part, b.supp, b.line, b.qty, x1, y1, x2, y2, greatest(0, least(x2, wx + 60) - greatest(x1, wx)) * greatest(0, least(y2, wy + 55) - greatest(y1, wy)) AS meet, (x1 + x2) / 2 > wx AND (x1 + x2) / 2 < wx + 60 AND (y1 + y2) / 2 > wy AND (y1 + y2) / 2 < wy + 55 AS inside FROM w JOIN b USING (image)),
+    a AS (SELECT image, min(i) AS i FROM (SELECT image, i FROM o GROUP BY ALL HAVING bool_or(inside) AND min(CASE WHEN inside THEN round(meet / ((x2 - x1) * (y2 - y1)), 9) END) >= 0.5) GROUP BY image)
+    SELECT image, i, part, supp, line, qty, greatest(x1, wx) - wx AS cx1, greatest(y1, wy) - wy AS cy1, least(x2, wx + 60) - wx AS cx2, least(y2, wy + 55) - wy AS cy2 FROM o JOIN a USING (image, i) WHERE inside"""
+)
+def q_accepted_crop(spark: SparkSession, d: str) -> DataFrame:
+    """The first of eight hashed windows that cuts no box too far: of each box whose centre it holds at least half is left. Its boxes, clipped
+    and shifted; images without such a window give none.
+    """
+    b = boxes(spark, d)
+    name = F.md5(F.concat_ws("/", F.col("image").cast("string"), F.col("i").cast("string")))
+    at = lambda k, n: (F.conv(F.substring(name, k, 4), 16, 10).cast(LONG) % n)
+    o = b.withColumn("i", F.explode(F.sequence(F.lit(0).cast(LONG), F.lit(7).cast(LONG)))).withColumns({"wx": at(1, 60), "wy": at(5, 50)})
+    clipped = {"kx1": F.greatest("x1", "wx"), "ky1": F.greatest("y1", "wy"), "kx2": F.least(F.col("x2"), F.col("wx") + 60), "ky2": F.least(F.col("y2"), F.col("wy") + 55)}
+    inside = F.expr("(x1 + x2) / 2 > wx AND (x1 + x2) / 2 < wx + 60 AND (y1 + y2) / 2 > wy AND (y1 + y2) / 2 < wy + 55")
+    o = o.withColumns(clipped).where(inside)
+    left = F.round(F.greatest(F.lit(0.0), F.col("kx2") - F.col("kx1")) * F.greatest(F.lit(0.0), F.col("ky2") - F.col("ky1")) / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 9)
+    first = o.groupBy("image", "i").agg(F.min(left).alias("least")).where("least >= 0.5").groupBy("image").agg(F.min("i").alias("i"))
+    out = o.join(first, ["image", "i"])
+    return out.select("image", "i", "part", "supp", "line", "qty", (F.col("kx1") - F.col("wx")).alias("cx1"), (F.col("ky1") - F.col("wy")).alias("cy1"), (F.col("kx2") - F.col("wx")).alias("cx2"), (F.col("ky2") - F.col("wy")).alias("cy2"))
