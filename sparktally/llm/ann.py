@@ -2,12 +2,13 @@
 
 Equal vectors share a node. Shards (by a hash of the vector) hold a bounded number of nodes; in each, greedy searches
 propose neighbours and pruning with a relaxed distance keeps diverse ones. The graphs are written to the shared folder.
-Queries, in blocks of a bounded size, walk every shard's graph from its medoid; the shards' best are merged by score.
+Queries pass every shard's graph in batches, from its medoid on; the shards' best are merged by score.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -138,42 +139,49 @@ def index(vectors: DataFrame, k: int, shard_rows: int) -> tuple[DataFrame, int]:
     return written(graphs, "graph"), shards
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96, shard_rows: int = 4096, block_rows: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, beam: int = 96, shard_rows: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` its k nearest rows of ``vectors`` found, but itself.
 
     score: cosine in double precision on the original vectors; ties go to the smaller vec_id. Vectors that are null,
     zero or hold null or non-finite components take no part, as queries neither. Only vectors of equal length are
     compared. Repeated rows count once. Fewer candidates than k: all of them. Other columns, whatever their names, are
-    ignored. No rows: none.
+    ignored. No rows: none. A task holds a shard's graph while the queries pass in batches; graphs are never copied.
     """
     graphs, shards = index(vectors, k, shard_rows)
     asked = usable(queries).distinct()
-    n_blocks = max(1, math.ceil(asked.count() / block_rows))
-    block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(n_blocks)).cast("int").alias("block")
-    asked = asked.select("vec_id", "embedding", F.size("embedding").alias("dim"), block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    graphs = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def run(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(q) and len(g):
-            g = g.sort_values("node", ignore_index=True)
-            x, wide = np.stack(g["embedding"]), max(1, max(map(len, g["edges"])))
-            edges = np.full((len(g), wide), -1)
-            for i, e in enumerate(g["edges"]):
-                edges[i, : len(e)] = e
-            graph, size, ids = Graph(unit(x), edges, int(g["entry"][0])), np.linalg.norm(x, axis=1), list(g["ids"])
-            for a in range(0, len(q), 256):
-                own, name = np.stack(q["embedding"][a : a + 256]), q["vec_id"].to_numpy()[a : a + 256]
-                found, _ = graph.search(unit(own), min(beam, len(g)))
-                for me, v, hits in zip(name.tolist(), own, found, strict=True):
-                    hits = hits[hits >= 0]
-                    score = np.clip((x[hits] * v).sum(axis=1) / (size[hits] * np.linalg.norm(v)), -1.0, 1.0)
-                    best = sorted((-s, i) for h, s in zip(hits, score.tolist(), strict=True) for i in ids[h] if i != me)[:k]
-                    parts += [(me, i, -s) for s, i in best]
-        return pd.DataFrame(parts, columns=["query_id", "vec_id", "score"])
-
-    keys = ["dim", "shard", "block"]
-    found = asked.groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double")
+    asked = asked.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    both = graphs.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    both = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "dim", "asks", "node")
+
+    def answers(q: pd.DataFrame, graph: Graph, x: np.ndarray, size: np.ndarray, ids: list[np.ndarray]) -> list[tuple]:
+        own, out = np.stack(q["embedding"]), []
+        found, _ = graph.search(unit(own), min(beam, len(x)))
+        for me, v, hits in zip(q["vec_id"].astype("int64").tolist(), own, found, strict=True):
+            hits = hits[hits >= 0]
+            score = np.clip((x[hits] * v).sum(axis=1) / (size[hits] * np.linalg.norm(v)), -1.0, 1.0)
+            best = sorted((-s, i) for h, s in zip(hits, score.tolist(), strict=True) for i in ids[h] if i != me)[:k]
+            out += [(me, i, -s) for s, i in best]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, parts, ready = None, [], None
+        for pdf in batches:
+            for (shard, dim, asks), own in pdf.groupby(["shard", "dim", "asks"], sort=True):
+                if at != (shard, dim):
+                    at, parts, ready = (shard, dim), [], None
+                if not asks:
+                    parts.append(own)
+                    continue
+                if ready is None and parts:
+                    g, parts = pd.concat(parts, ignore_index=True), []
+                    x, edges = np.stack(g["embedding"]), np.full((len(g), max(1, max(map(len, g["edges"])))), -1)
+                    for i, e in enumerate(g["edges"]):
+                        edges[i, : len(e)] = e
+                    ready = Graph(unit(x), edges, int(g["entry"].iloc[0])), x, np.linalg.norm(x, axis=1), list(g["ids"])
+                for a in range(0, len(own) if ready else 0, 256):
+                    yield pd.DataFrame(answers(own.iloc[a : a + 256], *ready), columns=["query_id", "vec_id", "score"])
+
+    found = both.mapInPandas(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
