@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.boxes import iou
-from ..operators.matching import greedy_matches
+from ..operators.matching import greedy_matches, with_overlaps
 from ..session import table
 from .catalog import query
 
@@ -50,17 +50,17 @@ def area(box: str) -> Column:
 def matched(rows: DataFrame, settings: DataFrame | None = None) -> DataFrame:
     """(image, cls, settings, r, score, area, k, ig) of each detection; a few boxes of one class in one image share a row.
 
-    settings: thr (the least overlap in percent) and area bounds lo, hi; truths outside of them are ignored.
+    settings: thr (the least overlap in percent, 50 or more) and area bounds lo, hi; truths outside of them are ignored.
     """
     truth = F.struct("k", F.col("truth").alias("box"), "ig", area("truth").alias("area"))
     found = F.struct("r", F.col("found").alias("box"), "score", area("found").alias("area"))
     one = rows.groupBy("image", "cls").agg(F.array_sort(F.collect_list(truth)).alias("truths"), F.array_sort(F.collect_list(found)).alias("dets"))
+    # boxes are met once; each setting then goes over the overlaps alone
+    one = one.select("image", "cls", with_overlaps(F.col("dets"), F.col("truths"), 0.5).alias("dets"))
     names = settings.columns if settings is not None else []
     one = one.join(F.broadcast(settings)) if settings is not None else one.withColumn("thr", F.lit(50))
-    truths = F.col("truths")
-    if "lo" in names:
-        truths = F.transform("truths", lambda t: F.struct(t["k"].alias("k"), t["box"].alias("box"), (t["ig"] | (t["area"] < F.col("lo")) | (t["area"] >= F.col("hi"))).alias("ig")))
-    one = one.withColumn("m", F.explode(F.arrays_zip("dets", greedy_matches(F.col("dets"), truths, F.col("thr") / 100.0).alias("hit"))))
+    ignored = (lambda t: t["ig"] | (t["area"] < F.col("lo")) | (t["area"] >= F.col("hi"))) if "lo" in names else (lambda t: t["ig"])
+    one = one.withColumn("m", F.explode(F.arrays_zip("dets", greedy_matches(F.col("dets"), ignored, F.col("thr") / 100.0).alias("hit"))))
     return one.select("image", "cls", *names, "m.dets.r", "m.dets.score", "m.dets.area", "m.hit.k", "m.hit.ig")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.boxes import iou
+from ..operators.numbering import numbered
 from ..session import table
 from ..sources.annotations import phrases_with_boxes, refer_records
 from .catalog import query
@@ -243,19 +244,13 @@ def q_best_orientation(spark: SparkSession, d: str) -> DataFrame:
     SELECT u.part, u.id, CAST(cat + base AS BIGINT) AS cat, CAST(first + row_number() OVER (PARTITION BY u.part ORDER BY id) - 1 AS BIGINT) AS global_index FROM u JOIN o ON u.part = o.part"""
 )
 def q_concat_rebase(spark: SparkSession, d: str) -> DataFrame:
-    """Datasets one after the other: rows numbered through, each dataset's categories after those before it.
-
-    Rows are numbered by ranges of their ids, so that no window holds a whole dataset.
-    """
+    """Datasets one after the other: rows numbered through, each dataset's categories after those before it."""
     a = table(spark, d, "customer").selectExpr("0 AS part", "c_custkey AS id", "c_nationkey AS cat")
-    u = a.unionByName(table(spark, d, "supplier").selectExpr("1 AS part", "s_suppkey AS id", "s_nationkey AS cat")).withColumn("range", F.floor(F.col("id") / 4096))
-    order = Window.orderBy("part")
-    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = u.groupBy("part").agg((F.max("cat") + 1).alias("cats")).select("part", before("cats", order).alias("base"))
-    ranges = u.groupBy("part", "range").agg(F.count("*").alias("n")).select("part", "range", before("n", Window.orderBy("part", "range")).alias("first"))
-    placed = u.join(F.broadcast(base), "part").join(ranges, ["part", "range"])
-    own = F.row_number().over(Window.partitionBy("part", "range").orderBy("id")) - 1
-    return placed.select("part", "id", (F.col("cat") + F.col("base")).cast(LONG).alias("cat"), (F.col("first") + own).cast(LONG).alias("global_index"))
+    u = a.unionByName(table(spark, d, "supplier").selectExpr("1 AS part", "s_suppkey AS id", "s_nationkey AS cat"))
+    before = F.coalesce(F.sum("cats").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each dataset
+    base = u.groupBy("part").agg((F.max("cat") + 1).alias("cats")).select("part", before.alias("base"))
+    placed = numbered(u, "part", "id", name="global_index").join(F.broadcast(base), "part")
+    return placed.select("part", "id", (F.col("cat") + F.col("base")).cast(LONG).alias("cat"), "global_index")
 
 
 @query("SELECT p_partkey, p_brand, copy FROM part, range(0, 3) z(copy)")
@@ -320,12 +315,9 @@ def q_consistency(spark: SparkSession, d: str) -> DataFrame:
     SELECT p.item_id, i, w.item_id AS negative FROM p JOIN w ON w.k = pick"""
 )
 def q_negative_captions(spark: SparkSession, d: str) -> DataFrame:
-    """Seven captions of other rows for each, with replacement, by a hash; rows are numbered by ranges of their ids."""
-    rows = table(spark, d, "benchmark").select("item_id", F.floor(F.col("item_id") / 4096).alias("range"))
-    n = rows.count()
-    first = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", first.alias("first"))
-    w = rows.join(ranges, "range").select("item_id", (F.col("first") + F.row_number().over(Window.partitionBy("range").orderBy("item_id")) - 1).alias("k"))
+    """Seven captions of other rows for each, with replacement, by a hash."""
+    w = numbered(table(spark, d, "benchmark").select("item_id"), "item_id", name="k")
+    n = w.count()
     draw = F.conv(F.substring(F.md5(F.concat_ws("/", "item_id", "i")), 1, 6), 16, 10).cast(LONG)
     p = w.select("item_id", "k", F.explode(F.sequence(F.lit(0).cast(LONG), F.lit(6).cast(LONG))).alias("i")).withColumn("pick", (F.col("k") + 1 + draw % (n - 1)) % n)
     return p.join(w.select(F.col("item_id").alias("negative"), F.col("k").alias("pick")), "pick").select("item_id", "i", "negative")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparktally.operators.boxes import iou
 from sparktally.operators.dedup import by_priority
 from sparktally.operators.graph import connected_components
+from sparktally.operators.numbering import numbered
 from sparktally.operators.ranking import average_precision, precision_recall, score_levels
 from sparktally.operators.text import clean, clean_label, swap_words
 from sparktally.operators.vectors import exact_nearest
@@ -92,3 +93,12 @@ def test_streams(spark, tmp_path):
     q.stop()
     last = spark.read.parquet(str(tmp_path / "t" / "version=1"))
     assert {r.user_id: r.event_id for r in last.collect()} == {0: 6, 1: 7}
+
+
+def test_numbers_of_sparse_and_crowded_keys(spark):
+    rows = [(i * 10**15,) for i in range(300)] + [(7,)] * 500 + [(None,), (-(2**63),)]
+    df = spark.createDataFrame(rows, "k long").repartition(5)
+    got = [(r.k, r["index"]) for r in numbered(df, "k").collect()]
+    assert sorted(i for _, i in got) == list(range(len(rows)))
+    assert [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted((k for k, in rows), key=lambda k: (k is not None, k or 0))
+    assert numbered(df.limit(0), "k").count() == 0
