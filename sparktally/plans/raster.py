@@ -57,7 +57,8 @@ NEAR = "[-1001, -1000, -999, -1, 0, 1, 999, 1000, 1001]"
 
 def reached(source: str) -> str:
     """The pixels (spot, b) that each spot of ``source`` reaches in a step more, of spots that reach fewer than four."""
-    return f"(SELECT DISTINCT r.mask, r.spot, w.spot AS b FROM (SELECT mask, spot, b + unnest({NEAR}) AS near FROM {source}) r JOIN w ON w.mask = r.mask AND w.spot = r.near QUALIFY count(*) OVER (PARTITION BY r.mask, r.spot) < 4)"
+    more = f"SELECT DISTINCT r.mask, r.spot, w.spot AS b FROM (SELECT mask, spot, b + unnest({NEAR}) AS near FROM {source}) r JOIN w ON w.mask = r.mask AND w.spot = r.near"
+    return f"(SELECT * FROM ({more}) QUALIFY count(*) OVER (PARTITION BY mask, spot) < 4)"
 
 
 # a hole of fewer than four pixels is what three steps reach, and all that they reach

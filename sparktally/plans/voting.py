@@ -72,9 +72,10 @@ def q_cluster_voting(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH RECURSIVE {ROWS}, {SEEDS} SELECT image, crop, seed, CAST(NULL AS BIGINT) AS member, n, {ROUNDED} FROM v WHERE members > 1
-    UNION ALL SELECT m.image, m.crop, m.seed, m.id, v.n, m.x1, m.y1, m.x2, m.y2, round(m.score * (1 - iou), 6) FROM m JOIN v ON v.image = m.image AND v.crop = m.crop AND v.seed = m.seed AND v.n > 1 WHERE round(m.score * (1 - iou), 6) >= 12"""
+    UNION ALL SELECT m.image, m.crop, m.seed, m.id, v.n, m.x1, m.y1, m.x2, m.y2, floor(m.score * (1 - iou) * 10000 + 0.5) / 10000 FROM m JOIN v ON v.image = m.image AND v.crop = m.crop AND v.seed = m.seed AND v.n > 1 WHERE m.score * (1 - iou) >= 12"""
 )
 def q_soft_cluster_voting(spark: SparkSession, d: str) -> DataFrame:
     """The same, and the boxes taken out stay with what their overlap leaves of their score, from 12 on."""
     b = boxes(spark, d).withColumn("rank", F.struct((-F.col("score")).alias("s"), "id"))
-    return voted(suppression.vote(b, ["image", "crop"], 0.4, soft=12.0))
+    score = F.when(F.col("rank").isNull(), F.col("score")).otherwise(F.floor(F.col("score") * 10000 + 0.5) / 10000)
+    return voted(suppression.vote(b, ["image", "crop"], 0.4, soft=12.0).withColumn("score", score))

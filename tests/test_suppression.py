@@ -83,9 +83,9 @@ def test_vote(spark, soft):
             box = [sum(r[k] * r[2] for r in own) / total if total else seed[k] for k in range(3, 7)]
             want[(g, seed[1], None)] = (len(own), *[round(v, 6) for v in box], seed[2])
             for r in own if soft and len(own) > 1 else ():
-                score = round(r[2] * (1 - over(seed[3:], r[3:], 1.0)), 6)
+                score = r[2] * (1 - over(seed[3:], r[3:], 1.0))
                 if score >= soft:
-                    want[(g, seed[1], r[1])] = (len(own), *r[3:], score)
+                    want[(g, seed[1], r[1])] = (len(own), *r[3:], round(score, 6))
     got = suppression.vote(ranked(spark, rows), ["g"], 0.5, 1.0, soft).collect()
     assert len(got) == len(want)
     assert {(r.g, r.seed["id"], r["rank"] and r["rank"]["id"]): (r.n, *[round(r[c], 6) for c in ("x1", "y1", "x2", "y2", "score")]) for r in got} == want
