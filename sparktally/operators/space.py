@@ -288,3 +288,14 @@ def surface_points(triangles: DataFrame, by: list[str], each: float, unit: float
     t = t.withColumns({"_r": F.sqrt(share(1)), "_h": share(9)})
     place = lambda a: F.col(f"a{a}") + F.col("_r") * (1 - F.col("_h")) * F.col(f"u{a}") + F.col("_r") * F.col("_h") * F.col(f"v{a}")
     return t.select(*by, "i", "tri", *[place(a).alias(a) for a in AXES])
+
+
+# ------------------------------------------------------------------------------------------------- turns
+
+
+def turned(p: Vector, roll: Column, yaw: Column, pitch: Column) -> Vector:
+    """A point turned about x by ``roll``, then about y by ``yaw``, then about z by ``pitch`` (radians, counter-clockwise)."""
+    x, y, z = p
+    y, z = F.cos(roll) * y - F.sin(roll) * z, F.sin(roll) * y + F.cos(roll) * z
+    x, z = F.cos(yaw) * x + F.sin(yaw) * z, F.cos(yaw) * z - F.sin(yaw) * x
+    return F.cos(pitch) * x - F.sin(pitch) * y, F.sin(pitch) * x + F.cos(pitch) * y, z

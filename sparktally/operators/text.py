@@ -22,3 +22,18 @@ def swap_words(c: Column, pairs: dict[str, str]) -> Column:
     both = {**pairs, **{v: k for k, v in pairs.items()}}
     table = F.create_map(*[F.lit(x) for kv in both.items() for x in kv])
     return F.array_join(F.transform(F.split(c, " "), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+
+
+def swap_whole_words(c: Column, pairs: dict[str, str]) -> Column:
+    """Words replaced by their counterparts, both ways, in one pass over any text; null stays null.
+
+    A word ends where no letter, digit or underscore follows, so ``left`` is also found in ``left-hand``; where several fit,
+    the longest is taken. Each pair holds as written, with a capital, and in capitals.
+    """
+    both = {**pairs, **{v: k for k, v in pairs.items()}}
+    cased = {f(k): f(v) for k, v in both.items() for f in (str.upper, str.capitalize, str)}
+    words = "|".join(rf"\Q{w}\E" for w in sorted(cased, key=lambda w: (-len(w), w)))
+    word = r"[\p{L}\p{N}_]"
+    pieces = F.regexp_extract_all(c, F.lit(rf"(?<!{word})(?:{words})(?!{word})|{word}+|[^\p{{L}}\p{{N}}_]+"), F.lit(0))
+    table = F.create_map(*[F.lit(x) for kv in cased.items() for x in kv])
+    return F.array_join(F.transform(pieces, lambda w: F.coalesce(F.try_element_at(table, w), w)), "")

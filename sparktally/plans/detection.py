@@ -116,6 +116,19 @@ def q_ap_101(spark: SparkSession, d: str) -> DataFrame:
     return ranked_ap(matched(rows, thr).where("not ig"), npos, ["cls", "thr"])
 
 
+def report_sql(ap: str) -> str:
+    """A line for each class of the rows that ``ap`` ends with."""
+    head, _, last = ap.rpartition("\n    SELECT ")
+    return head + ", r AS (SELECT " + last + ") SELECT cls, max(npos) AS npos, round(avg(ap), 5) AS ap, max(ap) FILTER (thr = 50) AS ap50, max(ap) FILTER (thr = 75) AS ap75 FROM r GROUP BY cls"
+
+
+@query(report_sql(match_sql("SELECT 50 + 5 * i AS thr FROM range(0, 10) z(i)", "thr", "m.thr / 100.0") + ", kept AS (SELECT * FROM m WHERE r > 0 AND NOT ig)" + ap_sql("cls thr", "SELECT cls, thr, count(*) FILTER (NOT ig) AS npos FROM t, s GROUP BY ALL")))
+def q_category_report(spark: SparkSession, d: str) -> DataFrame:
+    """A line for each class: its mean average precision over ten thresholds, and those at 0.5 and 0.75; write_report() makes a CSV of it."""
+    at = lambda thr: F.max(F.when(F.col("thr") == thr, F.col("ap"))).alias(f"ap{thr}")
+    return q_ap_101(spark, d).groupBy("cls").agg(F.max("npos").alias("npos"), F.round(F.avg("ap"), 5).alias("ap"), at(50), at(75))
+
+
 AREAS = [("all", 0.0, 1e10), ("small", 0.0, 1200.0), ("medium", 1200.0, 2000.0), ("large", 2000.0, 1e10)]
 
 

@@ -452,3 +452,24 @@ def q_span_probing(spark: SparkSession, d: str) -> DataFrame:
     ends = rows.groupBy("conv_id", "turn", "s.span").agg(F.min(probe(F.col("s.a"), 1)).alias("f"), F.min(probe(F.col("s.b") - 1, -1)).alias("l"))
     met = ends.select("conv_id", "turn", "span", F.col("f.token").alias("first_token"), F.col("l.token").alias("last_token")).where("first_token <= last_token")
     return met.withColumn("weight", F.round(1 / (F.col("last_token") - F.col("first_token") + 1 + 1e-6), 6))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey % 130 - 10 AS face, l_quantity FROM lineitem WHERE l_suppkey % 130 - 10 >= 0 AND l_suppkey % 130 - 10 < (SELECT count(*) FROM supplier)")
+def q_valid_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose id lies in the range of the ids there are, from 0 up to their number."""
+    n = table(spark, d, "supplier").agg(F.count("*").alias("n"))  # one row
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey % 130 - 10 AS face", "l_quantity")
+    return rows.join(F.broadcast(n), (F.col("face") >= 0) & (F.col("face") < F.col("n"))).drop("n")
+
+
+@query(
+    """WITH m AS (SELECT user_id AS item, event_id AS place, CASE WHEN event_id % 11 > 0 THEN event_type END AS name, CAST(1 AS BIGINT) << CAST(json_extract_string(props, '$.k') AS BIGINT) % 32 AS bits FROM events),
+    u AS (SELECT item, name, min(place) AS first, bit_or(bits) AS bits, count(*) AS masks FROM m WHERE name IS NOT NULL AND name <> '' GROUP BY ALL)
+    SELECT item, name, row_number() OVER (PARTITION BY item ORDER BY first) - 1 AS idx, bits, masks FROM u"""
+)
+def q_union_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Masks of one name joined into one, names numbered as they are first seen; masks without a name are left out."""
+    bits = F.expr("shiftleft(1L, CAST(get_json_object(props, '$.k') AS INT) % 32)")
+    m = table(spark, d, "events").select(F.col("user_id").alias("item"), F.col("event_id").alias("place"), F.when(F.col("event_id") % 11 > 0, F.col("event_type")).alias("name"), bits.alias("bits"))
+    u = m.where("name <> ''").groupBy("item", "name").agg(F.min("place").alias("first"), F.bit_or("bits").alias("bits"), F.count("*").alias("masks"))
+    return u.select("item", "name", (F.row_number().over(Window.partitionBy("item").orderBy("first")) - 1).cast(LONG).alias("idx"), "bits", "masks")

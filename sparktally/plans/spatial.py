@@ -147,3 +147,28 @@ def q_box_part_overlap(spark: SparkSession, d: str) -> DataFrame:
     seen = points.groupBy("view", "part").agg(F.count("*").alias("seen"))
     whole = inside.groupBy("view", "box").agg(F.sum("n").alias("in_box")).join(seen.groupBy("view").agg(F.sum("seen").alias("all")), "view").where("in_box < 0.98 * all").select("view", "box")
     return inside.join(whole, ["view", "box"]).join(seen, ["view", "part"]).select("view", "box", "part", "n", "seen", F.round(F.col("n") / F.col("seen"), 6).alias("ratio"))
+
+
+@query(
+    f"""WITH {lines_sql(20)}, a AS (SELECT mesh, tri, CAST(p % 97 AS DOUBLE) AS x, CAST(s AS DOUBLE) AS y, q AS z, radians(p % 360) AS r, radians(s * 7) AS w, radians(q * 11) AS t FROM g)
+    SELECT mesh, tri, round(cos(t) * cos(w) * x + (cos(t) * sin(w) * sin(r) - sin(t) * cos(r)) * y + (cos(t) * sin(w) * cos(r) + sin(t) * sin(r)) * z, 5) AS x,
+      round(sin(t) * cos(w) * x + (sin(t) * sin(w) * sin(r) + cos(t) * cos(r)) * y + (sin(t) * sin(w) * cos(r) - cos(t) * sin(r)) * z, 5) AS y, round(-sin(w) * x + cos(w) * sin(r) * y + cos(w) * cos(r) * z, 5) AS z FROM a"""
+)
+def q_rotate_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points turned by three angles of their own, about x, then y, then z."""
+    p = lines(spark, d, 20).selectExpr("mesh", "tri", "CAST(p % 97 AS DOUBLE) AS x", "CAST(s AS DOUBLE) AS y", "q AS z", "radians(p % 360) AS r", "radians(s * 7) AS w", "radians(q * 11) AS t")
+    x, y, z = space.turned(space.vector(""), F.col("r"), F.col("w"), F.col("t"))
+    return p.select("mesh", "tri", *[F.round(c, 5).alias(a) for a, c in zip("xyz", (x, y, z), strict=True)])
+
+
+@query(
+    f"""WITH {lines_sql(50)}, b AS (SELECT mesh AS shape, tri AS id, p % 8 AS patch, CAST(p % 211 AS DOUBLE) AS x, CAST(s AS DOUBLE) AS y, q AS z FROM g),
+    c AS (SELECT shape, patch, floor(avg(x)) AS x, floor(avg(y)) AS y, floor(avg(z)) AS z, round(avg(z), 6) AS logit FROM b GROUP BY ALL)
+    SELECT b.shape, b.id, c.patch, c.logit FROM b JOIN c ON c.shape = b.shape QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY round(pow(b.x - c.x, 2) + pow(b.y - c.y, 2) + pow(b.z - c.z, 2), 9), c.patch) = 1"""
+)
+def q_nearest_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Each point takes the value of the patch whose centre is nearest."""
+    points = lines(spark, d, 50).selectExpr("mesh AS shape", "tri AS qid", "p % 8 AS patch", "CAST(p % 211 AS DOUBLE) AS x", "CAST(s AS DOUBLE) AS y", "q AS z")
+    patches = points.groupBy("shape", "patch").agg(*[F.floor(F.avg(a)).cast("double").alias(a) for a in "xyz"], F.round(F.avg("z"), 6).alias("logit"))
+    near = space.nearest_point(points, patches.withColumnRenamed("patch", "id"), ["shape"], 32.0).select("shape", F.col("qid").alias("id"), F.col("id").alias("patch"))
+    return near.join(patches.select("shape", "patch", "logit"), ["shape", "patch"]).select("shape", "id", "patch", "logit")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.sampling import bucket, k_of_each
-from ..operators.text import clean, clean_label, swap_words
+from ..operators.text import clean, clean_label, swap_whole_words, swap_words
 from ..session import table
 from .catalog import query
 
@@ -192,3 +192,17 @@ def q_edge_faces(spark: SparkSession, d: str) -> DataFrame:
     v, w = F.col("l_partkey") % 50, F.col("l_suppkey") % 50
     edges = table(spark, d, "lineitem").where(v != w).select(F.col("l_orderkey").alias("mesh"), F.least(v, w).alias("a"), F.greatest(v, w).alias("b"), F.col("l_linenumber").alias("face"))
     return edges.groupBy("mesh", "a", "b").agg(F.array_sort(F.collect_set("face")).alias("f")).select("mesh", "a", "b", F.size("f").cast(LONG).alias("n_faces"), F.array_join(F.col("f").cast("array<string>"), ",").alias("faces"))
+
+
+SWAPS = {"the": "that", "of": "to", "and": "in"}
+CASED = {f(a): f(b) for k, v in SWAPS.items() for a, b in ((k, v), (v, k)) for f in (str.upper, str.capitalize, str)}
+
+
+@query(
+    r"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS w FROM conversations), m AS (SELECT MAP {"""
+    + ", ".join(f"'{k}': '{v}'" for k, v in CASED.items())
+    + """} AS swap) SELECT conv_id, turn, array_to_string(list_transform(w, lambda x: coalesce(swap[x], x)), '') AS swapped FROM t, m"""
+)
+def q_swap_whole_words(spark: SparkSession, d: str) -> DataFrame:
+    """Whole words of a text and their counterparts change places, in any of three cases, whatever stands between words."""
+    return table(spark, d, "conversations").select("conv_id", "turn", swap_whole_words(F.col("text"), SWAPS).alias("swapped"))

@@ -10,7 +10,7 @@ from sparktally.operators.dedup import by_priority
 from sparktally.operators.graph import connected_components
 from sparktally.operators.numbering import numbered
 from sparktally.operators.ranking import average_precision, precision_recall, score_levels
-from sparktally.operators.text import clean, clean_label, swap_words
+from sparktally.operators.text import clean, clean_label, swap_whole_words, swap_words
 from sparktally.operators.vectors import exact_nearest
 from sparktally.sources.logs import last_record, means_by_feature, read_allowlist, read_keyed_tsv, read_metrics, write_report
 from sparktally.streaming.jobs import read_events, rolling_means, upsert_latest, windowed_counts
@@ -102,3 +102,17 @@ def test_numbers_of_sparse_and_crowded_keys(spark):
     assert sorted(i for _, i in got) == list(range(len(rows)))
     assert [k for k, _ in sorted(got, key=lambda x: x[1])] == sorted((k for k, in rows), key=lambda k: (k is not None, k or 0))
     assert numbered(df.limit(0), "k").count() == 0
+
+
+def test_swap_whole_words(spark):
+    pairs = {"left": "right", "leftmost": "rightmost", "left-most": "right-most", "leftward": "rightward"}
+    cases = {
+        "the Left one, LEFT (right)!": "the Right one, RIGHT (left)!",
+        "left-most left-hand leftmost; leftover _left left_": "right-most right-hand rightmost; leftover _left left_",
+        "bright éleft left9 Leftward\trightward": "bright éleft left9 Rightward\tleftward",
+        "": "",
+        "no sides": "no sides",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "c string")
+    got = {r.c: r.s for r in rows.select("c", swap_whole_words(F.col("c"), pairs).alias("s")).collect()}
+    assert got == cases | {None: None}

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparktally.operators import raster, space
 
@@ -173,3 +174,19 @@ def test_points_in_boxes(spark, size, piece):
                 want[(v, b, part)] = want.get((v, b, part), 0) + 1
     got = space.inside_counts(spark.createDataFrame(points, "view string, part string, x double, y double"), spark.createDataFrame(boxes, "view string, box long, x1 double, y1 double, x2 double, y2 double"), ["view"], size, piece)
     assert {(r.view, r.box, r.part): r.n for r in got.collect()} == want and want[("v", 96, "hot")] >= 300
+
+
+def about(axis, angle):
+    """Rodrigues' formula with the matrix of the cross product by the axis."""
+    x, y, z = np.eye(3)[axis]
+    k = np.array([[0, -z, y], [z, 0, -x], [-y, x, 0]])
+    return np.eye(3) + np.sin(angle) * k + (1 - np.cos(angle)) * k @ k
+
+
+def test_turns(spark):
+    quarter = np.pi / 2
+    rows = [[0, 1, 0, quarter, 0, 0], [0, 0, 1, 0, quarter, 0], [1, 0, 0, 0, 0, quarter], *np.random.default_rng(9).normal(size=(50, 6)).tolist()]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], "x double, y double, z double, r double, w double, t double")
+    got = df.select(*space.turned(space.vector(""), F.col("r"), F.col("w"), F.col("t"))).toPandas().to_numpy()
+    assert np.allclose(got[:3], [[0, 0, 1], [1, 0, 0], [0, 1, 0]])
+    assert np.allclose(got, [about(2, t) @ about(1, w) @ about(0, r) @ p for *p, r, w, t in rows])
