@@ -3,14 +3,20 @@
 Every function takes the names of the columns ``by`` that keep scenes apart (meshes, shapes, views). Rows with a null or
 non-finite coordinate take part in nothing. A cell's size decides work, not results; it should be near the size of what is
 looked for. Rows of one cell meet by an equi-join, which Spark can split where a cell is hot.
+
+Scenes of few rows need no grid: they meet whole, scene by scene, and only scenes beyond a bound go by cells (crowded()).
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 
 from .graph import checkpointed
 
@@ -59,9 +65,70 @@ def boxed(df: DataFrame, corners: str, margin: float) -> DataFrame:
     return df.withColumns({f"lo{a}": F.least(*[F.col(p + a) for p in corners]) - margin for a in AXES} | {f"hi{a}": F.greatest(*[F.col(p + a) for p in corners]) + margin for a in AXES})
 
 
+def crowded(sides: list[tuple[DataFrame, int]], by: list[str]) -> DataFrame | None:
+    """The scenes with more rows than its bound in one of the tables; None if there are none. Counts alone are shuffled."""
+    counts = [df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*by) for df, most in sides]
+    large = checkpointed(reduce(DataFrame.union, counts).distinct())
+    return None if large.isEmpty() else large
+
+
+def parted(df: DataFrame, large: DataFrame | None, by: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of the other scenes, and those of the ``large`` ones."""
+    return (df, None) if large is None else (df.join(large, by, "left_anti"), df.join(large, by, "left_semi"))
+
+
+def _nine(x: float) -> Decimal:
+    return Decimal(repr(max(float(x), 0.0))).quantize(Decimal("1e-9"), ROUND_HALF_UP)
+
+
+def first_least(values: np.ndarray) -> np.ndarray:
+    """For each row the place of its least value, to nine places, of equal ones the first."""
+    at = values.argmin(axis=1)
+    least = values[np.arange(len(values)), at][:, None]
+    close = (values <= least + 1.1e-9) & np.isfinite(values)
+    for i in np.nonzero((close & (values > least)).any(axis=1))[0]:
+        at[i] = min(np.nonzero(close[i])[0].tolist(), key=lambda j: (_nine(values[i, j]), j))
+    return at
+
+
+def gathered(df: DataFrame, by: list[str], name: str, *columns: str) -> DataFrame:
+    """(by, name): each scene's rows as one array of structs, in the order of the first column."""
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
+
+
+def flat(name: str, *columns: str) -> Column:
+    return F.flatten(F.transform(name, lambda s: F.array(*[s[c] for c in columns])))
+
+
 # ------------------------------------------------------------------------------------------------- rays
 
 
+@F.pandas_udf(StructType().add("tri", ArrayType(IntegerType())).add("t", ArrayType(DoubleType())))
+def _first_hits(rays: pd.Series, tris: pd.Series) -> pd.DataFrame:
+    """For each ray of a scene (o, d) the place of the triangle (a, b, c) that it hits first, or -1, and where."""
+    out = []
+    for r, t in zip(rays, tris, strict=True):
+        r, t = r.reshape(-1, 6), t.reshape(-1, 9)
+        a, e, f = t[:, 0:3].T, (t[:, 3:6] - t[:, 0:3]).T, (t[:, 6:9] - t[:, 0:3]).T
+        places, far = np.full(len(r), -1, np.int32), np.full(len(r), np.nan)
+        step = max(1, (1 << 16) // max(1, len(t)))
+        for i in range(0, len(r), step):
+            o, d = (r[i : i + step, k : k + 3].T[:, :, None] for k in (0, 3))
+            s = o - a[:, None, :]
+            p, q = cross(d, f), cross(s, e)
+            det = dot(e, p)
+            with np.errstate(all="ignore"):
+                u, v, at = dot(s, p) / det, dot(d, q) / det, dot(f, q) / det
+                hit = (np.abs(det) > 1e-12) & (u >= 0) & (v >= 0) & (u + v <= 1) & (at > -5e-10)
+            at = np.where(hit, at, np.inf)
+            best = first_least(at)
+            found = hit.any(axis=1)
+            places[i : i + step] = np.where(found, best, -1)
+            far[i : i + step] = np.where(found, at[np.arange(len(best)), best], np.nan)
+        out.append((places, far))
+    return pd.DataFrame(out, columns=["tri", "t"])
+
+
 def walk(rays: DataFrame, size: float) -> DataFrame:
     """A row for each cell that a ray (o.. + t d.., t >= 0) passes through within its scene's box lo.. to hi..
 
@@ -91,17 +158,38 @@ def walk(rays: DataFrame, size: float) -> DataFrame:
     return rays.withColumn("c", F.explode(cells)).select("*", "c.*").drop("c", "cuts", "t0", "t1")
 
 
-def nearest_hits(rays: DataFrame, triangles: DataFrame, by: list[str], size: float) -> DataFrame:
-    """(by, ray, tri, t): the first triangle that each ray hits, at o + t d; rays that hit nothing give no row.
+def nearest_hits(rays: DataFrame, triangles: DataFrame, by: list[str], size: float, few: int = 2048, misses: bool = False) -> DataFrame:
+    """(by, ray, tri, t): the first triangle that each ray hits, at o + t d; rays that hit nothing give no row (``misses``: nulls).
 
     rays: by, ray, o.., d..; triangles: by, tri, a.., b.., c... Triangles count from both sides and with their edges; of equal
     distances (to nine places) the smaller tri is taken. Degenerate triangles, and those in a ray's own plane, aren't hit;
-    a ray without direction hits nothing. Triangles are spread over the cells of their boxes, rays walk the grid.
+    a ray without direction hits nothing. In scenes of at most ``few`` triangles and rays each ray meets all triangles; in others
+    triangles are spread over the cells of their boxes, and rays walk the grid. Rays are unique in a scene.
     """
-    t = boxed(finite(triangles, "a", "b", "c").select(*by, "tri", *[p + a for p in "abc" for a in AXES]), "abc", 1e-9 * size)
+    corners, ends = [p + a for p in "abc" for a in AXES], [p + a for p in "od" for a in AXES]
+    tris = finite(triangles, "a", "b", "c").select(*by, "tri", *[F.col(c).cast("double").alias(c) for c in corners])
+    r = (rays if misses else finite(rays, "o", "d")).select(*by, "ray", *[F.col(c).cast("double").alias(c) for c in ends])
+    large = crowded([(tris, few), (r, few)], by)
+    (tris, far_tris), (r, far_rays) = parted(tris, large, by), parted(r, large, by)
+    met = gathered(r, by, "rays", "ray", *ends).join(gathered(tris, by, "tris", "tri", *corners), by, "left" if misses else "inner")
+    # a coordinate that is no number makes a ray without direction
+    ok = F.transform("rays", lambda x: F.struct(*[F.when(reduce(lambda a, b: a & b, [x[c].isNotNull() & (F.abs(x[c]) < float("inf")) for c in ends]), x[c]).otherwise(0.0).alias(c) for c in ends]))
+    met = met.withColumn("tris", F.coalesce("tris", F.array().cast(met.schema["tris"].dataType))).withColumn("ok", ok)
+    met = met.withColumn("hit", _first_hits(flat("ok", *ends), flat("tris", *corners)))
+    at = F.arrays_zip(F.transform("rays", lambda x: x["ray"]).alias("ray"), F.col("hit.tri").alias("at"), F.col("hit.t").alias("t"))
+    one = F.transform(at, lambda x: F.struct(x["ray"].alias("ray"), F.when(x["at"] >= 0, F.get("tris", x["at"])["tri"]).alias("tri"), F.when(x["at"] >= 0, F.round(x["t"], 9)).alias("t")))
+    near = met.select(*by, F.inline(one))
+    near = near if misses else near.where("t is not null")
+    if large is None:
+        return near
+    hits = _grid_hits(finite(far_rays, "o", "d"), far_tris, by, size)
+    return near.unionByName(far_rays.select(*by, "ray").join(hits, [*by, "ray"], "left") if misses else hits)
+
+
+def _grid_hits(r: DataFrame, tris: DataFrame, by: list[str], size: float) -> DataFrame:
+    t = boxed(tris, "abc", 1e-9 * size)
     scene = t.groupBy(*by).agg(*[F.min(f"lo{a}").alias(f"lo{a}") for a in AXES], *[F.max(f"hi{a}").alias(f"hi{a}") for a in AXES])
-    r = finite(rays, "o", "d").select(*by, "ray", *[p + a for p in "od" for a in AXES]).join(scene, by)
-    r = walk(r, size).drop(*[f"{e}{a}" for e in ("lo", "hi") for a in AXES])
+    r = walk(r.join(scene, by), size).drop(*[f"{e}{a}" for e in ("lo", "hi") for a in AXES])
     cells = [f"c{a}" for a in AXES]
     # the corner c and the cell's cx, cy, cz would share their names
     t = spread(t.withColumnsRenamed({f"c{a}": f"k{a}" for a in AXES}), size)
@@ -170,21 +258,50 @@ def _box_distance(far: bool) -> Column:
     return out
 
 
-def nearest_point(queries: DataFrame, base: DataFrame, by: list[str], size: float) -> DataFrame:
+@F.pandas_udf(ArrayType(IntegerType()))
+def _nearest(queries: pd.Series, base: pd.Series) -> pd.Series:
+    """For each query of a scene the place of the point that is nearest."""
+    out = []
+    for q, b in zip(queries, base, strict=True):
+        q, b = q.reshape(-1, 3), b.reshape(-1, 3).T
+        step = max(1, (1 << 16) // b.shape[1])
+        out.append(np.concatenate([first_least(sum(((b[k] - q[i : i + step, k, None]) ** 2 for k in range(3)), 0.0)) for i in range(0, len(q), step)]).astype(np.int32))
+    return pd.Series(out, dtype=object)
+
+
+def nearest_point(queries: DataFrame, base: DataFrame, by: list[str], size: float, few: int = 4096) -> DataFrame:
     """(by, qid, id, d2): each query's nearest point of ``base`` in its scene, exactly; ties go to the smaller id.
 
     queries: by, qid, x, y, z; base: by, id, x, y, z. qid is unique. Distances are squared and rounded to nine places. A query in a
     scene without points gives no row.
 
-    Cells double in size from level to level and know the box around their points. A query looks at the 27 cells about it,
+    In scenes of at most ``few`` points and queries each query meets all points, scene by scene in arrays. In larger ones
+    cells double in size from level to level and know the box around their points. A query looks at the 27 cells about it,
     level by level, until one is occupied: the nearest point is then no farther than that cell's far corner, and so within
     the 27 cells two levels up. From there it descends into those cells alone that may hold a point nearer than the nearest
     far corner, down to points. A dense cluster far away is thus never met point by point.
     """
+    points = finite(base, "").select(*by, "id", *[F.col(a).cast("double").alias(a) for a in AXES])
+    asked = finite(queries, "").select(*by, "qid", *[F.col(a).cast("double").alias(f"q{a}") for a in AXES])
+    large = crowded([(points, few), (asked, few)], by)
+    (points, far_points), (asked, far_asked) = parted(points, large, by), parted(asked, large, by)
+    q = [f"q{a}" for a in AXES]
+    met = gathered(asked, by, "asked", "qid", *q).join(gathered(points, by, "points", "id", *AXES), by)
+    met = met.withColumn("at", _nearest(flat("asked", *q), flat("points", *AXES)))
+
+    def pair(x: Column, i: Column) -> Column:
+        p = F.get("points", i)
+        d2 = F.round(sum(((p[a] - x[f"q{a}"]) * (p[a] - x[f"q{a}"]) for a in AXES), F.lit(0.0)), 9)
+        return F.struct(x["qid"].alias("qid"), p["id"].alias("id"), d2.alias("d2"))
+
+    near = met.select(*by, F.inline(F.zip_with("asked", "at", pair)))
+    return near if large is None else near.unionByName(_nearest_by_levels(far_asked, far_points, by, size))
+
+
+def _nearest_by_levels(asked: DataFrame, points: DataFrame, by: list[str], size: float) -> DataFrame:
     at = [f"c{a}" for a in AXES]
     box = [f"{e}{a}" for e in ("lo", "hi") for a in AXES]
-    points = finite(base, "").select(*by, "id", *[F.col(a).cast("double").alias(a) for a in AXES]).withColumns({f"c{a}": cell(F.col(a), size) for a in AXES})
-    asked = finite(queries, "").select(*by, "qid", *[F.col(a).cast("double").alias(f"q{a}") for a in AXES])
+    points = points.withColumns({f"c{a}": cell(F.col(a), size) for a in AXES})
     asked = checkpointed(asked.withColumns({f"h{a}": cell(F.col(f"q{a}"), size) for a in AXES}))
     tight = [F.min(f"lo{a}").alias(f"lo{a}") for a in AXES] + [F.max(f"hi{a}").alias(f"hi{a}") for a in AXES]
     cells = [checkpointed(points.groupBy(*by, *at).agg(*[F.min(a).alias(f"lo{a}") for a in AXES], *[F.max(a).alias(f"hi{a}") for a in AXES]))]
@@ -237,22 +354,33 @@ def nearest_point(queries: DataFrame, base: DataFrame, by: list[str], size: floa
 # ------------------------------------------------------------------------------------------------- points in boxes
 
 
-def inside_counts(points: DataFrame, boxes: DataFrame, by: list[str], size: float, piece: int = 4096) -> DataFrame:
+def inside_counts(points: DataFrame, boxes: DataFrame, by: list[str], size: float, piece: int = 4096, few: int = 4096) -> DataFrame:
     """(by, box, part, n): how many of each part's points lie strictly inside each box, where any do.
 
-    points: by, part, x, y; boxes: by, box, x1, y1, x2, y2. Bins on two axes. A bin wholly inside a box is met as its counts by
+    points: by, part, x, y; boxes: by, box, x1, y1, x2, y2. In scenes of at most ``few`` points and boxes all points meet all boxes, and
+    are counted where they meet. In larger ones: bins on two axes. A bin wholly inside a box is met as its counts by
     part; only bins on a box's border are met point by point, and one of more than ``piece`` different points is dealt out into
     pieces of about that size, each with its own copy of the bin's boxes.
     """
     flat = ("x", "y")
     ok = lambda df, *names: df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf")) & ~F.isnan(F.col(c).cast("double")) for c in names]))
+    points = ok(points, *flat).select(*by, "part", *flat)
+    boxes = ok(boxes, "x1", "y1", "x2", "y2").where("x1 < x2 and y1 < y2").select(*by, "box", "x1", "y1", "x2", "y2")
+    large = crowded([(points, few), (boxes, few)], by)
+    (points, far_points), (boxes, far_boxes) = parted(points, large, by), parted(boxes, large, by)
+    met = points.join(boxes, by).where("x > x1 and x < x2 and y > y1 and y < y2").groupBy(*by, "box", "part").agg(F.count("*").alias("n"))
+    return met if large is None else met.unionByName(_binned_counts(far_points, far_boxes, by, size, piece))
+
+
+def _binned_counts(points: DataFrame, boxes: DataFrame, by: list[str], size: float, piece: int) -> DataFrame:
+    flat = ("x", "y")
     at = [cell(F.col(a), size).alias(f"c{a}") for a in flat]
     keys = [*by, "cx", "cy"]
     # equal points once, with their number, so that a bin's points can always be dealt out
-    p = ok(points, *flat).select(*by, "part", *flat, *at).groupBy(*keys, "part", *flat).agg(F.count("*").alias("n"))
+    p = points.select(*by, "part", *flat, *at).groupBy(*keys, "part", *flat).agg(F.count("*").alias("n"))
     sums = p.groupBy(*keys, "part").agg(F.sum("n").alias("n"), F.count("*").alias("different"))
     hot = sums.groupBy(*keys).agg(F.sum("different").alias("different")).where(F.col("different") > piece).select(*keys, F.ceil(F.col("different") / piece).cast("int").alias("pieces"))
-    b = ok(boxes, "x1", "y1", "x2", "y2").where("x1 < x2 and y1 < y2").select(*by, "box", "x1", "y1", "x2", "y2", *[F.col(f"{a}1").alias(f"lo{a}") for a in flat], *[F.col(f"{a}2").alias(f"hi{a}") for a in flat])
+    b = boxes.select(*by, "box", "x1", "y1", "x2", "y2", *[F.col(f"{a}1").alias(f"lo{a}") for a in flat], *[F.col(f"{a}2").alias(f"hi{a}") for a in flat])
     b = spread(b, size, flat).drop(*[f"{e}{a}" for e in ("lo", "hi") for a in flat])
     whole = reduce(lambda x, y: x & y, [(F.col(f"{a}1") < F.col(f"c{a}") * size) & ((F.col(f"c{a}") + 1) * size <= F.col(f"{a}2")) for a in flat])
     inner = b.where(whole).join(sums, keys).select(*by, "box", "part", "n")

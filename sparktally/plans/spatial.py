@@ -72,9 +72,10 @@ def q_occlusion_rank(spark: SparkSession, d: str) -> DataFrame:
     at = views.selectExpr("*", "48 + 150 * cos(radians(el)) * cos(radians(az)) AS ox", "50 + 150 * cos(radians(el)) * sin(radians(az)) AS oy", "25 + 150 * sin(radians(el)) AS oz")
     marked = t.where("line <= 2").selectExpr("mesh", "tri AS want", *[f"a{a} + (e{a} + f{a}) / 3 AS m{a}" for a in "xyz"])
     rays = at.join(marked, "mesh").selectExpr("mesh", "struct(view, want) AS ray", "el", "az", *[f"o{a}" for a in "xyz"], *[f"m{a} - o{a} AS d{a}" for a in "xyz"])
-    hits = space.nearest_hits(rays, t, ["mesh"], 16.0).select("mesh", "ray", "tri")
+    rays = rays.withColumn("ray", F.struct("ray.view", "ray.want", "el", "az"))
+    hits = space.nearest_hits(rays, t, ["mesh"], 16.0, misses=True)
     cost = F.when(F.col("tri").isNull(), 2).when(F.col("tri") != F.col("ray.want"), 1).otherwise(0)
-    one = rays.join(hits, ["mesh", "ray"], "left").groupBy("mesh", F.col("ray.view").alias("view"), "el", "az").agg(F.sum(cost).alias("occluded"))
+    one = hits.groupBy("mesh", F.col("ray.view").alias("view"), F.col("ray.el").alias("el"), F.col("ray.az").alias("az")).agg(F.sum(cost).alias("occluded"))
     return one.withColumn("place", F.row_number().over(Window.partitionBy("mesh").orderBy("occluded", F.desc("el"), "az", "view")).cast(LONG))
 
 
@@ -145,8 +146,9 @@ def q_box_part_overlap(spark: SparkSession, d: str) -> DataFrame:
     boxes = table(spark, d, "orders").selectExpr("o_orderkey div 200 AS view", "o_orderkey AS box", "CAST(o_custkey % 90 AS DOUBLE) AS x1", "CAST(o_orderkey % 30 AS DOUBLE) AS y1", "CAST(o_custkey % 90 + 10 + o_orderkey % 70 AS DOUBLE) AS x2", "CAST(o_orderkey % 30 + 5 + o_custkey % 40 AS DOUBLE) AS y2")
     inside = space.inside_counts(points, boxes, ["view"], 12.0)
     seen = points.groupBy("view", "part").agg(F.count("*").alias("seen"))
-    whole = inside.groupBy("view", "box").agg(F.sum("n").alias("in_box")).join(seen.groupBy("view").agg(F.sum("seen").alias("all")), "view").where("in_box < 0.98 * all").select("view", "box")
-    return inside.join(whole, ["view", "box"]).join(seen, ["view", "part"]).select("view", "box", "part", "n", "seen", F.round(F.col("n") / F.col("seen"), 6).alias("ratio"))
+    inside = inside.withColumn("in_box", F.sum("n").over(Window.partitionBy("view", "box")))
+    seen = seen.withColumn("all", F.sum("seen").over(Window.partitionBy("view")))
+    return inside.join(seen, ["view", "part"]).where("in_box < 0.98 * all").select("view", "box", "part", "n", "seen", F.round(F.col("n") / F.col("seen"), 6).alias("ratio"))
 
 
 @query(
