@@ -55,12 +55,15 @@ def _tiles(pixels: DataFrame, tile: int) -> DataFrame:
     return at.groupBy("mask", F.floor(F.col("x") / tile).alias("tx"), F.floor(F.col("y") / tile).alias("ty")).agg(F.collect_set(own).alias("own"))
 
 
-def _labelled(tiles: DataFrame, tile: int, holes: bool) -> DataFrame:
-    """The runs of each tile; ``holes``: those of what isn't in the mask, within width and height."""
+def _labelled(tiles: DataFrame, tile: int, holes: bool, most: int = 1 << 15) -> DataFrame:
+    """The runs of each tile; ``holes``: those of what isn't in the mask, within width and height.
+
+    A task holds the runs of ``most`` and a tile at a time, however many tiles come in one batch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
+            found, held = [], 0
             for i, row in enumerate(pdf.itertuples(index=False)):
                 pixels = np.zeros(tile * tile, bool)
                 if row.own is not None:
@@ -70,11 +73,20 @@ def _labelled(tiles: DataFrame, tile: int, holes: bool) -> DataFrame:
                     pixels = ~pixels
                     pixels[max(0, row.height - row.ty * tile) :], pixels[:, max(0, row.width - row.tx * tile) :] = False, False
                 runs = label_tile(pixels) + np.array([row.ty, row.tx, row.tx, row.ty, row.tx]) * tile
-                part = pd.DataFrame(runs, columns=["y", "x0", "x1", "ly", "lx"])
-                part["mask"], part["tx"] = pdf["mask"].iloc[i], row.tx
-                parts.append(part)
-            if parts:
-                yield pd.concat(parts)[["mask", "tx", "y", "x0", "x1", "ly", "lx"]]
+                found.append((i, runs))
+                held += len(runs)
+                if held > most:
+                    yield table(pdf, found)
+                    found, held = [], 0
+            if found:
+                yield table(pdf, found)
+
+    def table(pdf: pd.DataFrame, found: list[tuple[int, np.ndarray]]) -> pd.DataFrame:
+        at = np.repeat([i for i, _ in found], [len(runs) for _, runs in found])
+        out = pd.DataFrame(np.concatenate([runs for _, runs in found]), columns=["y", "x0", "x1", "ly", "lx"])
+        out.insert(0, "tx", pdf["tx"].to_numpy()[at])
+        out.insert(0, "mask", pdf["mask"].iloc[at].reset_index(drop=True))
+        return out
 
     kind = tiles.schema["mask"].dataType.simpleString()
     return tiles.mapInPandas(run, f"mask {kind}, tx long, {RUN}")

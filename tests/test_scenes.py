@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sparktally.operators import space
+from sparktally.operators import raster, space, suppression
 
 
 def rows(df, *columns):
@@ -77,3 +77,29 @@ def test_pairs_of_masks_and_points_are_not_shuffled(spark, tmp_path):
     want = {(m, p) for m in (0, 1, 2) for p in range(1300) if p % 600 in (0, 250)} | {(None, p) for p in range(1300) if p % 600 == 250}
     assert len(got) == len(set(got)) and set(got) == want
     assert "hashpartitioning(mask#" not in str(found._jdf.queryExecution().optimizedPlan()) and "Aggregate" not in str(found._jdf.queryExecution().optimizedPlan()).split("Join")[0]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_groups_of_boxes_in_rounds_and_whole(spark, strict):
+    rng = np.random.default_rng(5)
+    made = [(f"g{i % 4}" if i < 80 else "g0", i, float(rng.integers(1, 9)), *map(float, (x, y, x + rng.integers(0, 9), y + rng.integers(0, 9)))) for i in range(200) for x, y in [rng.integers(0, 15, 2)]]
+    boxes = spark.createDataFrame(made + [("g1", 900, 1.0, None, 0.0, 1.0, 1.0), ("lone", 901, 2.0, 0.0, 0.0, 3.0, 3.0)], "g string, id long, score double, x1 double, y1 double, x2 double, y2 double")
+    boxes = boxes.withColumn("rank", F.struct((-F.col("score")).alias("s"), "id"))
+    want = rows(suppression.suppress(boxes, ["g"], 0.4, 1.0, strict), "g", "rank.id")
+    assert 20 < len(want) < 201 and rows(suppression.suppress(boxes, ["g"], 0.4, 1.0, strict, few=40), "g", "rank.id") == want
+    if not strict:
+        voted = lambda few: rows(suppression.vote(boxes, ["g"], 0.4, soft=2.0, few=few), "g", "seed.id", F.coalesce("rank.id", F.lit(-1)), "n", F.round("x1", 6), F.round("y2", 6), F.round("score", 6))
+        assert len(voted(512)) > 40 and voted(40) == voted(512)
+
+
+@pytest.mark.parametrize("least,strict", [(0.4, False), (0.4, True), (1 / 3, False), (1 / 3, True), (1.0, False), (1.0, True)])
+def test_least_overlap_is_that_of_rounding(least, strict):
+    at = suppression.least_overlap(least, strict)
+    ok = lambda x: (space._nine(x) > space.Decimal(repr(least))) if strict else (space._nine(x) >= space.Decimal(repr(least)))
+    assert ok(at) and not ok(np.nextafter(at, 0))
+
+
+def test_a_batch_of_masks_is_labelled_in_pieces(spark):
+    tiles = spark.createDataFrame([(m, 0, 0, list(range(0, 16, 2))) for m in range(40)], "mask long, tx long, ty long, own array<int>").coalesce(1)
+    run = raster._labelled(tiles, 4, False, most=100)
+    assert run.count() == 320 and rows(run, "mask", "y", "x0", "x1", "ly", "lx") == rows(raster._labelled(tiles, 4, False), "mask", "y", "x0", "x1", "ly", "lx")
