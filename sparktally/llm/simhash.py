@@ -9,7 +9,7 @@ bits, with radius ``bits``. Each fingerprint goes to every shard its ball overla
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,16 +43,21 @@ def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(joined[a:b], 42) for a, b in zip(s, e, strict=True)), np.uint64, len(s))
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' hashes. No words, or null: 0."""
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """Bit i is 1 if it is set in over half of the hashes. None: 0."""
     counts, n = np.zeros(64, np.int64), 0
-    for h in shingle_hashes(text or b"", width):
+    for h in hashes:
         counts += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     bits = np.packbits((counts * 2 > n).astype(np.uint8), bitorder="little")
     return int(bits.view("<u8")[0]) if n else 0
 
 
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """The majority of the hashes of all shingles. No words, or null: 0."""
+    return majority(shingle_hashes(text or b"", width))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp long) for every row, whatever other columns there are."""
 
@@ -255,23 +260,26 @@ def similar_links(sets: list[np.ndarray], similar: float) -> list[tuple[int, int
     return out
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_rows: int = 4096, most: int = 1 << 21) -> DataFrame:
+def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_rows: int = 4096, most: int = 1 << 21, bits: int = 3) -> DataFrame:
     """(row, doc_id, component) for each row of ``docs``; row: a hash of all its columns.
 
-    Texts are linked if their sets of shingles of ``width`` words have a Jaccard similarity of at least ``similar``. Bands
-    of min-hashes propose the pairs, the sets themselves decide. Texts without words, or null, are one component.
+    Texts are linked if their sets of shingles of ``width`` words have a Jaccard similarity of at least ``similar``. The
+    components of their fingerprints within ``bits``, by op6's trees, propose pairs; so do bands of min-hashes, as far
+    fewer fingerprints than texts of that similarity lie so near. The sets themselves decide. A component counts as a band.
+    Texts without words, or null, are one component.
     The texts of a band with over ``most`` shingles are dealt into parts, and each two parts meet in a group of their own:
     no task holds more than about ``most`` shingles or one text at a time, and no pair is lost.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            named, size, keys = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.int64), []
+            named, size, fp, keys = np.zeros(len(pdf), np.uint64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.uint64), []
             for i, text in enumerate(pdf["text"]):  # one text's shingles at a time
                 x = shingle_set(text, width)
                 named[i], size[i] = xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0, len(x)
+                fp[i] = majority(x[k : k + (1 << 15)] for k in range(0, len(x), 1 << 15))
                 keys.append(band_keys(x).view(np.int64) if len(x) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "node": named.view(np.int64), "size": size, "keys": keys})
+            yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "node": named.view(np.int64), "size": size, "fp": fp.view(np.int64), "keys": keys})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # a compressed text is a quarter of its shingles' hashes
@@ -297,9 +305,12 @@ def similar_texts(docs: DataFrame, width: int = 5, similar: float = 0.8, shard_r
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     rows = docs.select(row_hash(docs).alias("row"), F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    marked = written(rows.mapInPandas(sketch, "row string, doc_id string, node long, size long, keys array<long>"), "sketches")
+    marked = written(rows.mapInPandas(sketch, "row string, doc_id string, node long, size long, fp long, keys array<long>"), "sketches")
+    near = connected_components(links(marked.where("size > 0").select("fp").distinct(), bits)).select(F.col("node").alias("fp"), F.col("component").alias("of_fp"))
     # equal sets are one node; of each, one row gives the text
-    nodes = marked.groupBy("node").agg(F.min_by(F.struct("row", "size", "keys"), "row").alias("n")).select("node", "n.row", "n.size", F.explode("n.keys").alias("key"))
+    nodes = marked.where("size > 0").groupBy("node").agg(F.min_by(F.struct("row", "size", "fp", "keys"), "row").alias("n")).select("node", "n.*").join(near, "fp", "left")
+    by_fp = F.xxhash64(F.lit("fingerprint"), F.coalesce("of_fp", "fp"))
+    nodes = nodes.select("node", "row", "size", F.explode(F.array_append("keys", by_fp)).alias("key"))
     # two parts meet at a time, so a part has half of the bound
     parts = F.when(F.col("size") <= most, 1).otherwise(F.least("n", F.ceil(F.col("size") * 2 / most))).cast("int")
     bands = cut(nodes.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1").withColumn("parts", parts))

@@ -514,6 +514,16 @@ def test_min_hash_recall():
     assert hit >= 399
 
 
+def test_fingerprints_propose_near_copies(spark, monkeypatch):
+    """Without any band of min-hashes op6's fingerprints and trees still bring near copies together; the sets decide."""
+    monkeypatch.setattr(simhash, "band_keys", lambda shingles: np.zeros(0, np.uint64))
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words[:399], "other"]), " ".join(f"v{i}" for i in range(300)), "", None]
+    of = {r.doc_id: r.component for r in simhash.similar_texts(table(spark, list(enumerate(texts)))).collect()}
+    assert of[0] == of[1] != of[2] and of[3] == of[4] and len(set(of.values())) == 3
+    assert (simhash.fingerprint(texts[0].encode(), 5) ^ simhash.fingerprint(texts[1].encode(), 5)).bit_count() <= 3
+
+
 def test_keep_one_null_and_shared_ids(spark):
     rng = random.Random(33)
     a, b, c, d, e = (words(rng, 40, "theandwhorly") for _ in range(5))
