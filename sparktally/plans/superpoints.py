@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import superpoints
-from ..session import table
+from ..session import dealt, parts_of, table
 from .catalog import query
 
 POINTS = """g AS (SELECT l_orderkey // 20 AS shape, l_orderkey * 8 + l_linenumber AS id, min(l_partkey) % 9 AS comp, CAST(min(l_partkey) % 53 AS DOUBLE) AS x, CAST(max(l_suppkey) % 31 AS DOUBLE) AS y, max(l_quantity) AS z FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
@@ -22,8 +22,10 @@ f AS (SELECT shape, comp, n, cx, cy, cz, CASE WHEN k = 1 THEN 0 WHEN k = 2 THEN
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
-    return one.selectExpr("l_orderkey div 20 AS shape", "l_orderkey * 8 + l_linenumber AS id", "p % 9 AS comp", "CAST(p % 53 AS DOUBLE) AS x", "CAST(s % 31 AS DOUBLE) AS y", "q AS z")
+    """A row for each order and line number; a shape's points are in one part, so all that goes by shape needs no further shuffle."""
+    line = dealt(table(spark, d, "lineitem").selectExpr("l_orderkey div 20 AS shape", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"), "shape")
+    one = line.groupBy("shape", "l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+    return one.selectExpr("shape", "l_orderkey * 8 + l_linenumber AS id", "p % 9 AS comp", "CAST(p % 53 AS DOUBLE) AS x", "CAST(s % 31 AS DOUBLE) AS y", "q AS z")
 
 
 @query(f"WITH {POINTS}, {FEATURES} SELECT shape, comp, n, round(cx, 4) AS cx, round(cy, 4) AS cy, round(cz, 4) AS cz, round(length, 4) AS length, round(surface, 3) AS surface, round(CASE WHEN volume > 0.05 THEN volume ELSE 0 END, 2) AS volume FROM f")
@@ -48,9 +50,11 @@ def q_component_edges(spark: SparkSession, d: str) -> DataFrame:
     o = Window.partitionBy("shape").orderBy("id")
     pairs = p.withColumns({f"n{c}": F.lead(c).over(o) for c in ("id", "comp", "x", "y", "z")}).where("nid is not null")
     ends = ("ax", "ay", "az", "bx", "by_", "bz")
-    way = lambda *names: pairs.select("shape", *[F.col(c).alias(n) for c, n in zip(names, ("source", "target", *ends), strict=True)])
-    edges = way("comp", "ncomp", "x", "y", "z", "nx", "ny", "nz").unionByName(way("ncomp", "comp", "nx", "ny", "nz", "x", "y", "z"))
-    features = superpoints.component_features(p, ["shape", "comp"])
+    way = lambda *names: F.struct(*[F.col(c).alias(n) for c, n in zip(names, ("source", "target", *ends), strict=True)])
+    both = F.array(way("comp", "ncomp", "x", "y", "z", "nx", "ny", "nz"), way("ncomp", "comp", "nx", "ny", "nz", "x", "y", "z"))
+    edges = pairs.select("shape", F.inline(both))
+    # joins go by all of their keys, so they need their own parts
+    features = superpoints.component_features(p, ["shape", "comp"]).repartition(parts_of(table(spark, d, "lineitem")), "shape", "comp")
     out = superpoints.edge_features(edges, features, ["shape"], 45.0)
     zero = features.select("shape", F.col("comp").alias("target"), (F.col("length") == 0).alias("flat"))
     out = out.join(zero, ["shape", "target"]).withColumn("length_ratio", F.when(~F.col("flat"), F.col("length_ratio")))

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 
+from sparktally.session import parts_of
+
 from .test_queries import plain
 
 duck = pytest.fixture(lambda: duckdb.connect())
@@ -29,3 +31,13 @@ def test_span_probing_repeated_turns(spark, duck, tmp_path):
     texts = "SELECT 1 AS conv_id, 0 AS turn, 'user' AS role, unnest(['one  two three four five six seven', 'a bb ccc dddd eeeee ffffff ggggggg hhhhhhhh', ' x', '', NULL, 'ünï cødé wörds in a lïne ôf tëxt that goes on and on']) AS text"
     assert same(spark, duck, tmp_path, "q_span_probing", conversations=texts)
     assert shuffles(entry.QUERIES["q_span_probing"](spark, str(tmp_path))) == 0
+
+
+@pytest.mark.parametrize("name, most", [("q_component_features", 1), ("q_component_edges", 9)])
+def test_parts_grow_with_rows(spark, duck, tmp_path, name, most):
+    """The table is dealt by shape into as many parts as it has rows for; only joins shuffle again."""
+    lines = "SELECT i // 4 AS l_orderkey, i % 4 AS l_linenumber, i * 7 % 50 AS l_partkey, i * 11 % 40 AS l_suppkey, (i % 9)::DOUBLE AS l_quantity FROM range(0, 2000) t(i)"
+    assert same(spark, duck, tmp_path, name, lineitem=lines)
+    plan = entry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" not in plan and "REPARTITION_BY_NUM" in plan and shuffles(entry.QUERIES[name](spark, str(tmp_path))) <= most
+    assert parts_of(spark.read.parquet(f"{tmp_path}/lineitem.parquet"), 100) == 20
