@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import dealt, table
 from .catalog import query
 
 LONG = "bigint"
@@ -370,14 +370,24 @@ def q_accepted_crop(spark: SparkSession, d: str) -> DataFrame:
     """The first of eight hashed windows that cuts no box too far: of each box whose centre it holds at least half is left. Its boxes, clipped
     and shifted; images without such a window give none.
     """
-    b = boxes(spark, d)
-    name = F.md5(F.concat_ws("/", F.col("image").cast("string"), F.col("i").cast("string")))
-    at = lambda k, n: (F.conv(F.substring(name, k, 4), 16, 10).cast(LONG) % n)
-    o = b.withColumn("i", F.explode(F.sequence(F.lit(0).cast(LONG), F.lit(7).cast(LONG)))).withColumns({"wx": at(1, 60), "wy": at(5, 50)})
-    clipped = {"kx1": F.greatest("x1", "wx"), "ky1": F.greatest("y1", "wy"), "kx2": F.least(F.col("x2"), F.col("wx") + 60), "ky2": F.least(F.col("y2"), F.col("wy") + 55)}
-    inside = F.expr("(x1 + x2) / 2 > wx AND (x1 + x2) / 2 < wx + 60 AND (y1 + y2) / 2 > wy AND (y1 + y2) / 2 < wy + 55")
-    o = o.withColumns(clipped).where(inside)
-    left = F.round(F.greatest(F.lit(0.0), F.col("kx2") - F.col("kx1")) * F.greatest(F.lit(0.0), F.col("ky2") - F.col("ky1")) / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 9)
-    first = o.groupBy("image", "i").agg(F.min(left).alias("least")).where("least >= 0.5").groupBy("image").agg(F.min("i").alias("i"))
-    out = o.join(first, ["image", "i"])
-    return out.select("image", "i", "part", "supp", "line", "qty", (F.col("kx1") - F.col("wx")).alias("cx1"), (F.col("ky1") - F.col("wy")).alias("cy1"), (F.col("kx2") - F.col("wx")).alias("cx2"), (F.col("ky2") - F.col("wy")).alias("cy2"))
+    b = dealt(boxes(spark, d), "image")
+    # the windows are hashed once for each image, not for each box; both sides are dealt alike, so the join shuffles nothing
+    names = b.select("image").distinct().withColumns({f"name{i}": F.md5(F.concat_ws("/", F.col("image").cast("string"), F.lit(str(i)))) for i in range(8)})
+    at = lambda name, k, n: F.conv(F.substring(name, k, 4), 16, 10).cast(LONG) % n
+    b = b.join(names.select("image", *[at(f"name{i}", 1, 60).alias(f"wx{i}") for i in range(8)], *[at(f"name{i}", 5, 50).alias(f"wy{i}") for i in range(8)]), "image")
+
+    def left(i: int) -> Column:
+        """What the window leaves of a box whose centre it holds."""
+        inside = F.expr(f"(x1 + x2) / 2 > wx{i} AND (x1 + x2) / 2 < wx{i} + 60 AND (y1 + y2) / 2 > wy{i} AND (y1 + y2) / 2 < wy{i} + 55")
+        w, h = (F.least(F.col(f"{c}2"), F.col(f"w{c}{i}") + n) - F.greatest(F.col(f"{c}1"), F.col(f"w{c}{i}")) for c, n in (("x", 60), ("y", 55)))
+        return F.when(inside, F.round(F.greatest(F.lit(0.0), w) * F.greatest(F.lit(0.0), h) / ((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))), 9))
+
+    image = Window.partitionBy("image")
+    o = b.withColumns({f"left{i}": left(i) for i in range(8)})
+    o = o.withColumns({f"least{i}": F.min(f"left{i}").over(image) for i in range(8)})
+    o = o.withColumn("i", F.coalesce(*[F.when(F.col(f"least{i}") >= 0.5, F.lit(i).cast(LONG)) for i in range(8)])).where("i is not null")
+    own = lambda c: F.get(F.array(*[F.col(f"{c}{i}") for i in range(8)]), F.col("i").cast("int"))
+    o = o.where(own("left").isNotNull()).select("image", "i", "part", "supp", "line", "qty", "x1", "y1", "x2", "y2", own("wx").alias("wx"), own("wy").alias("wy"))
+    low = lambda c: (F.greatest(f"{c}1", f"w{c}") - F.col(f"w{c}")).alias(f"c{c}1")
+    high = lambda c, n: (F.least(F.col(f"{c}2"), F.col(f"w{c}") + n) - F.col(f"w{c}")).alias(f"c{c}2")
+    return o.select("image", "i", "part", "supp", "line", "qty", low("x"), low("y"), high("x", 60), high("y", 55))

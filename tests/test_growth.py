@@ -51,3 +51,11 @@ def test_contested_truths(spark, duck, tmp_path, name):
     assert same(spark, duck, tmp_path, name, lineitem=lines)
     plan = entry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(l_orderkey#" in plan and "hashpartitioning(image" not in plan
+
+
+def test_accepted_crop_meets_images_once(spark, duck, tmp_path):
+    """Repeated lines stay; the windows of an image are tried in one pass, without a shuffle of pairs."""
+    lines = "SELECT i // 3 AS l_orderkey, i % 3 + 1 AS l_linenumber, i // 2 * 7 % 97 AS l_partkey, i // 2 * 5 % 89 AS l_suppkey, (i % 40 + 1)::DOUBLE AS l_quantity FROM range(0, 900) t(i) UNION ALL SELECT 1, 2, 30, 20, 9.0 FROM range(0, 2)"
+    assert same(spark, duck, tmp_path, "q_accepted_crop", lineitem=lines)
+    plan = entry.QUERIES["q_accepted_crop"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Generate" not in plan
