@@ -9,11 +9,13 @@ Scenes of few rows need no grid: they meet whole, scene by scene, and only scene
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
+from collections.abc import Callable, Iterator
+from decimal import ROUND_FLOOR, ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
@@ -229,18 +231,109 @@ def with_distance(df: DataFrame) -> DataFrame:
     return df.withColumn("d2", d2).drop("nx", "ny", "nz")
 
 
-def on_faces(triangles: DataFrame, facets: DataFrame, by: list[str], tol: float, size: float) -> DataFrame:
+def most_rounded(most: float) -> float:
+    """The greatest number that, rounded to nine places, is at most ``most``."""
+    above = Decimal(repr(float(most))).quantize(Decimal("1e-9"), ROUND_FLOOR) + Decimal("5e-10")
+    at = float(above)
+    return at if Decimal(repr(at)) < above else float(np.nextafter(at, -np.inf))
+
+
+def square_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """with_distance() on arrays of three rows x, y, z: of each point p from its own triangle a, b, c."""
+
+    def segment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ab, ap = b - a, p - a
+        t = np.fmax(0.0, np.fmin(1.0, dot(ap, ab) / dot(ab, ab)))
+        return dot(ap - t * ab, ap - t * ab)
+
+    with np.errstate(all="ignore"):
+        n = cross(b - a, c - a)
+        nn = dot(n, n)
+        inside = nn > 0
+        for x, y in ((a, b), (b, c), (c, a)):
+            inside &= dot(cross(y - x, p - x), n) >= 0
+        plane = dot(p - a, n)
+        return np.where(inside, plane * plane / nn, np.fmin(np.fmin(segment(a, b), segment(b, c)), segment(c, a)))
+
+
+def on_faces(triangles: DataFrame, facets: DataFrame, by: list[str], tol: float, size: float, few: int = 512) -> DataFrame:
     """(by, face, tri): the triangles all of whose corners lie within ``tol`` of a face.
 
     triangles: by, tri, a.., b.., c..; facets: by, face, a.., b.., c..; a face is any number of facets, and corners may be near
-    different ones. Facets' boxes, wider by the tolerance, are spread over cells; a corner lies in one cell, so no pair
-    meets twice. A box filter by face is implied: a corner beyond the box is beyond the tolerance.
+    different ones. In scenes of at most ``few`` triangles and facets all corners meet all facets' boxes, wider by the tolerance,
+    and distances are worked out in arrays for the pairs that are left. In larger ones the boxes are spread over cells; a
+    corner lies in one cell, so no pair meets twice. A corner beyond the box is beyond the tolerance.
     """
-    corner = lambda i, c: F.struct(F.lit(1 << i).alias("bit"), *[F.col(c + a).cast("double").alias(f"p{a}") for a in AXES])
-    points = finite(triangles, "a", "b", "c").select(*by, "tri", F.inline(F.array(*[corner(i, c) for i, c in enumerate("abc")])))
+    corners = [p + a for p in "abc" for a in AXES]
+    # counted before any other column is needed, so that keys alone are shuffled
+    large = crowded([(triangles, few), (facets, few)], by)
+    t, f = (finite(df, "a", "b", "c").select(*by, name, *[F.col(c).cast("double").alias(c) for c in corners]) for df, name in ((triangles, "tri"), (facets, "face")))
+    (t, far_t), (f, far_f) = parted(t, large, by), parted(f, large, by)
+    whole = lambda df, key, name: df.groupBy(*by).agg(F.collect_list(F.struct(F.col(key).alias("key"), *corners)).alias(name))
+    met = whole(t, "tri", "tris").join(whole(f, "face", "facets"), by)
+    kind = {c.name: c.dataType.simpleString() for c in [*t.schema.fields, *f.schema.fields]}
+    near = met.mapInArrow(_faces_met(by, tol), ", ".join(f"{c} {kind[c]}" for c in [*by, "face", "tri"]))
+    return near if large is None else near.unionByName(_faces_by_cells(far_t, far_f, by, tol, size))
+
+
+def _faces_met(by: list[str], tol: float, pairs: int = 1 << 17) -> Callable:
+    """From (by, tris, facets) to (by, face, tri), a batch of scenes at a time; distances of about ``pairs`` pairs at once."""
+    most = most_rounded(tol * tol)
+    margin = most**0.5 * (1 + 1e-9)
+
+    def codes(*columns: pa.Array | np.ndarray) -> np.ndarray:
+        """Equal numbers for equal rows."""
+        out = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            c = c if isinstance(c, np.ndarray) else c.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            out = np.unique(out * (int(c.max(initial=0)) + 1) + c, return_inverse=True)[1]
+        return out
+
+    def sides(rows: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Keys, corners (row, corner, axis) and where each scene begins and ends."""
+        flat = rows.flatten()
+        return flat.field("key"), np.stack([flat.field(p + a).to_numpy() for p in "abc" for a in AXES], axis=1).reshape(-1, 3, 3), np.asarray(rows.offsets) - rows.offsets[0].as_py()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tri, corner, t_at = sides(batch.column("tris"))
+            face, facet, f_at = sides(batch.column("facets"))
+            scene, spot = np.repeat(np.arange(batch.num_rows), np.diff(t_at)), corner.reshape(-1, 3).T.copy()
+            low, high, ends = facet.min(axis=1).T - margin, facet.max(axis=1).T + margin, np.ascontiguousarray(facet.transpose(1, 2, 0))
+            near, held, n = [np.empty((2, 0), np.int64)], [], 0
+            for k in range(batch.num_rows):
+                i0, i1, j0, j1 = 3 * t_at[k], 3 * t_at[k + 1], f_at[k], f_at[k + 1]
+                ok = np.ones((i1 - i0, j1 - j0), bool)
+                for x in range(3):
+                    p = spot[x, i0:i1, None]
+                    ok &= (p >= low[x, j0:j1]) & (p <= high[x, j0:j1])
+                i, j = np.nonzero(ok)
+                held.append((i + i0, j + j0))
+                n += len(i)
+                if n >= pairs or k == batch.num_rows - 1:
+                    i, j = (np.concatenate(side) for side in zip(*held, strict=True))
+                    ok = square_distance(spot[:, i], *(ends[c][:, j] for c in range(3))) <= most
+                    near.append(np.array([i[ok], j[ok]]))
+                    held, n = [], 0
+            i, j = np.concatenate(near, axis=1)
+            if not len(i):
+                continue
+            own, name = codes(scene, tri), codes(face)
+            key = own[i // 3] * (int(name.max()) + 1) + name[j]
+            first = [np.unique(key[i % 3 == c], return_index=True) for c in range(3)]
+            kept = reduce(np.intersect1d, [k for k, _ in first])
+            at = np.flatnonzero(i % 3 == 0)[first[0][1][np.searchsorted(first[0][0], kept)]]
+            of = pa.array(scene[i[at] // 3])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(of) for c in by], face.take(pa.array(j[at])), tri.take(pa.array(i[at] // 3))], names=[*by, "face", "tri"])
+
+    return run
+
+
+def _faces_by_cells(t: DataFrame, f: DataFrame, by: list[str], tol: float, size: float) -> DataFrame:
+    corner = lambda i, c: F.struct(F.lit(1 << i).alias("bit"), *[F.col(c + a).alias(f"p{a}") for a in AXES])
+    points = t.select(*by, "tri", F.inline(F.array(*[corner(i, c) for i, c in enumerate("abc")])))
     points = points.withColumns({f"c{a}": cell(F.col(f"p{a}"), size) for a in AXES})
-    f = boxed(finite(facets, "a", "b", "c").select(*by, "face", *[p + a for p in "abc" for a in AXES]), "abc", tol * (1 + 1e-9))
-    f = spread(f.withColumnsRenamed({f"c{a}": f"k{a}" for a in AXES}), size)
+    f = spread(boxed(f, "abc", most_rounded(tol * tol) ** 0.5 * (1 + 1e-9)).withColumnsRenamed({f"c{a}": f"k{a}" for a in AXES}), size)
     near = with_distance(points.join(f, [*by, *[f"c{a}" for a in AXES]])).where(F.round("d2", 9) <= tol * tol)
     return near.groupBy(*by, "face", "tri").agg(F.bit_or("bit").alias("bits")).where("bits = 7").drop("bits")
 

@@ -9,16 +9,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import space
-from ..session import table
+from ..session import dealt, table
 from .catalog import query
 
 LONG = "bigint"
 
 
-def lines(spark: SparkSession, d: str, scene: int) -> DataFrame:
-    """(mesh, tri, p, s, q): one row for each order and line number."""
-    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
-    return one.selectExpr(f"l_orderkey div {scene} AS mesh", "l_orderkey * 8 + l_linenumber AS tri", "l_linenumber AS line", "p", "s", "q")
+def lines(spark: SparkSession, d: str, scene: int, deal: bool = False) -> DataFrame:
+    """(mesh, tri, p, s, q): one row for each order and line number; ``deal``: dealt by mesh once, for plans that group by mesh alone."""
+    rows = table(spark, d, "lineitem").selectExpr(f"l_orderkey div {scene} AS mesh", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows, keys = (dealt(rows, "mesh"), ["mesh", "l_orderkey"]) if deal else (rows, ["l_orderkey"])
+    one = rows.groupBy(*keys, "l_linenumber").agg(F.min("l_partkey").alias("p"), F.max("l_suppkey").alias("s"), F.max("l_quantity").alias("q"))
+    return one.selectExpr("mesh" if deal else f"l_orderkey div {scene} AS mesh", "l_orderkey * 8 + l_linenumber AS tri", "l_linenumber AS line", "p", "s", "q")
 
 
 def lines_sql(scene: int) -> str:
@@ -102,7 +104,7 @@ def segment_sql(a: str, b: str) -> str:
 )
 def q_face_triangles(spark: SparkSession, d: str) -> DataFrame:
     """Triangles that belong to a face: each of their corners lies within 3 of it. The first three lines are the faces' facets."""
-    t = lines(spark, d, 10).selectExpr("*", "p % 3 AS face", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in SMALL.items()])
+    t = lines(spark, d, 10, deal=True).selectExpr("*", "p % 3 AS face", *[f"CAST({e} AS DOUBLE) AS {c}" for c, e in SMALL.items()])
     return space.on_faces(t.where("line > 3"), t.where("line <= 3"), ["mesh"], 3.0, 6.0)
 
 

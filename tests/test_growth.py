@@ -59,3 +59,14 @@ def test_accepted_crop_meets_images_once(spark, duck, tmp_path):
     assert same(spark, duck, tmp_path, "q_accepted_crop", lineitem=lines)
     plan = entry.QUERIES["q_accepted_crop"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan and "Generate" not in plan
+
+
+def test_face_triangles_meet_in_arrays(spark, duck, tmp_path):
+    """Small scenes and one of 1,970 triangles, which goes by cells; meshes are dealt once, and pairs of corners and facets aren't shuffled."""
+    lines = """SELECT o AS l_orderkey, n AS l_linenumber, (o * 31 + n * 17) % 1000 AS l_partkey, (o * 13 + n * 7) % 500 AS l_suppkey, ((o + n * 5) % 50 + 1)::DOUBLE AS l_quantity FROM range(0, 60) a(o), range(1, 8) b(n)
+      UNION ALL SELECT o, n, o * n % 997, (o + n) % 401, (n % 50)::DOUBLE FROM range(100, 110) a(o), range(1, 201) b(n) UNION ALL SELECT 5, 4, 3, 2, NULL"""
+    assert same(spark, duck, tmp_path, "q_face_triangles", lineitem=lines)
+    (tmp_path / "few").mkdir()
+    duck.execute(f"COPY (SELECT * FROM lineitem WHERE l_orderkey < 60) TO '{tmp_path}/few/lineitem.parquet'")
+    plan = entry.QUERIES["q_face_triangles"](spark, str(tmp_path / "few"))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(l_orderkey" not in plan and "Generate" not in plan and "ENSURE_REQUIREMENTS" not in plan

@@ -103,3 +103,38 @@ def test_a_batch_of_masks_is_labelled_in_pieces(spark):
     tiles = spark.createDataFrame([(m, 0, 0, list(range(0, 16, 2))) for m in range(40)], "mask long, tx long, ty long, own array<int>").coalesce(1)
     run = raster._labelled(tiles, 4, False, most=100)
     assert run.count() == 320 and rows(run, "mask", "y", "x0", "x1", "ly", "lx") == rows(raster._labelled(tiles, 4, False), "mask", "y", "x0", "x1", "ly", "lx")
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_faces_by_cells_and_whole(spark, points, few):
+    """Names of any plain type, repeated and null ones too; a scene beyond the bound goes by cells."""
+    t = points.selectExpr("scene", "IF(id = 7, NULL, CONCAT('t', id)) AS tri", *[f"{a} AS a{a}" for a in "xyz"], "x + 1 AS bx", "y + 1 AS by", "z AS bz", "x AS cx", "y + 1 AS cy", "IF(id = 5, double('nan'), z + id % 2) AS cz")
+    t = t.unionByName(t.where("tri = 't3'").withColumns({"cx": F.col("cx") + 2}))
+    f = points.where("id % 3 = 0").selectExpr("scene", "IF(id % 5 = 4, NULL, id % 5) AS face", *[f"{a} AS a{a}" for a in "xyz"], "x + 4 AS bx", "y AS by", "z + id % 4 AS bz", "x AS cx", "y + id % 4 AS cy", "z AS cz")
+    columns = ("scene", F.coalesce("face", F.lit(-1)), F.coalesce("tri", F.lit("-")))
+    want = rows(space.on_faces(t, f, ["scene"], 1.5, 2.0), *columns)
+    assert len(want) > 100 and len({w[1] for w in want}) == 5
+    assert rows(space.on_faces(t, f, ["scene"], 1.5, 2.0, few), *columns) == want
+
+
+@pytest.mark.parametrize("few", [0, 512])
+def test_a_corner_within_rounding_of_the_tolerance(spark, few):
+    at = lambda z: [0.0, 0.0, z, 1e-4, 0.0, z, 0.0, 1e-4, z]
+    columns = ", ".join(f"{p}{a} double" for p in "abc" for a in "xyz")
+    t = spark.createDataFrame([("m", 1, *at(1.02e-4)), ("m", 2, *at(1.03e-4))], f"mesh string, tri long, {columns}")
+    f = spark.createDataFrame([("m", 1, *at(0.0))], f"mesh string, face long, {columns}")
+    assert rows(space.on_faces(t, f, ["mesh"], 1e-4, 1.01e-4, few), "mesh", "face", "tri") == [("m", 1, 1)]
+
+
+@pytest.mark.parametrize("most", [9.0, 0.25, 1e-8, 0.1 * 0.1, 1 / 3, 1e4])
+def test_most_is_that_of_rounding(most):
+    at = space.most_rounded(most)
+    ok = lambda x: space._nine(x) <= space.Decimal(repr(most))
+    assert ok(at) and not ok(np.nextafter(at, np.inf))
+
+
+def test_distances_in_arrays_are_those_of_columns(spark):
+    rng = np.random.default_rng(8)
+    made = [tuple(map(float, [*rng.integers(-6, 7, 3), *rng.integers(-2, 3, 9)])) for _ in range(400)] + [(3.0, 4.0, 0.0, *[0.0] * 9)]
+    df = spark.createDataFrame(made, ", ".join(f"{p}{a} double" for p in "pabk" for a in "xyz"))
+    assert [r.d2 for r in space.with_distance(df).collect()] == space.square_distance(*np.array(made).T.reshape(4, 3, -1)).tolist()
