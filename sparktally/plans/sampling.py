@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import farthest, space
-from ..session import table
+from ..session import dealt, table
 from .catalog import query
 
 
@@ -26,8 +26,9 @@ def step(rows: str) -> str:
 )
 def q_label_quota_sample(spark: SparkSession, d: str) -> DataFrame:
     """Eighteen points of each cloud: three of each label, far from each other, then those farthest from all chosen."""
-    one = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg({"l_partkey": "min", "l_suppkey": "max", "l_quantity": "max"})
-    points = one.selectExpr("l_orderkey div 20 AS cloud", "l_orderkey * 8 + l_linenumber AS id", "l_linenumber AS label", "`min(l_partkey)` % 101 AS x", "`max(l_suppkey)` % 83 AS y", "`max(l_quantity)` AS z")
+    rows = table(spark, d, "lineitem").selectExpr("l_orderkey div 20 AS cloud", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    one = dealt(rows, "cloud").groupBy("cloud", "l_orderkey", "l_linenumber").agg({"l_partkey": "min", "l_suppkey": "max", "l_quantity": "max"})
+    points = one.selectExpr("cloud", "l_orderkey * 8 + l_linenumber AS id", "l_linenumber AS label", "`min(l_partkey)` % 101 AS x", "`max(l_suppkey)` % 83 AS y", "`max(l_quantity)` AS z")
     return farthest.label_aware_sample(points, ["cloud"], 18, 3)
 
 

@@ -70,3 +70,12 @@ def test_face_triangles_meet_in_arrays(spark, duck, tmp_path):
     duck.execute(f"COPY (SELECT * FROM lineitem WHERE l_orderkey < 60) TO '{tmp_path}/few/lineitem.parquet'")
     plan = entry.QUERIES["q_face_triangles"](spark, str(tmp_path / "few"))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(l_orderkey" not in plan and "Generate" not in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_label_quota_sample_takes_clouds_together(spark, duck, tmp_path):
+    """Clouds of one point, of one label, of few and of all labels; the table is dealt by cloud once, and clouds aren't sent one by one."""
+    lines = """SELECT i // 5 AS l_orderkey, i % 5 + 1 AS l_linenumber, i * 37 % 1000 AS l_partkey, i * 13 % 500 AS l_suppkey, (i * 7 % 50 + 1)::DOUBLE AS l_quantity FROM range(0, 1000) t(i) WHERE i // 100 % 3 < 2 OR i % 5 = 2
+      UNION ALL SELECT 1000, 3, 5, 6, 7.0 UNION ALL SELECT 2000 + i, 2, 5, 6, 7.0 FROM range(0, 19) t(i) UNION ALL SELECT 1, 2, 900, 1, 50.0"""
+    assert same(spark, duck, tmp_path, "q_label_quota_sample", lineitem=lines)
+    plan = entry.QUERIES["q_label_quota_sample"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FlatMapGroups" not in plan and plan.count("Exchange ") == 1

@@ -1,5 +1,7 @@
 """Suppression, voting and label-aware samples against plain loops."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +136,34 @@ def test_label_aware_sample_of_edge_rows(spark):
     got = {(r.cloud, r.id, r.label) for r in farthest.label_aware_sample(df, ["cloud"], 10, 2).collect()}
     assert got == {("a", i, "l") for i in range(4)} | {("b", 11, "m")}
     assert farthest.label_aware_sample(df.limit(0), ["cloud"], 10, 2).count() == 0
+
+
+@pytest.mark.parametrize("apart", [True, False])
+@pytest.mark.parametrize("total, least", [(9, 3), (30, 1), (4, 0), (0, 2)])
+def test_many_clouds_at_once(total, least, apart):
+    """As each cloud by itself: clouds of one point, of equal points, of many labels, and larger ones."""
+    rng = np.random.default_rng(6)
+    sizes = [1, 40, 2, 300, 7, 25, 25, 90]
+    cloud = np.repeat(np.arange(len(sizes)), sizes)
+    points, label = rng.integers(0, 9, (3, len(cloud))).astype(float), rng.integers(0, 5, len(cloud))
+    points[:, cloud == 5] = 2.0
+    label[cloud == 6] = np.arange(25)
+    want = [np.flatnonzero(cloud == c)[np.sort(farthest.label_quota(points[:, cloud == c].T, label[cloud == c], np.arange(n), total, least, apart))] for c, n in enumerate(sizes)]
+    assert farthest.label_quota_each(points, cloud, label, total, least, apart).tolist() == np.concatenate(want).tolist()
+
+
+def test_clouds_over_several_batches(spark):
+    """Clouds begin and end anywhere in a batch; keys of any size stay, a null one too, and no group goes to Python by itself."""
+    made = [(None if i % 7 == 0 else f"c{i % 7 % 5}", (1 << 60) + i, f"l{i % 4}", float(i * 37 % 101), float(i * 11 % 23), float(i % 5)) for i in range(400)]
+    df = spark.createDataFrame(made, "cloud string, id long, label string, x double, y double, z double")
+    found = farthest.label_aware_sample(df, ["cloud"], 10, 2)
+    want, key = {}, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for c in {r[0] for r in made}:
+        own = sorted((r for r in made if r[0] == c), key=lambda r: hashlib.md5(str(r[1]).encode()).hexdigest())
+        at = farthest.label_quota(np.array([r[3:] for r in own]), np.array([r[2] for r in own]), np.arange(len(own)), 10, 2)
+        want |= {(c, own[i][1]): own[i][2] for i in at}
+    usual = spark.conf.get(key)
+    for rows in ("7", "1", usual):
+        spark.conf.set(key, rows)
+        assert {(r.cloud, r.id): r.label for r in found.collect()} == want and found.count() == len(want) == 60
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
