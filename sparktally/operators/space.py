@@ -259,8 +259,8 @@ def square_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray)
 def on_faces(triangles: DataFrame, facets: DataFrame, by: list[str], tol: float, size: float, few: int = 512) -> DataFrame:
     """(by, face, tri): the triangles all of whose corners lie within ``tol`` of a face.
 
-    triangles: by, tri, a.., b.., c..; facets: by, face, a.., b.., c..; a face is any number of facets, and corners may be near
-    different ones. In scenes of at most ``few`` triangles and facets all corners meet all facets' boxes, wider by the tolerance,
+    triangles: by, tri, a.., b.., c..; facets: by, face, a.., b.., c..; tri and face are of a plain type, not structs or arrays. A face
+    is any number of facets, and corners may be near different ones. In scenes of at most ``few`` triangles and facets all corners meet all facets' boxes, wider by the tolerance,
     and distances are worked out in arrays for the pairs that are left. In larger ones the boxes are spread over cells; a
     corner lies in one cell, so no pair meets twice. A corner beyond the box is beyond the tolerance.
     """
