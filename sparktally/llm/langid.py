@@ -12,10 +12,11 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, table
@@ -80,9 +81,9 @@ def forward_backward(e: np.ndarray, size: np.ndarray, step: np.ndarray, start: n
     time are the first ones. step, start: positive. Marginals beyond a row's size are zero.
     """
     t_max, running = len(e), [int((size > t).sum()) for t in range(len(e))]
-    a, g, moves = np.zeros_like(e), np.zeros_like(e), np.zeros_like(step)
+    a, moves = np.zeros_like(e), np.zeros_like(step)
     if not t_max:
-        return g, moves
+        return a, moves
     a[0] = unit(e[0] * start)
     for t in range(1, t_max):
         n = running[t]
@@ -97,8 +98,8 @@ def forward_backward(e: np.ndarray, size: np.ndarray, step: np.ndarray, start: n
                 moves += step * ((a[t, :n] / total[:, None]).T @ ahead)
             b[:n] = unit(ahead @ step.T)
         n = running[t]
-        g[t, :n] = unit(a[t, :n] * b[:n])
-    return g, moves
+        a[t, :n] = unit(a[t, :n] * b[:n])  # no earlier time needs the forward numbers of this one
+    return a, moves
 
 
 def pieces(text: str, most: int = 4) -> Iterator[list[str]]:
@@ -181,49 +182,59 @@ def train(docs: DataFrame, docs_by_lang: int = 400, pieces_by_doc: int = 4, most
     return fit([(lang, words.split()) for _, lang, words in found]) if found else None
 
 
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Labeller:
     """Applies a model to texts, keeping the emissions of the words it has seen, up to a bound.
 
-    numbers: about how many words times languages are worked on at a time; the more, the fewer steps along the texts.
+    numbers: about how many words times languages are worked on at a time; ahead: about how many words are read before,
+    so that texts of like lengths go together. The more of either, the fewer steps along the texts.
     """
 
-    def __init__(self, model: Model, most_words: int = 200_000, numbers: int = 4_000_000, at_once: int = 8_000) -> None:
-        self.model, self.most, self.cells, self.at_once = model, most_words, max(1, numbers // len(model.langs)), at_once
-        self.place: dict[str, int] = {}
+    def __init__(self, model: Model, most_words: int = 200_000, numbers: int = 1_000_000, at_once: int = 8_000, ahead: int = 4_000_000) -> None:
+        self.model, self.most, self.cells, self.at_once, self.ahead = model, most_words, max(1, numbers // len(model.langs)), at_once, ahead
+        self.place = Numbers()
         self.emit = np.zeros((0, len(model.langs)))
 
-    def ids(self, lists: list[list[str]]) -> list[np.ndarray]:
-        new = list({w for words in lists for w in words if w not in self.place})
-        if new:
-            if len(self.place) + len(new) > self.most:
-                self.place, self.emit, new = {}, self.emit[:0], list({w for words in lists for w in words})
-            parts = [soft(self.model.scores(new[i : i + self.at_once])) for i in range(0, len(new), self.at_once)]
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.emit = np.concatenate([self.emit, *parts])
-        get = self.place.__getitem__
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in lists]
+    def ids(self, text: str | None) -> np.ndarray:
+        words = LETTERS.findall((text or "").lower())
+        return np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+
+    def learn(self) -> None:
+        """Works out the emissions of the words numbered since."""
+        new = list(islice(self.place, len(self.emit), None))
+        parts = [soft(self.model.scores(new[i : i + self.at_once])) for i in range(0, len(new), self.at_once)]
+        self.emit = np.concatenate([self.emit, *parts])
 
     def marginals(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
         """(position of the text, its words' distributions) for each text that has letters."""
         k = 0
         while k < len(texts):  # as many texts at a time as bound the memory
-            lists, n = [], 0
-            while k + len(lists) < len(texts) and n < self.cells:
-                lists.append(LETTERS.findall((texts[k + len(lists)] or "").lower()))
-                n += len(lists[-1])
-            ids = self.ids(lists)
+            if len(self.place) > self.most:
+                self.place, self.emit = Numbers(), self.emit[:0]
+            ids, n = [], 0
+            while k + len(ids) < len(texts) and n < self.ahead and len(self.place) - len(self.emit) <= self.most:
+                ids.append(self.ids(texts[k + len(ids)]))
+                n += len(ids[-1])
+            self.learn()
             rows = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
             while rows:
                 many = max(1, self.cells // len(ids[rows[0]]))
                 now, rows = rows[:many], rows[many:]
                 size = np.array([len(ids[i]) for i in now])
-                table = np.zeros((size[0], len(now)), np.int64)
+                table = np.zeros((size[0], len(now)), np.int32)
                 for r, i in enumerate(now):
                     table[: size[r], r] = ids[i]
                 g, _ = forward_backward(self.emit[table], size, self.model.step, self.model.start, count=False)
                 for r, i in enumerate(now):
                     yield k + i, g[: size[r], r]
-            k += len(lists)
+            k += len(ids)
 
 
 def verdicts(labeller: Labeller | None, texts: list[str | None]) -> pd.DataFrame:
@@ -274,27 +285,49 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInPandas(run, "doc_id string, word_no long, word string, lang string, probability double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def read_whole(docs: DataFrame) -> DataFrame:
+    """(row, found) of each text with letters: the row of ``docs`` in a struct, and what the model trained on them found.
+
+    The model reads every text, whether its lang is given or not. Without a labelled row there is none: letters, as op1
+    sees them, decide alone, and what is found is null.
+    """
+    model = train(docs)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        labeller = Labeller(model) if model else None
+        for batch in batches:
+            texts = batch.tolist()
+            found = verdicts(labeller, texts)
+            known = found["n_words"] > 0 if model else pd.Series([LETTERS.search((t or "").lower()) is not None for t in texts], dtype=bool)
+            yield pd.DataFrame({"known": known, "lang_pred": found["lang_pred"] if model else None, "lang_score": found["score"].round(6) if model else None})
+
+    # were it deterministic, Spark would run it once for the filter and once more for its columns
+    read = F.pandas_udf(run, "known boolean, lang_pred string, lang_score double").asNondeterministic()
+    return docs.select(F.struct(*docs.columns).alias("row"), read("text").alias("found")).where("found.known")
+
+
+def with_language(columns: list[str]) -> list[Column]:
+    """These columns of read_whole()'s rows, a missing lang filled in."""
+    return [F.coalesce(F.col("row")[c], F.col("found.lang_pred")).alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in columns]
+
+
 def keep_known(docs: DataFrame) -> DataFrame:
     """``docs`` without texts that are null or have no letters (op1's ``und``); the others' missing languages are filled in.
 
-    That a text has letters needs no model, so the JVM tests it. The model, trained on the labelled rows, reads the texts
-    whose lang is null and writes what it finds into that column; where no row is labelled it stays null. Languages that
-    are given stay as they are, mixed texts too. Without a row to fill in, nothing is trained. No rows: none.
+    The model, trained on the labelled rows, reads every text; where lang is null it writes what it finds into that column.
+    Languages that are given stay as they are, mixed texts too; identified() also says what the model finds for those.
+    Where no row is labelled, missing languages stay null. No rows: none.
     """
-    kept = docs.where(F.col("text").rlike(r"[\p{L}\p{Nl}\p{No}]"))
-    unnamed = kept.where("lang is null")
-    model = None if unnamed.isEmpty() else train(docs)
-    if model is None:
-        return kept
+    return read_whole(docs).select(*with_language(docs.columns))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        labeller = Labeller(model)
-        for texts in batches:
-            found = verdicts(labeller, texts.tolist())["lang_pred"]
-            yield found.where(found != UNKNOWN, None)
 
-    filled = F.pandas_udf(run, "string")(F.when(F.col("lang").isNull(), F.col("text")))
-    return kept.withColumn("lang", F.coalesce("lang", filled))
+def identified(docs: DataFrame) -> DataFrame:
+    """keep_known() with lang_pred and lang_score of every row: the language the model finds and its expected share of the words.
+
+    A given language can so be held against the text. Null without a labelled row. Columns named like these two give way.
+    """
+    others = [c for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")]
+    return read_whole(docs).select(*with_language(others), "found.lang_pred", "found.lang_score")
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,25 @@ def test_keep_known_fills_in_missing_languages(spark):
     assert [(r.doc_id, r.lang) for r in langid.keep_known(alone).collect()] == [(1, None)]
 
 
+def test_every_text_is_read_by_the_model(spark):
+    """Letters are op1's, also those that the JVM doesn't know, and given languages are read too, but stay."""
+    rng = random.Random(10)
+    own = {"en": "theandwhorly", "fr": "éèçauoile"}
+    data = [(i, words(rng, 60, own[lang]), lang) for i in range(60) for lang in [list(own)[i % 2]]]
+    data += [(100, "\u0870\u0871 \u0872", "en"), (101, "\U00031350", None), (102, words(rng, 40, own["fr"]), "en"), (103, "7 !", "en"), (104, None, "en")]
+    docs = table(spark, data)
+    told = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in langid.predict(docs, langid.train(docs)).collect()}
+    kept = {r.doc_id: r.lang for r in langid.keep_known(docs).collect()}
+    assert kept == {i: lang or told[i][0] for i, _, lang in data if told[i][0] != "und"} and set(kept) == {*range(60), 100, 101, 102}
+    got = langid.identified(docs.withColumn("Lang_Pred", F.lit(1)).withColumn("row", F.lit("x")))
+    assert got.columns == [c for c in docs.columns if c != "lang_pred"] + ["row", "lang_pred", "lang_score"]
+    found = {r.doc_id: (r.lang, r.lang_pred, r.lang_score) for r in got.collect()}
+    assert found == {i: (kept[i], *told[i]) for i in kept} and found[102][:2] == ("en", "fr")
+    alone = table(spark, [(1, "\u0870", None), (2, "3", None), (3, None, None)])
+    assert [(r.doc_id, r.lang, r.lang_pred, r.lang_score) for r in langid.identified(alone).collect()] == [(1, None, None, None)]
+    assert str(langid.keep_known(docs)._jdf.queryExecution().optimizedPlan()).count("ArrowEvalPython") == 1
+
+
 def plain_language(text, model):
     """Language and score of one text: features, forward and backward word by word, in plain Python numbers."""
     found = re.findall(r"[^\W\d_]+", (text or "").lower())

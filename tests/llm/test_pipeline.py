@@ -93,6 +93,16 @@ def test_stages(spark, tables):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(x) == 1 for x in of.values())
 
 
+def test_run_says_what_the_model_found(spark, tables):
+    from sparktally.llm.langid import op1_langid
+
+    folder, docs, _ = tables
+    lang = {r[0]: r[2] for r in docs}
+    told = {r.doc_id: (r.lang_pred, round(r.score, 6)) for r in op1_langid(spark, folder).collect()}
+    final = corpus_pipeline.run(spark, folder).collect()
+    assert final and all((r.lang, r.lang_pred, r.lang_score) == (lang[r.doc_id], *told[r.doc_id]) for r in final)
+
+
 def test_empty_table(spark, tables, tmp_path):
     folder, *_ = tables
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
